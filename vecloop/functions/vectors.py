@@ -5,8 +5,15 @@ Two vectors of unequal width are an error, never a silent truncation or a NULL.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
+# Up to this width, expressions are written out element by element and stay in generated JVM code.
+# Measured for the gradient: at 64 wide the generated method is no longer optimised (3.9 s an
+# iteration, against 0.7 s for the Arrow form).
+UNROLL_WIDTH = 32
+
 
 def _same_width(a: Column, b: Column, result: Column) -> Column:
     message = F.concat(
@@ -59,16 +66,18 @@ def checked(x: Column, width: int) -> Column:
     return F.when(good, x).otherwise(F.raise_error(F.lit(f"expected a vector of {width} numbers")))
 
 
-def unrolled_dot(x: Column, w: Column, width: int) -> Column:
-    """Dot product of known small width as one flat expression, which compiles into a tight loop body.
+def unrolled_dot(x: str, w: str, width: int) -> str:
+    """SQL text of the dot product of known small width: one flat expression, compiled into the loop body.
 
     Much faster than ``dot`` up to a few dozen values; beyond that the generated method becomes
     too long for the JVM to optimise.
     """
-    total = F.get(x, F.lit(0)) * F.get(w, F.lit(0))
-    for i in range(1, width):
-        total = total + F.get(x, F.lit(i)) * F.get(w, F.lit(i))
-    return total
+    return " + ".join(f"get({x}, {i}) * get({w}, {i})" for i in range(width))
+
+
+def array_of_sums(terms: Sequence[str]) -> str:
+    """SQL text of one array holding the sum of each term."""
+    return f"array({', '.join(f'sum({t})' for t in terms)})"
 
 
 def as_text(x: Column) -> Column:

@@ -14,7 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vecloop.functions.vectors import center_distances, checked, nearest
-from vecloop.operators.logistic import WIDE_FAN_IN, model_value
+from vecloop.operators.logistic import WIDE_FAN_IN, merge_partials
+from vecloop.operators.model import model_value
 from vecloop.operators.sampling import sample_k
 
 # The model goes to every task, so its size is checked: 64 MB of doubles.
@@ -70,7 +71,7 @@ def distances(points: DataFrame, centers: Sequence[Sequence[float]]) -> DataFram
 
 
 def cluster_sums(points: DataFrame, centers: Sequence[Sequence[float]], fan_in: int = 0) -> DataFrame:
-    """Per non-empty cluster: ``cid``, count ``n``, summed distance ``cost``, vector sum ``s``, ``pid``.
+    """Per non-empty cluster: ``cid``, count ``n``, summed distance ``cost``, vector sum ``g``, ``pid``.
 
     Assignment and partial sums are one pass over Arrow batches; only the partial rows, at most one
     per partition and cluster, are shuffled. Measured against higher-order functions in the JVM this
@@ -120,33 +121,24 @@ def _sums_prepared(points: DataFrame, centers: Sequence[Sequence[float]], fan_in
                     "cid": pa.array(used.astype(np.int32)),
                     "n": pa.array(count[used]),
                     "cost": pa.array(cost[used]),
-                    "s": pa.array(total[used].tolist(), pa.list_(pa.float64())),
+                    "g": pa.array(total[used].tolist(), pa.list_(pa.float64())),
                 }
             )
 
-    partials = points.select("x").mapInArrow(partial_sums, "cid int, n bigint, cost double, s array<double>")
-    merged = partials.withColumn("pid", F.spark_partition_id())
-    if fan_in:
-        merged = _merge(merged, width, "cid", (F.col("pid") % fan_in).alias("group"))
-    return _merge(merged, width, "cid")
-
-
-def _merge(partials: DataFrame, width: int, *keys) -> DataFrame:
-    sums = F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(width)])
-    return partials.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.sum("cost").alias("cost"), sums.alias("s"), F.max("pid").alias("pid")
-    )
+    schema = "cid int, n bigint, cost double, g array<double>"
+    partials = points.select("x").mapInArrow(partial_sums, schema).withColumn("pid", F.spark_partition_id())
+    return merge_partials(partials, width, fan_in, "cid")
 
 
 def cluster_means(points: DataFrame, centers: Sequence[Sequence[float]]) -> DataFrame:
     """Per non-empty cluster: ``cid``, ``n`` and the mean vector ``c``."""
-    mean = F.transform("s", lambda v: v / F.col("n"))
+    mean = F.transform("g", lambda v: v / F.col("n"))
     return cluster_sums(points, centers).select("cid", "n", mean.alias("c"))
 
 
 def _next_centers(old, rows, empty):
     """New centres and the shift Σ |old - new|², from at most K rows of sums at the driver."""
-    means = {r["cid"]: [v / r["n"] for v in r["s"]] for r in rows}
+    means = {r["cid"]: [v / r["n"] for v in r["g"]] for r in rows}
     missing = [i for i in range(len(old)) if i not in means]
     if missing and empty == "error":
         raise ValueError(f"clusters without points: {missing}")
@@ -178,28 +170,31 @@ def train_kmeans(
     """
     if empty not in ("keep", "error", "drop"):
         raise ValueError(f"unknown rule for empty clusters: {empty}")
+    if init not in ("sample", "diagonal"):
+        raise ValueError(f"unknown start: {init}")
     start = time.perf_counter_ns()
     spark = points.sparkSession
     if centers is not None:
         centers = [[float(v) for v in c] for c in centers]
-    elif init == "sample":
-        centers = [list(r["x"]) for r in sample_k(points, k, id_col, seed).collect()]
-        if len(centers) < k:
-            raise ValueError(f"{k} centres wanted, but there are only {len(centers)} points")
-    elif init == "diagonal":
+        width = len(centers[0])
+    else:
         head = points.select(F.size("x").alias("width")).first()
         if head is None:
             raise ValueError("no points to train on")
-        centers = diagonal_centers(k, head["width"])
-    else:
-        raise ValueError(f"unknown start: {init}")
-
-    data = prepare_vectors(points, len(centers[0]))
+        width = head["width"]
+    keep = [id_col] if centers is None and init == "sample" else []
+    data = points.select(*keep, checked(F.col("x"), width).alias("x"))
     if cache:
         data = data.persist()
-    model = KMeansModel(spark, [centers])
     fan_in = 0
     try:
+        if centers is None and init == "sample":
+            centers = [list(r["x"]) for r in sample_k(data, k, id_col, seed).collect()]
+            if len(centers) < k:
+                raise ValueError(f"{k} centres wanted, but there are only {len(centers)} points")
+        elif centers is None:
+            centers = diagonal_centers(k, width)
+        model = KMeansModel(spark, [centers])
         for i in range(1, iterations + 1):
             rows = _sums_prepared(data, centers, fan_in).collect()
             if not rows:

@@ -11,15 +11,12 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vecloop.functions.gradient import FACTORS
 from vecloop.functions.uniform import uniform
-from vecloop.functions.vectors import checked, dot, scale, unrolled_dot
-
-# Up to this width the gradient stays in generated JVM code. Measured: beyond it the generated
-# method is no longer optimised (64 wide: 3.9 s against 0.7 s for the Arrow form).
-UNROLL_WIDTH = 32
+from vecloop.functions.vectors import UNROLL_WIDTH, array_of_sums, checked, dot, scale, unrolled_dot
+from vecloop.operators.model import model_value
 
 # From this many partitions on, partial sums are merged in two steps instead of by one task.
 WIDE_FAN_IN = 2048
@@ -58,24 +55,16 @@ def prepare_points(points: DataFrame, width: int) -> DataFrame:
     return points.select(y.alias("y"), checked(F.col("x"), width).alias("x"))
 
 
-def model_value(spark: SparkSession, value: Sequence) -> Column:
-    """The model as a one-row scalar subquery.
-
-    Every row sees it without a join, and, unlike literals, it keeps the generated code the same
-    from one iteration to the next, so it is compiled once.
-    """
-    return spark.range(0, 1, 1, 1).select(F.lit(value).alias("model")).scalar()
-
-
 def gradient_terms(points: DataFrame, weights: Sequence[float], rule: str = "logistic") -> DataFrame:
     """Adds ``factor`` and ``term = factor * x`` to each point."""
-    with_model = points.withColumn("w", model_value(points.sparkSession, list(weights)))
-    factor = FACTORS[rule](F.col("y"), dot(F.col("x"), F.col("w")))
-    return with_model.withColumn("factor", factor).withColumn("term", scale(F.col("x"), F.col("factor"))).drop("w")
+    with_model = points.withColumn("w", model_value(points.sparkSession, weights))
+    with_dot = with_model.withColumn("d", dot(F.col("x"), F.col("w")))
+    with_factor = with_dot.withColumn("factor", F.expr(FACTORS[rule]("y", "d")))
+    return with_factor.withColumn("term", scale(F.col("x"), F.col("factor"))).drop("w", "d")
 
 
 def gradient_sum(points: DataFrame, weights: Sequence[float], rule: str = "logistic", fan_in: int = 0) -> DataFrame:
-    """One row: ``n`` points, highest partition id ``pid``, and the summed terms ``g0 .. g{D-1}``.
+    """One row: ``n`` points, highest partition id ``pid``, and the summed terms as the array ``g``.
 
     ``fan_in`` > 0 merges the partial sums of that many groups of partitions first.
     """
@@ -84,27 +73,31 @@ def gradient_sum(points: DataFrame, weights: Sequence[float], rule: str = "logis
 
 def _sum_prepared(points: DataFrame, weights: Sequence[float], rule: str, fan_in: int) -> DataFrame:
     width = len(weights)
-    names = [f"g{i}" for i in range(width)]
     if width > UNROLL_WIDTH:
-        partials = _arrow_partials(points, weights, rule)
-        if fan_in:
-            partials = _sum_counted(partials, names, (F.col("pid") % fan_in).alias("group"))
-        return _sum_counted(partials, names)
-    with_model = points.select("y", "x", model_value(points.sparkSession, list(weights)).alias("w"))
-    factor = FACTORS[rule](F.col("y"), unrolled_dot(F.col("x"), F.col("w"), width))
-    terms = with_model.select("x", factor.alias("c"), F.spark_partition_id().alias("pid"))
-    products = [F.sum(F.col("c") * F.get("x", F.lit(i))).alias(g) for i, g in enumerate(names)]
-    if not fan_in:
-        return terms.agg(F.count(F.lit(1)).alias("n"), F.max("pid").alias("pid"), *products)
-    groups = terms.groupBy((F.col("pid") % fan_in).alias("group")).agg(
-        F.count(F.lit(1)).alias("n"), F.max("pid").alias("pid"), *products
-    )
-    return _sum_counted(groups, names)
-
-
-def _sum_counted(partials: DataFrame, names: list[str], *keys: Column) -> DataFrame:
-    sums = [F.sum(c).alias(c) for c in names]
-    return partials.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("pid").alias("pid"), *sums)
+        partials = _arrow_partials(points, weights, rule).withColumn("pid", F.spark_partition_id())
+        return merge_partials(partials, width, fan_in)
+    factor = FACTORS[rule]("y", unrolled_dot("x", "w", width))
+    with_model = points.select("y", "x", model_value(points.sparkSession, weights).alias("w"))
+    terms = with_model.selectExpr("x", f"{factor} AS c", "spark_partition_id() AS pid")
+    sums = array_of_sums([f"c * get(x, {i})" for i in range(width)])
+    outputs = [F.expr(e) for e in ("count(1) AS n", "max(pid) AS pid", f"{sums} AS g")]
+    if fan_in:
+        return merge_partials(terms.groupBy(F.expr(f"pid % {fan_in}")).agg(*outputs), width, 0)
+    return terms.agg(*outputs)
+
+
+def merge_partials(partials: DataFrame, width: int, fan_in: int = 0, key: str | None = None) -> DataFrame:
+    """Add up rows ``(n, pid, g)`` of counts and vector sums, overall or per ``key``.
+
+    ``fan_in`` > 0 does it in two steps, so that no single task has to fetch from every partition.
+    """
+    keys = [key] if key else []
+    sums = array_of_sums([f"get(g, {i})" for i in range(width)])
+    extra = ["sum(cost) AS cost"] if "cost" in partials.columns else []
+    outputs = [F.expr(e) for e in ("sum(n) AS n", "max(pid) AS pid", f"{sums} AS g", *extra)]
+    if fan_in:
+        partials = partials.groupBy(*keys, F.expr(f"pid % {fan_in} AS fan")).agg(*outputs)
+    return partials.groupBy(*keys).agg(*outputs)
 
 
 def _arrow_partials(points: DataFrame, weights: Sequence[float], rule: str) -> DataFrame:
@@ -131,10 +124,7 @@ def _arrow_partials(points: DataFrame, weights: Sequence[float], rule: str) -> D
         if n:
             yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "g": pa.array([total.tolist()])})
 
-    partials = points.select("y", "x").mapInArrow(partial_sums, "n bigint, g array<double>")
-    return partials.select(
-        "n", F.spark_partition_id().alias("pid"), *[F.get("g", F.lit(i)).alias(f"g{i}") for i in range(width)]
-    )
+    return points.select("y", "x").mapInArrow(partial_sums, "n bigint, g array<double>")
 
 
 def train_logistic(
@@ -181,7 +171,7 @@ def train_logistic(
             if not row["n"]:
                 raise ValueError("no points to train on")
             fan_in = math.isqrt(row["pid"] + 1) if row["pid"] + 1 >= WIDE_FAN_IN else 0
-            weights = [w + sign * step * row[f"g{j}"] for j, w in enumerate(weights)]
+            weights = [w + sign * step * g for w, g in zip(weights, row["g"])]
             model.weights.append(weights)
             end = time.perf_counter_ns()
             model.durations_ns.append(end - start)

@@ -10,6 +10,7 @@ from vecloop.plans.views import (
     LABEL_LAST_LINE,
     LR_START,
     MESSY_LINE,
+    spread_centers,
 )
 
 SEED = 42
@@ -197,6 +198,34 @@ def _kmeans_train(start: str, empty: str) -> str:
     return f"WITH {', '.join(_kmeans_steps(start, empty))} {every}"
 
 
+def _kmeans_lineitem() -> str:
+    """Four named coordinates instead of lists."""
+    columns = ", ".join(f"x{j}" for j in range(4))
+    start = ", ".join(f"({i}, {', '.join(f'{v!r}::DOUBLE' for v in c)})" for i, c in enumerate(spread_centers()))
+    distance = " + ".join(f"(x{j} - c{j}) * (x{j} - c{j})" for j in range(4))
+    steps = [
+        f"p AS MATERIALIZED (SELECT row_number() OVER () AS id, {columns} FROM ({POINTS_LR}))",
+        f"m0 AS MATERIALIZED (SELECT * FROM (VALUES {start}) t(cid, c0, c1, c2, c3))",
+    ]
+    means = ", ".join(f"avg(x{j}) AS c{j}" for j in range(4))
+    for i in range(1, ITERATIONS + 1):
+        steps.append(
+            f"""m{i} AS MATERIALIZED (
+SELECT cid, {', '.join(f'coalesce(n.c{j}, o.c{j}) AS c{j}' for j in range(4))}
+FROM m{i - 1} o LEFT JOIN (
+  SELECT cid, {means}
+  FROM p JOIN (SELECT id, min_by(cid, (d, cid)) AS cid FROM (SELECT id, cid, {distance} AS d FROM p, m{i - 1}) GROUP BY id)
+       USING (id)
+  GROUP BY cid) n USING (cid))"""
+        )
+    every = " UNION ALL ".join(
+        f"SELECT {i} AS iter, cid, {j} AS pos, {_r(f'c{j}', 'v')} FROM m{i}"
+        for i in range(ITERATIONS + 1)
+        for j in range(4)
+    )
+    return f"WITH {', '.join(steps)} {every}"
+
+
 def _kmeans_shift() -> str:
     moved = DISTANCE.replace("(x, c)", "(o.c, n.c)")
     every = " UNION ALL ".join(
@@ -316,6 +345,7 @@ FROM (SELECT * FROM ({POINTS_EMB}) ORDER BY md5('{SEED}:' || id), id LIMIT {K})"
         "kmeans_train": _kmeans_train(FIRST, "keep"),
         "kmeans_shift_history": _kmeans_shift(),
         "kmeans_train_diagonal": _kmeans_train(DIAGONAL, "drop"),
+        "kmeans_train_lineitem": _kmeans_lineitem(),
         "iteration_durations": _durations(
             "events", "user_id", "ts", "event_id", "date_trunc('day', ts)::TIMESTAMP", "user_id, event_id"
         ),

@@ -195,7 +195,8 @@ def lr_gradient_terms_alt(spark, sf_dir):
 
 def lr_gradient_sum(spark, sf_dir):
     sums = logistic.gradient_sum(views.points_lr(spark, sf_dir), views.LR_START)
-    return sums.select("n", *[_round(f"g{i}") for i in range(4)])
+    wide = sums.select("n", *[F.get("g", F.lit(i)).alias(f"g{i}") for i in range(4)])
+    return wide.select("n", *[_round(f"g{i}") for i in range(4)])
 
 
 def lr_train(spark, sf_dir):
@@ -235,7 +236,7 @@ def model_cross_join(spark, sf_dir):
 
 def cluster_sum_count(spark, sf_dir):
     sums = kmeans.cluster_sums(views.points_emb(spark, sf_dir), views.first_centers(spark, sf_dir))
-    return _long(sums, "s", "cid", "n")
+    return _long(sums, "g", "cid", "n")
 
 
 def cluster_means(spark, sf_dir):
@@ -291,6 +292,12 @@ def kmeans_train_diagonal(spark, sf_dir):
     return _long(trained.history(), "c", "iter", "cid")
 
 
+def kmeans_train_lineitem(spark, sf_dir):
+    """K-means over every line item."""
+    trained = kmeans.train_kmeans(views.points_lr(spark, sf_dir), iterations=views.ITERATIONS, centers=views.spread_centers())
+    return _long(trained.history(), "c", "iter", "cid")
+
+
 # Metrics
 
 
@@ -339,7 +346,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         model_history, resume_from_iteration, write_metrics, read_metrics, vec_dot, vec_scale, vec_add, vec_subtract,
         vec_sqdist, lr_gradient_terms, lr_gradient_terms_alt, lr_gradient_sum, lr_train, lr_train_uncached,
         lr_train_alt, lr_train_wide, kmeans_assign, model_cross_join, cluster_sum_count, cluster_means, centers_join,
-        centers_upsert, center_shift, kmeans_train, kmeans_shift_history, kmeans_train_diagonal,
+        centers_upsert, center_shift, kmeans_train, kmeans_shift_history, kmeans_train_diagonal, kmeans_train_lineitem,
         metrics_first_vs_rest, metrics_pivot, metrics_one_engine, metrics_largest_cluster, metrics_first_later_long,
         metrics_union, bench_matrix,
     ]

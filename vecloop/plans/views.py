@@ -62,6 +62,11 @@ def first_centers(spark: SparkSession, sf_dir: str) -> list[list[float]]:
     return [list(r["x"]) for r in points_emb(spark, sf_dir).orderBy("id").limit(K).collect()]
 
 
+def spread_centers(width: int = 4) -> list[list[float]]:
+    """K fixed starting centres for the line items' points, spread over the unit cube by a rule."""
+    return [[((i + 1) * 0.618034 + (j + 1) * 0.414214 * (i + 1)) % 1.0 for j in range(width)] for i in range(K)]
+
+
 def lines(spark: SparkSession, sf_dir: str, line: str) -> DataFrame:
     """``(value)``: every line item as one line of text."""
     words = table(spark, sf_dir, "lineitem").selectExpr(

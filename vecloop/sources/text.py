@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vecloop.functions.vectors import as_text
+from vecloop.functions.vectors import UNROLL_WIDTH, as_text
 
 
 def scan_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -28,30 +28,34 @@ def _tokens_on_single() -> Column:
     return F.split(F.rtrim("value"), " ")
 
 
-def _numbers(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: t.try_cast("double"))
+def _numbers(count: int | None) -> str:
+    """SQL text: the first ``count`` words (or all) as doubles, NULL where a word is no number.
 
+    A small known count is written out, which compiles into plain code; a higher-order function does not.
+    """
+    if count is not None and count <= UNROLL_WIDTH:
+        return f"array({', '.join(f'try_cast(get(tokens, {i}) AS DOUBLE)' for i in range(count))})"
+    words = "tokens" if count is None else f"slice(tokens, 1, {count})"
+    return f"transform({words}, t -> try_cast(t AS DOUBLE))"
 
-def _value_reason(numbers: Column) -> Column:
-    def infinite(v):
-        return F.isnan(v) | (F.abs(v) == float("inf"))
-
-    return F.when(F.exists(numbers, lambda v: v.isNull()), "not a number").when(
-        F.exists(numbers, infinite), "not finite"
-    )
 
+def _check(count: int | None) -> str:
+    """SQL text: NULL if a number is missing, 0 if all are finite, NaN otherwise."""
+    if count is not None and count <= UNROLL_WIDTH:
+        return " + ".join(f"get(numbers, {i}) * 0D" for i in range(count))
+    return "aggregate(numbers, 0D, (total, v) -> total + v * 0D)"
 
-def _parse(lines: DataFrame, tokens: Column, shape_reason: Column | None, used: Column) -> DataFrame:
-    """``used`` picks the words that matter out of the column ``tokens``; they become ``numbers``.
 
-    Further columns of ``lines`` pass through.
-    """
+def _parse(lines: DataFrame, tokens: Column, shape_reason: Column | None, count: int | None) -> DataFrame:
+    """The first ``count`` words, or all, become ``numbers``. Further columns of ``lines`` pass through."""
     no_reason = F.lit(None).cast("string")
     split = lines.withColumn("tokens", tokens)
-    split = split.withColumn("shape", no_reason if shape_reason is None else shape_reason)
-    parsed = split.withColumn("numbers", _numbers(used))
-    reason = F.coalesce("shape", _value_reason(F.col("numbers"))).alias("reason")
-    return parsed.select(*lines.columns, reason, "numbers")
+    split = split.withColumns(
+        {"shape": no_reason if shape_reason is None else shape_reason, "numbers": F.expr(_numbers(count))}
+    )
+    checked = split.withColumn("check", F.expr(_check(count)))
+    value_reason = F.when(F.col("check").isNull(), "not a number").when(F.col("check") != 0, "not finite")
+    return checked.select(*lines.columns, F.coalesce("shape", value_reason).alias("reason"), "numbers")
 
 
 def _label_first(parsed: DataFrame) -> DataFrame:
@@ -63,18 +67,18 @@ def _label_first(parsed: DataFrame) -> DataFrame:
 def parse_labeled(lines: DataFrame, width: int) -> DataFrame:
     """Label first, then ``width`` values, between runs of spaces; further words are ignored."""
     shape = F.when(F.size("tokens") < width + 1, "too few values")
-    return _label_first(_parse(lines, _tokens_on_runs(), shape, F.slice("tokens", 1, width + 1)))
+    return _label_first(_parse(lines, _tokens_on_runs(), shape, width + 1))
 
 
 def parse_labeled_strict(lines: DataFrame, width: int) -> DataFrame:
     """Label first, then exactly ``width`` values, separated by single spaces."""
-    return _label_first(_parse(lines, _tokens_on_single(), _wrong_width(width + 1), F.col("tokens")))
+    return _label_first(_parse(lines, _tokens_on_single(), _wrong_width(width + 1), width + 1))
 
 
 def parse_label_last(lines: DataFrame, width: int | None = None) -> DataFrame:
     """All values but the last, then the label, cut to a whole number, separated by single spaces."""
     shape = None if width is None else _wrong_width(width + 1)
-    parsed = _parse(lines, _tokens_on_single(), shape, F.col("tokens"))
+    parsed = _parse(lines, _tokens_on_single(), shape, None if width is None else width + 1)
     numbers = F.col("numbers")
     parsed = parsed.withColumns(
         {"y": F.element_at(numbers, -1).try_cast("int"), "x": F.slice(numbers, 1, F.size(numbers) - 1)}
@@ -85,13 +89,13 @@ def parse_label_last(lines: DataFrame, width: int | None = None) -> DataFrame:
 def parse_vectors(lines: DataFrame, width: int | None = None) -> DataFrame:
     """Every word between single spaces is a value; ``width`` rejects vectors of another width."""
     shape = None if width is None else _wrong_width(width)
-    return _parse(lines, _tokens_on_single(), shape, F.col("tokens")).withColumnRenamed("numbers", "x")
+    return _parse(lines, _tokens_on_single(), shape, width).withColumnRenamed("numbers", "x")
 
 
 def parse_vectors_fixed(lines: DataFrame, width: int) -> DataFrame:
     """The first ``width`` words between runs of spaces; further words are ignored."""
     shape = F.when(F.size("tokens") < width, "too few values")
-    return _parse(lines, _tokens_on_runs(), shape, F.slice("tokens", 1, width)).withColumnRenamed("numbers", "x")
+    return _parse(lines, _tokens_on_runs(), shape, width).withColumnRenamed("numbers", "x")
 
 
 def _wrong_width(width: int) -> Column:
@@ -111,7 +115,10 @@ def points(parsed: DataFrame, mode: str = "reject") -> DataFrame:
     """The good rows. ``mode="fail"`` ends the job at a bad line instead of leaving it out."""
     values = [c for c in parsed.columns if c not in ("value", "reason")]
     if mode == "reject":
-        return parsed.where(F.col("reason").isNull()).select(*values)
+        # The one-element array keeps the filter above the parsing, which is then done once per line
+        # and not a second time in the filter.
+        once = parsed.select(F.inline(F.array(F.struct("reason", *values))))
+        return once.where(F.col("reason").isNull()).select(*values)
     if mode != "fail":
         raise ValueError(f"unknown mode: {mode}")
     message = F.concat(F.col("reason"), F.lit(": "), F.col("value"))
