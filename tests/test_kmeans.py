@@ -88,6 +88,19 @@ def test_two_step_merge(make_points, x, monkeypatch):
     same(model.centers, loop(x, x[:5], 3))
 
 
+def test_few_partitions_are_spread(spark, make_points, x, monkeypatch):
+    from vecloop.operators import model
+
+    monkeypatch.setattr(model, "SLOW_NS", 0)
+    partitions = []
+    whole = kmeans._sums_prepared
+    monkeypatch.setattr(kmeans, "_sums_prepared", lambda d, *a: partitions.append(d.rdd.getNumPartitions()) or whole(d, *a))
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    same(train_kmeans(make_points(x, partitions=1), iterations=5, centers=x[:5]).centers, loop(x, x[:5], 5))
+    assert partitions == [1, 1, 4, 4, 4]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
 def test_one_cluster_holds_almost_everything(make_points, x):
     data = np.vstack([np.zeros((500, 6)), x])
     centers = np.vstack([np.zeros((1, 6)), x[:3]])

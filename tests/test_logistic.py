@@ -91,6 +91,15 @@ def test_nothing_stays_cached(spark, make_points, data):
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
 
 
+def test_few_partitions_are_spread(make_points, data, monkeypatch):
+    from vecloop.operators import model
+
+    monkeypatch.setattr(model, "SLOW_NS", 0)
+    x, y = data
+    trained = train_logistic(make_points(x, y, 1), 5, [0.1] * 5)
+    np.testing.assert_allclose(trained.weights, loop(x, y, [0.1] * 5, 5), rtol=1e-9)
+
+
 def test_extreme_values_do_not_overflow(make_points):
     rows = gradient_terms(make_points([[1000.0], [-1000.0], [0.0]], [1, 1, -1]), [5.0]).orderBy("id").collect()
     assert [r["factor"] for r in rows] == [0.0, -1.0, 0.5]

@@ -6,6 +6,7 @@ Two vectors of unequal width are an error, never a silent truncation or a NULL.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -62,8 +63,12 @@ def nearest(distances: Column) -> Column:
 
 def checked(x: Column, width: int) -> Column:
     """``x`` itself, or an error if it does not hold exactly ``width`` values, none of them NULL."""
-    good = x.isNotNull() & (F.size(x) == width) & ~F.exists(x, lambda v: v.isNull())
-    return F.when(good, x).otherwise(F.raise_error(F.lit(f"expected a vector of {width} numbers")))
+    if width <= UNROLL_WIDTH:
+        # The sum is NULL if one of the values is.
+        complete = reduce(lambda a, b: a + b, [F.get(x, F.lit(i)) for i in range(width)]).isNotNull()
+    else:
+        complete = ~F.exists(x, lambda v: v.isNull())
+    return F.when(x.isNotNull() & (F.size(x) == width) & complete, x).otherwise(F.raise_error(F.lit(f"expected a vector of {width} numbers")))
 
 
 def unrolled_dot(x: str, w: str, width: int) -> str:
@@ -81,4 +86,4 @@ def array_of_sums(terms: Sequence[str]) -> str:
 
 
 def as_text(x: Column) -> Column:
-    return F.concat_ws(" ", F.transform(x, lambda v: v.cast("string")))
+    return F.concat_ws(" ", x.cast("array<string>"))

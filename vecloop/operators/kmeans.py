@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vecloop.functions.vectors import center_distances, checked, nearest
 from vecloop.operators.logistic import WIDE_FAN_IN, merge_partials
-from vecloop.operators.model import model_value
+from vecloop.operators.model import model_value, spread_if_slow
 from vecloop.operators.sampling import sample_k
 
 # The model goes to every task, so its size is checked: 64 MB of doubles.
@@ -210,6 +210,8 @@ def train_kmeans(
             start = end
             if on_iteration:
                 on_iteration(i, centers, model.durations_ns[-1])
+            if cache and i > 1:  # the first one loads the points
+                data = spread_if_slow(data, partitions, model.durations_ns[-1], iterations - i)
     finally:
         if cache:
             data.unpersist()

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vecloop.functions.gradient import FACTORS
 from vecloop.functions.uniform import uniform
 from vecloop.functions.vectors import UNROLL_WIDTH, array_of_sums, checked, dot, scale, unrolled_dot
-from vecloop.operators.model import model_value
+from vecloop.operators.model import model_value, spread_if_slow
 
 # From this many partitions on, partial sums are merged in two steps instead of by one task.
 WIDE_FAN_IN = 2048
@@ -43,24 +43,37 @@ class LogisticModel:
 
 def initial_weights(spark: SparkSession, width: int, kind: str = "uniform", seed: int = 42) -> list[float]:
     """``uniform``: in [-1, 1). ``int``: whole numbers 0 to 99."""
-    u = uniform(seed, F.col("id"))
-    value = {"uniform": 2 * u - 1, "int": F.floor(100 * u).cast("double")}[kind]
-    rows = spark.range(0, width, 1, 1).select("id", value.alias("w")).collect()
+    u = uniform(f"concat('{seed}:', id)")
+    value = {"uniform": f"2D * {u} - 1D", "int": f"CAST(floor(100D * {u}) AS DOUBLE)"}[kind]
+    rows = spark.range(0, width, 1, 1).selectExpr("id", f"{value} AS w").collect()
     return [r["w"] for r in sorted(rows)]
 
 
+def prepared(column: str, width: int = 0):
+    """The column, or an error: ``x`` of another width than ``width``, or no label ``y``."""
+    if column == "x":
+        return checked(F.col("x"), width)
+    missing = F.raise_error(F.lit("point without a label")).cast("double")
+    return F.coalesce(F.col("y").cast("double"), missing)
+
+
 def prepare_points(points: DataFrame, width: int) -> DataFrame:
     """Columns ``y, x`` only; a row of another width or without a label ends the job with an error."""
-    y = F.coalesce(F.col("y").cast("double"), F.raise_error(F.lit("point without a label")).cast("double"))
-    return points.select(y.alias("y"), checked(F.col("x"), width).alias("x"))
+    return points.select(prepared("y").alias("y"), prepared("x", width).alias("x"))
 
 
 def gradient_terms(points: DataFrame, weights: Sequence[float], rule: str = "logistic") -> DataFrame:
     """Adds ``factor`` and ``term = factor * x`` to each point."""
-    with_model = points.withColumn("w", model_value(points.sparkSession, weights))
-    with_dot = with_model.withColumn("d", dot(F.col("x"), F.col("w")))
-    with_factor = with_dot.withColumn("factor", F.expr(FACTORS[rule]("y", "d")))
-    return with_factor.withColumn("term", scale(F.col("x"), F.col("factor"))).drop("w", "d")
+    width = len(weights)
+    y, x = prepared("y"), prepared("x", width)
+    with_model = points.withColumns({"y": y, "x": x, "w": model_value(points.sparkSession, weights)})
+    if width <= UNROLL_WIDTH:
+        factor = F.expr(FACTORS[rule]("y", unrolled_dot("x", "w", width)))
+        term = F.expr(f"array({', '.join(f'factor * get(x, {i})' for i in range(width))})")
+    else:
+        with_model = with_model.withColumn("d", dot(F.col("x"), F.col("w")))
+        factor, term = F.expr(FACTORS[rule]("y", "d")), scale(F.col("x"), F.col("factor"))
+    return with_model.withColumn("factor", factor).withColumn("term", term).drop("w", "d")
 
 
 def gradient_sum(points: DataFrame, weights: Sequence[float], rule: str = "logistic", fan_in: int = 0) -> DataFrame:
@@ -170,7 +183,8 @@ def train_logistic(
             row = _sum_prepared(data, weights, rule, fan_in).first()
             if not row["n"]:
                 raise ValueError("no points to train on")
-            fan_in = math.isqrt(row["pid"] + 1) if row["pid"] + 1 >= WIDE_FAN_IN else 0
+            partitions = row["pid"] + 1
+            fan_in = math.isqrt(partitions) if partitions >= WIDE_FAN_IN else 0
             weights = [w + sign * step * g for w, g in zip(weights, row["g"])]
             model.weights.append(weights)
             end = time.perf_counter_ns()
@@ -178,6 +192,8 @@ def train_logistic(
             start = end
             if on_iteration:
                 on_iteration(i, weights, model.durations_ns[-1])
+            if cache and i > first_iter + 1:  # the first one loads the points
+                data = spread_if_slow(data, partitions, model.durations_ns[-1], first_iter + iterations - i)
     finally:
         if cache:
             data.unpersist()

@@ -1,14 +1,17 @@
-"""A small model, visible to every row."""
+"""What the trainers share: a small model visible to every row, and points in enough partitions."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 # Up to this many numbers the model is written into the query as text.
 MAX_TEXT_NUMBERS = 10_000
 
+# An iteration over cached points that takes this long may be worth a shuffle.
+SLOW_NS = 1_000_000_000
+
 
 def _literal(value) -> str:
     if isinstance(value, (list, tuple)):
@@ -30,3 +33,19 @@ def model_value(spark: SparkSession, value: Sequence) -> Column:
         kind = "array<array<double>>" if nested else "array<double>"
         model = spark.createDataFrame([(value,)], f"model {kind}")
     return model.scalar()
+
+
+def spread_if_slow(cached: DataFrame, partitions: int, duration_ns: int, iterations_left: int) -> DataFrame:
+    """The cached points, cached again over all task slots if that pays.
+
+    It does when they came in fewer partitions than there are slots, as from a file that cannot be
+    split, and an iteration takes long enough to be worth one shuffle. Large inputs have more
+    partitions than slots and are left as they are.
+    """
+    slots = cached.sparkSession.sparkContext.defaultParallelism
+    if partitions >= slots or duration_ns < SLOW_NS or iterations_left < 2:
+        return cached
+    wider = cached.repartition(slots).persist()
+    wider.count()
+    cached.unpersist()
+    return wider

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from vecloop.session import write_and_reread
 
 # A run up to this many rows is sorted by one task; longer ones are spread over several.
-MAX_RUN_ROWS = 5_000_000
+MAX_RUN_ROWS = 20_000_000
 
 
 def number_in_order(
@@ -34,7 +34,7 @@ def number_in_order(
         window = Window.partitionBy(*run).orderBy(*order)
         return df.withColumns({"iter": F.row_number().over(window).cast("long"), "previous": F.lag(carry).over(window)})
 
-    chunks = max(2, math.ceil(2 * size["all"] / max_run_rows))
+    chunks = max(2, math.ceil(size["all"] / max_run_rows))
     spread = df.repartitionByRange(chunks, *run, *order).withColumn("chunk", F.spark_partition_id())
     # Written out: the chunk of a row must be the same in both uses below.
     spread = write_and_reread(spread, "runs")

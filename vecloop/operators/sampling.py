@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from vecloop.functions.uniform import digest
-
 
 def sample_k(df: DataFrame, k: int, id_col: str, seed: int = 42) -> DataFrame:
     """Exactly K rows without replacement (all rows if there are fewer), in drawing order.
@@ -13,4 +11,5 @@ def sample_k(df: DataFrame, k: int, id_col: str, seed: int = 42) -> DataFrame:
     Ordered by a digest of (seed, id): the draw does not depend on the partitioning, and Spark keeps
     only K rows per partition before merging them.
     """
-    return df.orderBy(digest(seed, F.col(id_col)), F.col(id_col)).limit(k)
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    return df.orderBy(digest, F.col(id_col)).limit(k)

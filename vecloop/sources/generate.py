@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from vecloop.functions.uniform import uniform
+from vecloop.functions.uniform import prefix, uniform, uniforms
 
 
 def ids(spark: SparkSession, records: int) -> DataFrame:
@@ -12,16 +12,17 @@ def ids(spark: SparkSession, records: int) -> DataFrame:
     return spark.range(records)
 
 
-def _features(seed: int, first: int, width: int) -> Column:
-    return F.array(*[uniform(seed, F.col("id"), F.lit(i)) for i in range(first, first + width)])
-
-
 def labeled_points(ids: DataFrame, width: int = 10, seed: int = 42) -> DataFrame:
     """``(id, y, x)`` per id: a fair label of 1 or -1 and ``width`` uniforms in [0, 1)."""
-    y = F.when(uniform(seed, F.col("id"), F.lit(0)) < 0.5, -1.0).otherwise(1.0)
-    return ids.select("id", y.alias("y"), _features(seed, 1, width).alias("x"))
+    coin = uniform("concat(pre, '0')")
+    y = f"CASE WHEN {coin} < 0.5D THEN -1D ELSE 1D END AS y"
+    return _keyed(ids, seed).selectExpr("id", y, f"{uniforms('pre', 1, width)} AS x")
 
 
 def vectors(ids: DataFrame, width: int = 10, seed: int = 42) -> DataFrame:
     """``(id, x)`` per id: ``width`` uniforms in [0, 1)."""
-    return ids.select("id", _features(seed, 0, width).alias("x"))
+    return _keyed(ids, seed).selectExpr("id", f"{uniforms('pre', 0, width)} AS x")
+
+
+def _keyed(ids: DataFrame, seed: int) -> DataFrame:
+    return ids.selectExpr("id", f"{prefix(seed, 'id')} AS pre")

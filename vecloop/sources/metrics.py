@@ -48,24 +48,28 @@ def read_metrics_text(spark: SparkSession, root: str, max_run_rows: int = MAX_RU
     A line's place in its run is (part file, split, place within the split), all of which are known
     where the line is read, so long files are read by many tasks.
     """
-    path = F.col("_metadata.file_path")
-
-    def part(group: int):
-        return F.regexp_extract(path, RUN_FILE, group)
-
-    def number(group: int):
-        return F.coalesce(part(group).try_cast("int"), F.lit(0))
-
+    # One match per line: <nodes>|<engine>|<algo>|<part>|<piece>, the last two empty for a plain file.
+    run = F.regexp_replace(F.col("_metadata.file_path"), "^.*/" + RUN_FILE, "$1|$2|$3|$4|$5")
     lines = spark.read.option("recursiveFileLookup", "true").text(root).select(
-        part(2).alias("engine"),
-        part(3).alias("algo"),
-        number(1).alias("nodes"),
-        number(4).alias("part"),
-        number(5).alias("piece"),
+        F.split(run, "\\|").alias("run"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("line"),
         F.col("value").cast("bigint").alias("duration_ns"),
     )
+
+    def number(i: int):
+        return F.coalesce(F.get("run", F.lit(i)).try_cast("int"), F.lit(0))
+
+    lines = lines.select(
+        F.get("run", F.lit(1)).alias("engine"),
+        F.get("run", F.lit(2)).alias("algo"),
+        number(0).alias("nodes"),
+        number(3).alias("part"),
+        number(4).alias("piece"),
+        "split",
+        "line",
+        "duration_ns",
+    )
     numbered = number_in_order(
         lines, ["engine", "algo", "nodes"], ["part", "piece", "split", "line"], "duration_ns", max_run_rows
     )

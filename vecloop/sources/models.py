@@ -11,7 +11,7 @@ CENTERS = "cid int, c array<double>, iter int"
 
 def save_history(history: DataFrame, path: str) -> None:
     """Append ``(iter, ...)`` rows; each iteration is a folder of its own."""
-    history.repartition(1).write.mode("append").partitionBy("iter").parquet(path)
+    history.coalesce(1).write.mode("append").partitionBy("iter").parquet(path)
 
 
 def weights_history(spark: SparkSession, path: str) -> DataFrame:

@@ -20,7 +20,7 @@ def scan_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _tokens_on_runs() -> Column:
     """Words between runs of spaces; leading and trailing spaces do not count."""
-    return F.filter(F.split(F.col("value"), " "), lambda t: t != "")
+    return F.array_remove(F.split(F.col("value"), " "), "")
 
 
 def _tokens_on_single() -> Column:
