@@ -156,9 +156,20 @@ def test_large_model_value(make_points, x, monkeypatch):
     from vecloop.operators import model
 
     points = make_points(x)
-    expected = sorted(assign(points, x[:9].tolist()).select("id", "cid").collect())
+    expected = sorted(distances(points, x[:9].tolist()).collect())
     monkeypatch.setattr(model, "MAX_TEXT_NUMBERS", 3)
-    assert sorted(assign(points, x[:9].tolist()).select("id", "cid").collect()) == expected
+    assert sorted(distances(points, x[:9].tolist()).collect()) == expected
+
+
+def test_arrow_and_column_forms_agree(make_points, x):
+    from vecloop.functions.vectors import center_distances, nearest
+    from vecloop.operators.model import model_value
+
+    points = make_points(np.round(x, 1))
+    centers = np.round(x[:9], 1).tolist()
+    with_model = points.withColumn("m", model_value(points.sparkSession, centers))
+    by_column = with_model.select("id", nearest(center_distances(F.col("x"), F.col("m"))).alias("cid"))
+    assert sorted(assign(points, centers).select("id", "cid").collect()) == sorted(by_column.collect())
 
 
 def test_distances(make_points, x):

@@ -11,9 +11,10 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vecloop.functions.vectors import center_distances, checked, nearest
+from vecloop.functions.vectors import center_distances, checked
 from vecloop.operators.logistic import WIDE_FAN_IN, merge_partials
 from vecloop.operators.model import model_value, spread_if_slow
 from vecloop.operators.sampling import sample_k
@@ -51,11 +52,48 @@ def diagonal_centers(k: int, width: int) -> list[list[float]]:
     return [[float(i)] * width for i in range(k)]
 
 
+def _nearest_kernel(centers: Sequence[Sequence[float]]):
+    """A function for Arrow batches of vectors: yields slices of ``(vectors, cluster, distance)``.
+
+    A slice bounds the memory of the temporary differences. Everything the function needs comes
+    with it, so that workers need not import this package.
+    """
+    k, width = len(centers), len(centers[0])
+    if k * width > MAX_MODEL_NUMBERS:
+        raise ValueError(f"{k} centres of {width} values are too large to send to every task")
+    flat = [list(c) for c in centers]
+    rows_per_slice = max(1, 1_000_000 // width)
+
+    def nearest_in(column):
+        import numpy as np
+
+        model = np.asarray(flat, dtype=np.float64)
+        rows = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        for begin in range(0, len(rows), rows_per_slice):
+            x = rows[begin : begin + rows_per_slice]
+            best, cid = np.full(len(x), np.inf), np.zeros(len(x), dtype=np.int32)
+            for i in range(k):
+                gap = x - model[i]
+                d = np.einsum("ij,ij->i", gap, gap)
+                closer = d < best  # strictly, so the lowest index keeps a tie
+                best[closer] = d[closer]
+                cid[closer] = i
+            yield x, cid, best
+
+    return nearest_in
+
+
 def assign(points: DataFrame, centers: Sequence[Sequence[float]]) -> DataFrame:
-    """Adds ``cid``, the index of the nearest centre; the lowest index wins a tie."""
-    model = model_value(points.sparkSession, [list(c) for c in centers])
-    with_distances = points.withColumn("model", model).withColumn("d", center_distances(F.col("x"), F.col("model")))
-    return with_distances.withColumn("cid", nearest(F.col("d"))).drop("model", "d")
+    """Adds ``cid``, the index of the nearest centre; the lowest index wins a tie.
+
+    Only ``x`` goes to the Arrow function and only ``cid`` comes back; other columns stay in the JVM.
+    """
+    nearest_in = _nearest_kernel(centers)
+
+    def cluster(x: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array(cid) for _, cid, _ in nearest_in(x)] or [pa.array([], pa.int32())])
+
+    return points.withColumn("cid", F.arrow_udf(cluster, "int")(checked(F.col("x"), len(centers[0]))))
 
 
 def distances(points: DataFrame, centers: Sequence[Sequence[float]]) -> DataFrame:
@@ -87,28 +125,14 @@ def prepare_vectors(points: DataFrame, width: int) -> DataFrame:
 
 def _sums_prepared(points: DataFrame, centers: Sequence[Sequence[float]], fan_in: int) -> DataFrame:
     k, width = len(centers), len(centers[0])
-    if k * width > MAX_MODEL_NUMBERS:
-        raise ValueError(f"{k} centres of {width} values are too large to send to every task")
-    flat = [list(c) for c in centers]
-    rows_per_slice = max(1, 1_000_000 // width)
+    nearest_in = _nearest_kernel(centers)
 
     def partial_sums(batches):
         import numpy as np
-        import pyarrow as pa
 
-        model = np.asarray(flat, dtype=np.float64)
         count, cost, total = np.zeros(k, dtype=np.int64), np.zeros(k), np.zeros((k, width))
         for batch in batches:
-            rows = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            for begin in range(0, len(rows), rows_per_slice):
-                x = rows[begin : begin + rows_per_slice]
-                best, cid = np.full(len(x), np.inf), np.zeros(len(x), dtype=np.int64)
-                for i in range(k):
-                    gap = x - model[i]
-                    d = np.einsum("ij,ij->i", gap, gap)
-                    closer = d < best
-                    best[closer] = d[closer]
-                    cid[closer] = i
+            for x, cid, best in nearest_in(batch.column("x")):
                 count += np.bincount(cid, minlength=k)
                 cost += np.bincount(cid, weights=best, minlength=k)
                 order = np.argsort(cid, kind="stable")
