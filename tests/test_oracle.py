@@ -43,6 +43,16 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+@pytest.mark.parametrize("name", ["iteration_durations", "metrics_union"])
+def test_any_time_zone(spark, sf_dir, duck, name):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        test_query_equals_sql(spark, sf_dir, duck, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_matrix_times_every_iteration(spark, sf_dir):
     rows = QUERIES["bench_matrix"](spark, sf_dir).collect()
     runs = {(r["engine"], r["algo"]) for r in rows}

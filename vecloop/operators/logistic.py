@@ -180,7 +180,7 @@ def train_logistic(
     try:
         start = time.perf_counter_ns()
         for i in range(first_iter + 1, first_iter + iterations + 1):
-            row = _sum_prepared(data, weights, rule, fan_in).first()
+            row = _sum_prepared(data, weights, rule, fan_in).collect()[0]
             if not row["n"]:
                 raise ValueError("no points to train on")
             partitions = row["pid"] + 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vecloop.operators.runs import iteration_durations
 
@@ -80,9 +80,18 @@ def lines(spark: SparkSession, sf_dir: str, line: str) -> DataFrame:
     return words.selectExpr(f"{line} AS value")
 
 
-def _nanoseconds(ts) -> F.Column:
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", epoch, ts.cast("timestamp_ntz")) * 1000
+def _nanoseconds(ts: str) -> Column:
+    """Nanoseconds since 1970 of a timestamp without time zone, whatever the session's zone."""
+    since = f"(CAST({ts} AS TIMESTAMP_NTZ) - TIMESTAMP_NTZ '1970-01-01 00:00:00')"
+    seconds = " + ".join(
+        f"extract({unit} FROM {since}) * {size}L" for unit, size in (("DAY", 86400), ("HOUR", 3600), ("MINUTE", 60))
+    )
+    micros = f"CAST(extract(SECOND FROM {since}) * 1000000 AS BIGINT)"
+    return F.expr(f"(({seconds}) * 1000000 + {micros}) * 1000")
+
+
+def _midnight(ts: str) -> str:
+    return f"CAST({ts} AS DATE)"
 
 
 def event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +101,8 @@ def event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("lr").alias("algo"),
         F.dayofmonth("ts").alias("nodes"),
         "event_id",
-        _nanoseconds(F.col("ts")).alias("end_ns"),
-        _nanoseconds(F.date_trunc("day", F.col("ts"))).alias("start_ns"),
+        _nanoseconds("ts").alias("end_ns"),
+        _nanoseconds(_midnight("ts")).alias("start_ns"),
     )
     durations = iteration_durations(ends, ["engine", "algo", "nodes"], ["end_ns", "event_id"], "end_ns", "start_ns")
     return durations.select("engine", "algo", "nodes", "iter", "duration_ns")
@@ -101,14 +110,13 @@ def event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics rows from the orders: per status and month one run of order dates."""
-    date = F.col("o_orderdate")
     ends = table(spark, sf_dir, "orders").select(
         F.col("o_orderstatus").alias("engine"),
         F.lit("kmeans").alias("algo"),
-        F.month(date).alias("nodes"),
+        F.month("o_orderdate").alias("nodes"),
         "o_orderkey",
-        _nanoseconds(date).alias("end_ns"),
-        _nanoseconds(F.lit("1990-01-01 00:00:00").cast("timestamp_ntz")).alias("start_ns"),
+        _nanoseconds("o_orderdate").alias("end_ns"),
+        _nanoseconds("DATE '1990-01-01'").alias("start_ns"),
     )
     durations = iteration_durations(ends, ["engine", "algo", "nodes"], ["end_ns", "o_orderkey"], "end_ns", "start_ns")
     return durations.select("engine", "algo", "nodes", "iter", "duration_ns")
@@ -119,6 +127,6 @@ def user_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         "user_id",
         "event_id",
-        _nanoseconds(F.col("ts")).alias("end_ns"),
-        _nanoseconds(F.date_trunc("day", F.col("ts"))).alias("start_ns"),
+        _nanoseconds("ts").alias("end_ns"),
+        _nanoseconds(_midnight("ts")).alias("start_ns"),
     )
