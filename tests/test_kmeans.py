@@ -3,7 +3,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from vecloop.operators import kmeans
+from vecloop.operators import kmeans, model
 from vecloop.operators.centers import center_shift, join_centers, upsert_centers
 from vecloop.operators.kmeans import assign, cluster_means, cluster_sums, distances, train_kmeans
 from vecloop.operators.sampling import sample_k
@@ -45,10 +45,10 @@ def same(a, b):
 
 @pytest.mark.parametrize("partitions", [1, 4, 16])
 def test_equals_plain_loop(make_points, x, partitions):
-    model = train_kmeans(make_points(x, partitions=partitions), iterations=6, centers=x[:7])
-    same(model.centers, loop(x, x[:7], 6))
-    shifts = [((a - b) ** 2).sum() for a, b in zip(map(np.array, model.centers), map(np.array, model.centers[1:]))]
-    np.testing.assert_allclose(model.shifts, shifts, rtol=1e-9)
+    trained = train_kmeans(make_points(x, partitions=partitions), iterations=6, centers=x[:7])
+    same(trained.centers, loop(x, x[:7], 6))
+    shifts = [((a - b) ** 2).sum() for a, b in zip(map(np.array, trained.centers), map(np.array, trained.centers[1:]))]
+    np.testing.assert_allclose(trained.shifts, shifts, rtol=1e-9)
 
 
 def test_cost_never_rises(make_points, x):
@@ -84,23 +84,54 @@ def test_sums_agree_with_assignment(make_points, x):
 
 def test_two_step_merge(make_points, x, monkeypatch):
     monkeypatch.setattr(kmeans, "WIDE_FAN_IN", 4)
-    model = train_kmeans(make_points(x, partitions=9), iterations=3, centers=x[:5])
-    same(model.centers, loop(x, x[:5], 3))
+    trained = train_kmeans(make_points(x, partitions=9), iterations=3, centers=x[:5])
+    same(trained.centers, loop(x, x[:5], 3))
 
 
-def test_few_partitions_are_spread(spark, make_points, x, monkeypatch):
-    from vecloop.operators import model
+def _partition_sizes(monkeypatch):
+    """Rows per partition, largest first, as each iteration sees them."""
+    seen, sums = [], kmeans._sums_prepared
+
+    def watched(data, *rest):
+        rows = data.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+        seen.append(sorted((r["count"] for r in rows), reverse=True))
+        return sums(data, *rest)
 
+    monkeypatch.setattr(kmeans, "_sums_prepared", watched)
     monkeypatch.setattr(model, "SLOW_NS", 0)
-    partitions = []
-    whole = kmeans._sums_prepared
-    monkeypatch.setattr(kmeans, "_sums_prepared", lambda d, *a: partitions.append(d.rdd.getNumPartitions()) or whole(d, *a))
+    return seen
+
+
+def test_few_partitions_are_spread(spark, make_points, x, monkeypatch):
+    sizes = _partition_sizes(monkeypatch)
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
-    same(train_kmeans(make_points(x, partitions=1), iterations=5, centers=x[:5]).centers, loop(x, x[:5], 5))
-    assert partitions == [1, 1, 4, 4, 4]
+    same(train_kmeans(make_points(x, partitions=1), iterations=4, centers=x[:5]).centers, loop(x, x[:5], 4))
+    assert sizes[:2] == [[300], [300]] and len(sizes[2]) == len(sizes[3]) == 4
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
 
 
+def test_one_large_partition_is_spread(make_points, x, monkeypatch):
+    sizes = _partition_sizes(monkeypatch)
+    small = make_points(x[:60], partitions=6)
+    points = small.union(make_points(x[60:], partitions=1))
+    same(train_kmeans(points, iterations=4, centers=x[:5]).centers, loop(x, x[:5], 4))
+    assert sizes[1][0] == 240 and len(sizes[1]) == 7
+    assert sizes[2][0] < 80 and len(sizes[2]) == 7
+
+
+def test_even_partitions_stay(make_points, x, monkeypatch):
+    sizes = _partition_sizes(monkeypatch)
+    train_kmeans(make_points(x, partitions=6), iterations=4, centers=x[:5])
+    assert sizes[0] == sizes[3] and len(sizes[0]) == 6
+
+
+def test_floats_are_taken_as_doubles(spark, x):
+    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+    points = spark.createDataFrame(rows, "id bigint, x array<float>")
+    data = x.astype(np.float32).astype(float)
+    same(train_kmeans(points, iterations=3, centers=data[:4]).centers, loop(data, data[:4], 3))
+
+
 def test_one_cluster_holds_almost_everything(make_points, x):
     data = np.vstack([np.zeros((500, 6)), x])
     centers = np.vstack([np.zeros((1, 6)), x[:3]])
@@ -120,16 +151,16 @@ def test_empty_clusters(make_points, x):
 
 def test_duplicate_start_is_an_empty_cluster(make_points, x):
     centers = np.vstack([x[:2], x[:1]])
-    model = train_kmeans(make_points(x), iterations=1, centers=centers)
-    assert model.final[2] == x[0].tolist()
+    trained = train_kmeans(make_points(x), iterations=1, centers=centers)
+    assert trained.final[2] == x[0].tolist()
 
 
 def test_sample(make_points, x):
     draws = [[r["id"] for r in sample_k(make_points(x, partitions=p), 10, "id").collect()] for p in (1, 4, 16)]
     assert draws[0] == draws[1] == draws[2] and len(set(draws[0])) == 10
     assert draws[0] != [r["id"] for r in sample_k(make_points(x), 10, "id", seed=1).collect()]
-    model = train_kmeans(make_points(x), 10, 1)
-    assert model.centers[0] == [x[i].tolist() for i in draws[0]]
+    trained = train_kmeans(make_points(x), 10, 1)
+    assert trained.centers[0] == [x[i].tolist() for i in draws[0]]
 
 
 def test_more_centers_than_points(make_points, x):
@@ -153,8 +184,6 @@ def test_model_size_is_checked(make_points, x, monkeypatch):
 
 
 def test_large_model_value(make_points, x, monkeypatch):
-    from vecloop.operators import model
-
     points = make_points(x)
     expected = sorted(distances(points, x[:9].tolist()).collect())
     monkeypatch.setattr(model, "MAX_TEXT_NUMBERS", 3)

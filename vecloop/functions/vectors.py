@@ -62,7 +62,8 @@ def nearest(distances: Column) -> Column:
 
 
 def checked(x: Column, width: int) -> Column:
-    """``x`` itself, or an error if it does not hold exactly ``width`` values, none of them NULL."""
+    """``x`` as doubles, or an error if it does not hold exactly ``width`` values, none of them NULL."""
+    x = x.cast("array<double>")
     if width <= UNROLL_WIDTH:
         # The sum is NULL if one of the values is.
         complete = reduce(lambda a, b: a + b, [F.get(x, F.lit(i)) for i in range(width)]).isNotNull()

@@ -234,8 +234,8 @@ def train_kmeans(
             start = end
             if on_iteration:
                 on_iteration(i, centers, model.durations_ns[-1])
-            if cache and i > 1:  # the first one loads the points
-                data = spread_if_slow(data, partitions, model.durations_ns[-1], iterations - i)
+            if cache and i == 2:  # the first one loads the points
+                data = spread_if_slow(data, model.durations_ns[-1], iterations - 2)
     finally:
         if cache:
             data.unpersist()

@@ -192,8 +192,8 @@ def train_logistic(
             start = end
             if on_iteration:
                 on_iteration(i, weights, model.durations_ns[-1])
-            if cache and i > first_iter + 1:  # the first one loads the points
-                data = spread_if_slow(data, partitions, model.durations_ns[-1], first_iter + iterations - i)
+            if cache and i == first_iter + 2:  # the first one loads the points
+                data = spread_if_slow(data, model.durations_ns[-1], iterations - 2)
     finally:
         if cache:
             data.unpersist()

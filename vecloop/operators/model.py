@@ -1,10 +1,10 @@
-"""What the trainers share: a small model visible to every row, and points in enough partitions."""
+"""What the trainers share: a small model visible to every row, and points spread evenly."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Up to this many numbers the model is written into the query as text.
 MAX_TEXT_NUMBERS = 10_000
@@ -35,17 +35,21 @@ def model_value(spark: SparkSession, value: Sequence) -> Column:
     return model.scalar()
 
 
-def spread_if_slow(cached: DataFrame, partitions: int, duration_ns: int, iterations_left: int) -> DataFrame:
-    """The cached points, cached again over all task slots if that pays.
+def spread_if_slow(cached: DataFrame, duration_ns: int, iterations_left: int) -> DataFrame:
+    """The cached points, cached again in even partitions if one partition holds up every iteration.
 
-    It does when they came in fewer partitions than there are slots, as from a file that cannot be
-    split, and an iteration takes long enough to be worth one shuffle. Large inputs have more
-    partitions than slots and are left as they are.
+    That is so when the largest partition is more than twice what one task slot would get of an even
+    share: few partitions, as from a small file, or one file that cannot be split and holds much of
+    the data. Asked only after an iteration that took long enough to be worth one shuffle.
     """
+    if duration_ns < SLOW_NS or iterations_left < 2:
+        return cached
+    sizes = cached.select(F.spark_partition_id().alias("pid")).groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
+    size = sizes.agg(F.max("n").alias("most"), F.sum("n").alias("all"), F.count("n").alias("partitions")).collect()[0]
     slots = cached.sparkSession.sparkContext.defaultParallelism
-    if partitions >= slots or duration_ns < SLOW_NS or iterations_left < 2:
+    if size["most"] * slots <= 2 * size["all"]:
         return cached
-    wider = cached.repartition(slots).persist()
-    wider.count()
+    even = cached.repartition(max(slots, size["partitions"])).persist()
+    even.count()
     cached.unpersist()
-    return wider
+    return even
