@@ -184,11 +184,12 @@ def train_kmeans(
     empty: str = "keep",
     cache: bool = True,
     seed: int = 42,
-    on_iteration: Callable[[int, list[list[float]], int], None] | None = None,
+    on_iteration: Callable[[int, list[list[float]], float | None, int], None] | None = None,
 ) -> KMeansModel:
     """Train on ``points(x)`` for a fixed number of iterations; the shift is reported, not used.
 
     ``init``: ``sample`` (K rows of the points) or ``diagonal``, unless ``centers`` is given.
+    ``on_iteration(iter, centers, shift, duration_ns)`` is called after each iteration.
     ``empty``: ``keep`` the old centre of an empty cluster, raise an ``error``, or ``drop`` the
     cluster so that later centres move up.
     """
@@ -233,7 +234,7 @@ def train_kmeans(
             model.durations_ns.append(end - start)
             start = end
             if on_iteration:
-                on_iteration(i, centers, model.durations_ns[-1])
+                on_iteration(i, centers, shift, model.durations_ns[-1])
             if cache and i == 2:  # the first one loads the points
                 data = spread_if_slow(data, model.durations_ns[-1], iterations - 2)
     finally:
