@@ -132,6 +132,15 @@ def test_floats_are_taken_as_doubles(spark, x):
     same(train_kmeans(points, iterations=3, centers=data[:4]).centers, loop(data, data[:4], 3))
 
 
+@pytest.mark.parametrize("fan_in_from", [2048, 2])
+def test_very_wide_vectors(make_points, monkeypatch, fan_in_from):
+    monkeypatch.setattr(kmeans, "WIDE_FAN_IN", fan_in_from)
+    data = np.random.default_rng(4).random((40, 150))
+    trained = train_kmeans(make_points(data, partitions=5), iterations=3, centers=data[:4])
+    same(trained.centers, loop(data, data[:4], 3))
+    assert all(later <= earlier + 1e-9 for earlier, later in zip(trained.costs, trained.costs[1:]))
+
+
 def test_one_cluster_holds_almost_everything(make_points, x):
     data = np.vstack([np.zeros((500, 6)), x])
     centers = np.vstack([np.zeros((1, 6)), x[:3]])

@@ -39,16 +39,17 @@ def test_equals_plain_loop(make_points, data, rule, step):
 
 
 @pytest.mark.parametrize("rule", ["logistic", "alt"])
-def test_wide_vectors(make_points, rule):
+@pytest.mark.parametrize("extra", [5, 120])
+def test_wide_vectors(make_points, rule, extra):
     rng = np.random.default_rng(3)
-    width = logistic.UNROLL_WIDTH + 5
+    width = logistic.UNROLL_WIDTH + extra
     x, y = rng.random((60, width)), np.where(rng.random(60) < 0.5, -1.0, 1.0)
     w = list(rng.random(width) - 0.5)
     model = train_logistic(make_points(x, y), 3, w, rule=rule)
     np.testing.assert_allclose(model.weights, loop(x, y, w, 3, rule), rtol=1e-9)
 
 
-@pytest.mark.parametrize("width", [4, 40])
+@pytest.mark.parametrize("width", [4, 40, 150])
 def test_two_step_merge(make_points, width):
     rng = np.random.default_rng(5)
     x, y = rng.random((50, width)), np.where(rng.random(50) < 0.5, -1.0, 1.0)
@@ -147,6 +148,6 @@ def test_missing_values_are_errors(spark):
 
 def test_no_points_is_an_error(spark):
     empty = spark.createDataFrame([], "y double, x array<double>")
-    for weights in ([0.0], [0.0] * 40, None):
+    for weights in ([0.0], [0.0] * 40, [0.0] * 200, None):
         with pytest.raises(ValueError, match="no points"):
             train_logistic(empty, 1, weights)

@@ -21,6 +21,9 @@ from vecloop.operators.model import model_value, spread_if_slow
 # From this many partitions on, partial sums are merged in two steps instead of by one task.
 WIDE_FAN_IN = 2048
 
+# Beyond this width, vectors are summed as one row per position instead of one column.
+SUMS_WIDTH = 128
+
 
 @dataclass
 class LogisticModel:
@@ -104,6 +107,8 @@ def merge_partials(partials: DataFrame, width: int, fan_in: int = 0, key: str |
 
     ``fan_in`` > 0 does it in two steps, so that no single task has to fetch from every partition.
     """
+    if width > SUMS_WIDTH:
+        return _merge_by_position(partials, fan_in, key)
     keys = [key] if key else []
     sums = array_of_sums([f"get(g, {i})" for i in range(width)])
     extra = ["sum(cost) AS cost"] if "cost" in partials.columns else []
@@ -113,6 +118,20 @@ def merge_partials(partials: DataFrame, width: int, fan_in: int = 0, key: str |
     return partials.groupBy(*keys).agg(*outputs)
 
 
+def _merge_by_position(partials: DataFrame, fan_in: int, key: str | None) -> DataFrame:
+    """``merge_partials`` for very wide vectors: one row per position, so the query stays short."""
+    keys = [key] if key else []
+    added = ["n", "cost"] if "cost" in partials.columns else ["n"]
+    sums = [F.max("pid").alias("pid"), *[F.sum(c).alias(c) for c in (*added, "v")]]
+    rows = partials.select(*keys, *added, "pid", F.posexplode("g").alias("pos", "v"))
+    if fan_in:
+        rows = rows.groupBy(*keys, "pos", F.expr(f"pid % {fan_in} AS fan")).agg(*sums)
+    # Every position carries the same count, so any of them will do.
+    vector = "transform(array_sort(collect_list(struct(pos, v))), place -> place.v) AS g"
+    whole = [F.expr(vector), *[F.max(c).alias(c) for c in ("pid", *added)]]
+    return rows.groupBy(*keys, "pos").agg(*sums).groupBy(*keys).agg(*whole)
+
+
 def _arrow_partials(points: DataFrame, weights: Sequence[float], rule: str) -> DataFrame:
     """Wide vectors: one row of sums per partition, computed on Arrow batches with numpy."""
     width = len(weights)
