@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vecloop.llm import secrets, sharding
+from vecloop.llm import secrets, sharding, warc
 from vecloop.plans.views import table
 from vecloop.session import fresh_path
 
@@ -30,10 +30,29 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_round_trip(spark, table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Of equal payloads of 1000 bytes or more, the largest page_id answers for all.
+OP10 = """
+WITH p AS (
+    SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS payload_bytes FROM pages
+), w AS (
+    SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN keeper END AS refers_to
+FROM w
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    registered = [op4_sharding, op5_secret_scans]
+    registered = [op4_sharding, op5_secret_scans, op10_warc]
     return {q.__name__: q for q in registered}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc": OP10}
