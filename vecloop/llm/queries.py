@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from vecloop.llm import decontaminate, langid, pieces, quality, secrets, sharding, warc
+from vecloop.llm import decontaminate, langid, pieces, quality, secrets, sharding, simhash, warc
 from vecloop.plans.views import table
 from vecloop.session import fresh_path
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.component_digests(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
 
@@ -123,7 +127,7 @@ FROM w
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    registered = [op4_sharding, op5_secret_scans, op6_benchmark_decontamination, op7_sentencepiece, op8_language_id, op9_quality_rules, op10_warc]
+    registered = [op1_simhash_near_dedup, op4_sharding, op5_secret_scans, op6_benchmark_decontamination, op7_sentencepiece, op8_language_id, op9_quality_rules, op10_warc]
     return {q.__name__: q for q in registered}
 
 
