@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 import public_tokenizers
 
 from vecloop.llm import decontaminate, langid, pieces, quality, secrets, sharding, simhash, warc
@@ -126,8 +127,12 @@ FROM w
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    registered = [op1_simhash_near_dedup, op4_sharding, op5_secret_scans, op6_benchmark_decontamination, op7_sentencepiece, op8_language_id, op9_quality_rules, op10_warc]
+    registered = [op1_simhash_near_dedup, op4_sharding, op5_secret_scans, op6_benchmark_decontamination, op7_sentencepiece, op8_language_id, op9_quality_rules, op10_warc, pipeline]
     return {q.__name__: q for q in registered}
 
 
