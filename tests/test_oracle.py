@@ -7,9 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from vecloop.plans import oracles, queries
 
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
+QUERIES = queries.queries()
+SQL = oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +30,7 @@ def _rows(columns, rows):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
     assert set(QUERIES) - set(SQL) == {"bench_matrix"}
 
 
