@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 import public_tokenizers
 
-from vecloop.llm import decontaminate, langid, lm, pieces, quality, secrets, sharding, simhash, warc
+from vecloop.llm import decontaminate, langid, lm, pieces, quality, secrets, sharding, simhash, suffixes, warc
 from vecloop.plans.views import table
 from vecloop.session import fresh_path
 
@@ -22,6 +22,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
 
@@ -136,7 +140,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    registered = [op1_simhash_near_dedup, op2_lm_scoring, op4_sharding, op5_secret_scans, op6_benchmark_decontamination, op7_sentencepiece, op8_language_id, op9_quality_rules, op10_warc, pipeline]
+    registered = [op1_simhash_near_dedup, op2_lm_scoring, op3_suffix_array_dedup, op4_sharding, op5_secret_scans, op6_benchmark_decontamination, op7_sentencepiece, op8_language_id, op9_quality_rules, op10_warc, pipeline]
     return {q.__name__: q for q in registered}
 
 
