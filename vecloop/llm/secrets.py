@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vecloop.llm.common import batches, pick
+from vecloop.session import write_and_reread
 
 
 @dataclass(frozen=True)
@@ -133,12 +134,8 @@ def update_ledger(docs: DataFrame, path: str, rules: tuple[Rule, ...] = BASE_RUL
     return spark.read.schema(LEDGER_SCHEMA).parquet(path)
 
 
-def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, **columns: str) -> DataFrame:
-    """Every row of ``docs`` with what the ledger knows of its blob under these rule versions.
-
-    Returns ``path, blob, <n of each rule's name>, spans``; spans is an array of (start, order, name, stop),
-    sorted. Rows of one path (its historical versions, or repeats) each get a row. A null path stays null.
-    """
+def spans_by_blob(ledger: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
+    """``(blob, spans)`` once a blob, for these rule versions: spans is a sorted array of (start, place, name, stop)."""
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))])
     names = F.create_map(*[x for r in rules for x in (F.lit(r.key), F.lit(r.name))])
     entries = ledger.where(F.col("rule").isin([r.key for r in rules])).withColumns(
@@ -148,8 +145,17 @@ def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = BASE_
         "found",
         lambda s: F.struct(s["start"].alias("start"), F.col("place"), F.col("name"), s["stop"].alias("stop")),
     )
-    # One row a blob: a copied text meets one ledger row, and the many rows are the join's splittable side.
-    by_blob = entries.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(spans))).alias("spans"))
+    return entries.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(spans))).alias("spans"))
+
+
+def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, **columns: str) -> DataFrame:
+    """Every row of ``docs`` with what the ledger knows of its blob under these rule versions.
+
+    Returns ``path, blob, <n of each rule's name>, spans`` (see ``spans_by_blob``). Rows of one path (its
+    historical versions, or repeats) each get a row. A null path stays null.
+    """
+    # Written first: a join that reads two plain tables can split a blob that most paths share.
+    by_blob = write_and_reread(spans_by_blob(ledger, rules), "spans")
     rows = versions_of(docs, **columns).select("path", "blob").join(by_blob, "blob", "left")
     count = lambda name: F.size(F.filter("spans", lambda s: s["name"] == name)).cast("long")
     return rows.select("path", "blob", *[count(r.name).alias(f"n_{r.name}") for r in rules], "spans")
