@@ -54,8 +54,8 @@ def redact_secrets(docs: DataFrame, ledger_path: str) -> DataFrame:
     Overlapping spans are replaced as one. Texts come through the ledger's blobs, so a copy is scanned once.
     """
     ledger = secrets.update_ledger(docs, ledger_path)
-    blobs = secrets.findings(docs, ledger).where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
-    blobs = blobs.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    found = secrets.spans_by_blob(ledger).where(F.size("spans") > 0)
+    blobs = write_and_reread(found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "spans")
     named = docs.withColumn("__key", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
     joined = named.join(blobs, named["__key"] == blobs["__blob"], "left")
     spans = F.transform(F.coalesce("__spans", F.array().cast(blobs.schema["__spans"].dataType)), lambda s: F.struct(s["start"], s["stop"]))
