@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -57,3 +59,23 @@ def open_folder(uri: str):
     if uri.startswith("file:/"):  # Hadoop writes file:/x where others write file:///x
         return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(uri)
+
+
+def tidy(kernel: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task function that hands its memory back when the task ends.
+
+    Spark keeps Python workers for later tasks. What their allocators hold on to counts against the
+    executor while other stages run, so pools are emptied and free heap pages returned.
+    """
+
+    def run(parts: Iterator) -> Iterator:
+        try:
+            yield from kernel(parts)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return run

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vecloop.llm.common import batches, pick
+from vecloop.llm.common import batches, pick, tidy
 from vecloop.llm.shingles import Words, blocks
 from vecloop.session import write_and_reread
 
@@ -159,7 +159,7 @@ def find(
     rows = pick(docs, doc_id=id_col, text=text_col)
     rows = rows.select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8").alias("text"), F.xxhash64("text").alias("text_hash"))
     schema = "row string, doc_id bigint, text_hash bigint, sketch array<struct<class:int,hash:bigint>>, grams array<string>"
-    hits = write_and_reread(rows.mapInArrow(search, schema), "hits")
+    hits = write_and_reread(rows.mapInArrow(tidy(search), schema), "hits")
 
     met = hits.select("row", F.inline("sketch"))
     candidates = met.join(sketches.select("class", "hash", "item"), ["class", "hash"])

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vecloop.llm.common import pick
+from vecloop.llm.common import pick, tidy
 
 UNKNOWN = "und"
 
@@ -184,8 +184,7 @@ def predictor(docs: DataFrame, model: LanguageModel):
     """A column function: text to ``struct<lang_pred, score>``; the model goes to the tasks once."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             texts = [None if t is None or t is pd.NA else t for t in part.tolist()]
             langs, scores = [], []
@@ -195,6 +194,10 @@ def predictor(docs: DataFrame, model: LanguageModel):
                 scores += some[1]
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidy(score)(parts)
+
     return predict
 
 

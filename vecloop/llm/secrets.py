@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vecloop.llm.common import batches, pick
+from vecloop.llm.common import batches, pick, tidy
 from vecloop.session import write_and_reread
 
 
@@ -85,8 +85,8 @@ def blobs_of(versions: DataFrame) -> DataFrame:
             yield part.take(pa.array(keep, pa.int32()))
 
     schema = "blob string, text string"
-    local = versions.select("blob", "text").mapInArrow(unseen, schema)
-    return local.repartition("blob").mapInArrow(unseen, schema)
+    local = versions.select("blob", "text").mapInArrow(tidy(unseen), schema)
+    return local.repartition("blob").mapInArrow(tidy(unseen), schema)
 
 
 def scan_unseen(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
@@ -110,7 +110,7 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]
 
         yield from batches(entries(), _LEDGER)
 
-    return pairs.mapInArrow(scan, LEDGER_SCHEMA)
+    return pairs.mapInArrow(tidy(scan), LEDGER_SCHEMA)
 
 
 def versions_of(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vecloop.llm.common import hex64, pick
+from vecloop.llm.common import hex64, pick, tidy
 from vecloop.llm.components import connected_components
 from vecloop.session import write_and_reread
 
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, id_col: st
 
     rows = pick(docs, doc_id=id_col, text=text_col)
     rows = rows.select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, fp bigint")
 
 
 _POINTS = pa.schema([("point", pa.int64()), ("fp", pa.int64())])
@@ -195,9 +195,9 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE, most_in_point:
         raise ValueError("max_distance must be 0, 1 or 2")
     if max_distance == 0:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
-    dealt = distinct.select("fp").mapInArrow(_deal, "point bigint, fp bigint")
+    dealt = distinct.select("fp").mapInArrow(tidy(_deal), "point bigint, fp bigint")
     sorted_ = dealt.repartition("point").sortWithinPartitions("point")
-    met = write_and_reread(sorted_.mapInArrow(_meet(max_distance, most_in_point), "a bigint, b bigint"), "met")
+    met = write_and_reread(sorted_.mapInArrow(tidy(_meet(max_distance, most_in_point)), "a bigint, b bigint"), "met")
 
     again = met.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
     if max_distance == 1:  # a bit apart: the finer point is one of the two

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from vecloop.llm import decontaminate, langid, pieces, secrets, simhash
-from vecloop.llm.common import pick
+from vecloop.llm.common import pick, tidy
 from vecloop.session import write_and_reread
 
 #: Put in place of a secret.
@@ -90,10 +90,8 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     They do unless the text holds the sign that stands for a space, which decodes to a space.
     """
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = pieces.model(model_path)
-        for part in parts:
-            for start in range(0, part.num_rows, 256):
-                some = part.slice(start, 256)
+        with pieces.model(model_path) as m:
+            for some in pieces.small(parts):
                 texts = [t or "" for t in some.column(1).to_pylist()]
                 known = [m.digest_parts(t) for t in texts]
                 ends = np.cumsum([0] + [k[0] for k in known]).astype(np.int32)
@@ -109,4 +107,4 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
                 )
 
     rows = pick(docs, doc_id="doc_id", text="text")
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>, round_trip boolean")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, n_tokens bigint, ids array<int>, round_trip boolean")
