@@ -34,7 +34,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     found = simhash.near_duplicates(docs).where("doc_id = component_id")
     first = write_and_reread(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "first")
-    kept = docs.join(first.where("n = 1"), "doc_id", "left_semi")
+    # The ids grow with the documents, so the plan is the same at every size: never a broadcast.
+    kept = docs.join(first.where("n = 1").hint("merge"), "doc_id", "left_semi")
     repeated = first.where("n > 1")
     if not repeated.isEmpty():
         kept = kept.union(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*kept.columns))
@@ -45,7 +46,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows that hold no benchmark item."""
     found = decontaminate.find(docs, items).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_text")).distinct()
     same = docs["doc_id"].cast("long").eqNullSafe(found["bad_id"]) & (F.xxhash64(docs["text"]) == found["bad_text"])
-    return docs.join(found, same, "left_anti")
+    return docs.join(found.hint("merge"), same, "left_anti")
 
 
 def redact_secrets(docs: DataFrame, ledger_path: str) -> DataFrame:
@@ -55,9 +56,9 @@ def redact_secrets(docs: DataFrame, ledger_path: str) -> DataFrame:
     """
     ledger = secrets.update_ledger(docs, ledger_path)
     found = secrets.spans_by_blob(ledger).where(F.size("spans") > 0)
-    blobs = write_and_reread(found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "spans")
+    blobs = write_and_reread(found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "spans").hint("merge")
     named = docs.withColumn("__key", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
-    joined = named.join(blobs, named["__key"] == blobs["__blob"], "left")
+    joined = named.join(blobs, named["__key"] == blobs["__blob"], "left")  # merged at every size
     spans = F.transform(F.coalesce("__spans", F.array().cast(blobs.schema["__spans"].dataType)), lambda s: F.struct(s["start"], s["stop"]))
 
     def step(state, span):
