@@ -6,6 +6,7 @@ from vecloop.plans.views import (
     CLEAN_LINE,
     ENGINES,
     ITERATIONS,
+    WHOLE,
     K,
     LABEL_LAST_LINE,
     LR_START,
@@ -200,11 +201,11 @@ def _kmeans_train(start: str, empty: str) -> str:
 
 def _kmeans_lineitem() -> str:
     """Four named coordinates instead of lists."""
-    columns = ", ".join(f"x{j}" for j in range(4))
-    start = ", ".join(f"({i}, {', '.join(f'{v!r}::DOUBLE' for v in c)})" for i, c in enumerate(spread_centers()))
+    whole = ", ".join(f"round(x{j} * {WHOLE}) AS x{j}" for j in range(4))
+    start = ", ".join(f"({i}, {', '.join(f'{v * WHOLE!r}::DOUBLE' for v in c)})" for i, c in enumerate(spread_centers()))
     distance = " + ".join(f"(x{j} - c{j}) * (x{j} - c{j})" for j in range(4))
     steps = [
-        f"p AS MATERIALIZED (SELECT row_number() OVER () AS id, {columns} FROM ({POINTS_LR}))",
+        f"p AS MATERIALIZED (SELECT row_number() OVER () AS id, {whole} FROM ({POINTS_LR}))",
         f"m0 AS MATERIALIZED (SELECT * FROM (VALUES {start}) t(cid, c0, c1, c2, c3))",
     ]
     means = ", ".join(f"avg(x{j}) AS c{j}" for j in range(4))
@@ -219,7 +220,7 @@ FROM m{i - 1} o LEFT JOIN (
   GROUP BY cid) n USING (cid))"""
         )
     every = " UNION ALL ".join(
-        f"SELECT {i} AS iter, cid, {j} AS pos, {_r(f'c{j}', 'v')} FROM m{i}"
+        f"SELECT {i} AS iter, cid, {j} AS pos, floor(c{j})::BIGINT AS v FROM m{i}"
         for i in range(ITERATIONS + 1)
         for j in range(4)
     )

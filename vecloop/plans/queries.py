@@ -293,9 +293,12 @@ def kmeans_train_diagonal(spark, sf_dir):
 
 
 def kmeans_train_lineitem(spark, sf_dir):
-    """K-means over every line item."""
-    trained = kmeans.train_kmeans(views.points_lr(spark, sf_dir), iterations=views.ITERATIONS, centers=views.spread_centers())
-    return _long(trained.history(), "c", "iter", "cid")
+    """K-means over every line item. Coordinates are whole numbers (ten millions for 1), so their sums are exact in any order."""
+    points = views.points_lr(spark, sf_dir).select(F.transform("x", lambda v: F.round(v * views.WHOLE)).alias("x"))
+    centers = [[v * views.WHOLE for v in c] for c in views.spread_centers()]
+    trained = kmeans.train_kmeans(points, iterations=views.ITERATIONS, centers=centers)
+    exploded = trained.history().select("iter", "cid", F.posexplode("c").alias("pos", "v"))
+    return exploded.select("iter", "cid", "pos", F.floor("v").alias("v"))
 
 
 # Metrics

@@ -37,6 +37,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Line items' coordinates times this are whole numbers.
+WHOLE = 10_000_000.0
+
+
 def points_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(y, x)``: four features of every line item; the label is whether it was returned."""
     return table(spark, sf_dir, "lineitem").select(
