@@ -49,7 +49,10 @@ def read_metrics_text(spark: SparkSession, root: str, max_run_rows: int = MAX_RU
     where the line is read, so long files are read by many tasks.
     """
     # One match per line: <nodes>|<engine>|<algo>|<part>|<piece>, the last two empty for a plain file.
-    run = F.regexp_replace(F.col("_metadata.file_path"), "^.*/" + RUN_FILE, "$1|$2|$3|$4|$5")
+    path = F.col("_metadata.file_path")
+    run = F.regexp_replace(path, "^.*/" + RUN_FILE, "$1|$2|$3|$4|$5")
+    # A file whose run can't be told must not be mixed with others.
+    run = F.when(run == path, F.raise_error(F.concat(F.lit("not a file of metrics: "), path))).otherwise(run)
     lines = spark.read.option("recursiveFileLookup", "true").text(root).select(
         F.split(run, "\\|").alias("run"),
         F.col("_metadata.file_block_start").alias("split"),
