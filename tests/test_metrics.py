@@ -2,6 +2,7 @@ import random
 import statistics
 
 import pytest
+from pyspark.errors import PySparkException
 
 from vecloop.operators import timings
 from vecloop.operators.kmeans import train_kmeans
@@ -51,16 +52,24 @@ def test_tables(runs):
     assert long[("spark", "later")] == pivot[100][1] and len(long) == 4
 
 
+def test_an_engine_without_a_column_is_an_error(runs):
+    with pytest.raises(PySparkException, match="engine without a column: hadoop"):
+        timings.later_by_engine(runs, ["spark"]).collect()
+    assert timings.engines_of(runs) == sorted({r[0] for r in ROWS})
+    with pytest.raises(ValueError, match="more than 1 engines"):
+        timings.engines_of(runs, 1)
+
+
 def test_union(runs):
     parts = [runs.where(f"engine = '{e}' AND nodes = {n}") for e in ("hadoop", "spark") for n in (25, 100)]
     assert sorted(timings.union_runs(parts).collect()) == sorted(runs.collect())
 
 
-@pytest.mark.parametrize("max_run_rows", [1000, 8])
-def test_text_keeps_the_order(spark, runs, max_run_rows):
+@pytest.mark.parametrize("chunks", [None, 8])
+def test_text_keeps_the_order(spark, runs, chunks):
     path = fresh_path(spark, "test")
     metrics.write_metrics_text(runs, path)
-    assert sorted(tuple(r) for r in metrics.read_metrics_text(spark, path, max_run_rows).collect()) == sorted(ROWS)
+    assert sorted(tuple(r) for r in metrics.read_metrics_text(spark, path, chunks).collect()) == sorted(ROWS)
 
 
 @pytest.mark.parametrize("split_bytes", ["128m", "64"])
@@ -113,5 +122,11 @@ def test_models_by_iteration(spark, make_points):
     clusters = train_kmeans(points, 2, 3)
     models.save_history(clusters.history(), path)
     assert [models.load_centers(spark, path, i) for i in range(4)] == clusters.centers
+    models.save_history(clusters.history().where("iter = 2"), path)  # again: replaced
+    assert models.centers_history(spark, path).count() == 8
+    assert models.load_centers(spark, path, 2) == clusters.centers[2]
+    clusters.history().where("iter = 3").write.mode("append").partitionBy("iter").parquet(path)
+    with pytest.raises(ValueError, match="each once"):
+        models.load_centers(spark, path, 3)
     resumed = train_kmeans(points, iterations=2, centers=models.load_centers(spark, path, 1))
     assert resumed.final == clusters.final

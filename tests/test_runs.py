@@ -26,23 +26,23 @@ def plain():
     return expected
 
 
-@pytest.mark.parametrize("max_run_rows", [10_000, 599, 50, 7])
-def test_long_runs_are_numbered_alike(ends, max_run_rows):
-    numbered = number_in_order(ends, ["run"], ["b", "a"], "end_ns", max_run_rows)
+@pytest.mark.parametrize("chunks", [1, 2, 17, 200])
+def test_long_runs_are_numbered_alike(ends, chunks):
+    numbered = number_in_order(ends, ["run"], ["b", "a"], "end_ns", chunks)
     assert {(r["run"], r["a"]): (r["iter"], r["previous"]) for r in numbered.collect()} == plain()
     assert numbered.count() == len(ROWS)
 
 
 def test_no_task_gets_a_whole_long_run(ends):
-    numbered = number_in_order(ends, ["run"], ["b", "a"], "end_ns", 50)
+    numbered = number_in_order(ends, ["run"], ["b", "a"], "end_ns", 17)
     plan = numbered._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(chunk" in plan
 
 
-@pytest.mark.parametrize("max_run_rows", [10_000, 50])
-def test_durations(ends, max_run_rows):
+@pytest.mark.parametrize("chunks", [None, 17])
+def test_durations(ends, chunks):
     with_start = ends.selectExpr("*", "CAST(-3 AS BIGINT) AS start_ns")
-    rows = iteration_durations(with_start, ["run"], ["b", "a"], "end_ns", "start_ns", max_run_rows).collect()
+    rows = iteration_durations(with_start, ["run"], ["b", "a"], "end_ns", "start_ns", chunks).collect()
     durations = {(r["run"], r["a"]): r["duration_ns"] for r in rows}
     assert durations[("single", 1)] == 102
     assert durations[("hot", 0)] == 3

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -10,33 +9,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vecloop.session import write_and_reread
 
-# A run up to this many rows is sorted by one task; longer ones are spread over several.
-MAX_RUN_ROWS = 20_000_000
-
 
 def number_in_order(
-    df: DataFrame,
-    run: Sequence[str],
-    order: Sequence[str],
-    carry: str,
-    max_run_rows: int = MAX_RUN_ROWS,
+    df: DataFrame, run: Sequence[str], order: Sequence[str], carry: str, chunks: int | None = None
 ) -> DataFrame:
     """Adds ``iter``, 1 for the first row of its run, and ``previous``, the last row's ``carry``.
 
-    ``order`` must be unique within a run. If every run is short, this is a plain window. If one is
-    not (a first pass counts), the rows are range-partitioned by (run, order), so that a long run
-    covers many chunks; rows are numbered within their chunk, and what a chunk needs from earlier
-    ones, a row count and one value, comes from a table of one row per run and chunk.
+    ``order`` must be unique within a run. The rows are range-partitioned by (run, order) into ``chunks``
+    (default: the session's shuffle partitions), so that a long run covers many of them, and written out,
+    since a row's chunk must be the same in both uses. Rows are numbered within their chunk; what a
+    chunk needs from earlier ones, a row count and one value, comes from a table of one row per run and
+    chunk. ``df`` is read once; the write is a job that runs when this is called.
     """
-    sizes = df.groupBy(*run).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all"))
-    size = sizes.first()
-    if (size["most"] or 0) <= max_run_rows:
-        window = Window.partitionBy(*run).orderBy(*order)
-        return df.withColumns({"iter": F.row_number().over(window).cast("long"), "previous": F.lag(carry).over(window)})
-
-    chunks = max(2, math.ceil(size["all"] / max_run_rows))
-    spread = df.repartitionByRange(chunks, *run, *order).withColumn("chunk", F.spark_partition_id())
-    # Written out: the chunk of a row must be the same in both uses below.
+    count = [] if chunks is None else [chunks]
+    spread = df.repartitionByRange(*count, *run, *order).withColumn("chunk", F.spark_partition_id())
     spread = write_and_reread(spread, "runs")
 
     in_chunk = Window.partitionBy("chunk", *run).orderBy(*order)
@@ -68,9 +54,9 @@ def iteration_durations(
     order: Sequence[str],
     end_ns: str,
     start_ns: str,
-    max_run_rows: int = MAX_RUN_ROWS,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Adds ``iter`` and ``duration_ns``, the time since the previous end, or since the start for the first."""
-    numbered = number_in_order(ends, run, order, end_ns, max_run_rows)
+    numbered = number_in_order(ends, run, order, end_ns, chunks)
     began = F.when(F.col("iter") == 1, F.col(start_ns)).otherwise(F.col("previous"))
     return numbered.withColumn("duration_ns", F.col(end_ns) - began).drop("previous")

@@ -20,8 +20,22 @@ def first_vs_rest(metrics: DataFrame) -> DataFrame:
 
 
 def later_by_engine(metrics: DataFrame, engines: Sequence[str]) -> DataFrame:
-    """One row per cluster size, one column per engine: the mean later iteration."""
-    return first_vs_rest(metrics).groupBy("algo", "nodes").pivot("engine", list(engines)).agg(F.max("later_s"))
+    """One row per cluster size, one column per engine: the mean later iteration.
+
+    A run of an engine that is not listed ends the job; ``engines_of`` lists them all.
+    """
+    message = F.concat(F.lit("engine without a column: "), F.coalesce("engine", F.lit("NULL")))
+    known = F.when(F.col("engine").isin(list(engines)), F.col("engine")).otherwise(F.raise_error(message))
+    runs = first_vs_rest(metrics).withColumn("engine", known)
+    return runs.groupBy("algo", "nodes").pivot("engine", list(engines)).agg(F.max("later_s"))
+
+
+def engines_of(metrics: DataFrame, most: int = 1000) -> list[str]:
+    """The names in the metrics; more than ``most`` of them are an error, as they are to be columns."""
+    names = [r["engine"] for r in metrics.select("engine").distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} engines")
+    return sorted(names)
 
 
 def one_engine(metrics: DataFrame, engine: str) -> DataFrame:

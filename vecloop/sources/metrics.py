@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vecloop.operators.runs import MAX_RUN_ROWS, number_in_order
+from vecloop.operators.runs import number_in_order
 
 METRICS = "engine string, algo string, nodes int, iter bigint, duration_ns bigint"
 COLUMNS = ("engine", "algo", "nodes", "iter", "duration_ns")
@@ -16,9 +16,11 @@ ALGORITHMS = ("lr", "kmeans")
 RUN_FILE = r"(?:nodes=)?(\d+)/(?:run=)?([^/]*?)(" + "|".join(ALGORITHMS) + r")\.txt(?:/part-(\d+)-[^/]*[.-]c(\d+)[^/]*)?$"
 
 
-def metrics_frame(spark: SparkSession, engine: str, algo: str, nodes: int, durations_ns: Sequence[int]) -> DataFrame:
-    """One trainer run, which the driver timed, as metrics rows."""
-    rows = [(engine, algo, nodes, i + 1, d) for i, d in enumerate(durations_ns)]
+def metrics_frame(
+    spark: SparkSession, engine: str, algo: str, nodes: int, durations_ns: Sequence[int], first_iter: int = 1
+) -> DataFrame:
+    """One trainer run, or a part of it, which the driver timed, as metrics rows."""
+    rows = [(engine, algo, nodes, first_iter + i, d) for i, d in enumerate(durations_ns)]
     return spark.createDataFrame(rows, METRICS)
 
 
@@ -42,7 +44,7 @@ def write_metrics_text(metrics: DataFrame, root: str) -> None:
     in_order.drop("iter").write.mode("overwrite").partitionBy("nodes", "run").text(root)
 
 
-def read_metrics_text(spark: SparkSession, root: str, max_run_rows: int = MAX_RUN_ROWS) -> DataFrame:
+def read_metrics_text(spark: SparkSession, root: str, chunks: int | None = None) -> DataFrame:
     """Every run below ``root`` in one read; engine, algorithm and size come from the path.
 
     A line's place in its run is (part file, split, place within the split), all of which are known
@@ -74,6 +76,6 @@ def read_metrics_text(spark: SparkSession, root: str, max_run_rows: int = MAX_RU
         "duration_ns",
     )
     numbered = number_in_order(
-        lines, ["engine", "algo", "nodes"], ["part", "piece", "split", "line"], "duration_ns", max_run_rows
+        lines, ["engine", "algo", "nodes"], ["part", "piece", "split", "line"], "duration_ns", chunks
     )
     return numbered.select(*COLUMNS)

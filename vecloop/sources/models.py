@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Column types are fixed, so a partitioned table is read back with the types it was written with.
@@ -9,9 +11,18 @@ WEIGHTS = "w array<double>, iter int"
 CENTERS = "cid int, c array<double>, iter int"
 
 
+def weights_frame(spark: SparkSession, iteration: int, weights: Sequence[float]) -> DataFrame:
+    return spark.createDataFrame([(list(weights), iteration)], WEIGHTS)
+
+
+def centers_frame(spark: SparkSession, iteration: int, centers: Sequence[Sequence[float]]) -> DataFrame:
+    return spark.createDataFrame([(cid, list(c), iteration) for cid, c in enumerate(centers)], CENTERS)
+
+
 def save_history(history: DataFrame, path: str) -> None:
-    """Append ``(iter, ...)`` rows; each iteration is a folder of its own."""
-    history.coalesce(1).write.mode("append").partitionBy("iter").parquet(path)
+    """Save ``(iter, ...)`` rows; each iteration is a folder of its own, and saving it again replaces it."""
+    rows = history.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows.partitionBy("iter").parquet(path)
 
 
 def weights_history(spark: SparkSession, path: str) -> DataFrame:
@@ -34,4 +45,7 @@ def load_centers(spark: SparkSession, path: str, iteration: int) -> list[list[fl
     rows = centers_history(spark, path).where(F.col("iter") == iteration).collect()
     if not rows:
         raise ValueError(f"no model saved for iteration {iteration}")
-    return [list(r["c"]) for r in sorted(rows, key=lambda r: r["cid"])]
+    rows = sorted(rows, key=lambda r: r["cid"])
+    if [r["cid"] for r in rows] != list(range(len(rows))):
+        raise ValueError(f"the centres of iteration {iteration} are not numbered from 0, each once")
+    return [list(r["c"]) for r in rows]
