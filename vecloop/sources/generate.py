@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vecloop.functions.uniform import prefix, uniform, uniforms
 
+# A double in [0, 1) as text, with the space after it.
+VALUE_BYTES = 20
 
-def ids(spark: SparkSession, records: int) -> DataFrame:
-    """``records`` ids, spread over the cluster."""
-    return spark.range(records)
+
+def ids(spark: SparkSession, records: int, width: int = 10, task_bytes: int = 128 << 20) -> DataFrame:
+    """``records`` ids for vectors of ``width``: a partition on every slot, more if one's text would pass ``task_bytes``."""
+    partitions = -(-records * (width + 1) * VALUE_BYTES // task_bytes)
+    return spark.range(0, records, 1, max(spark.sparkContext.defaultParallelism, partitions))
 
 
 def labeled_points(ids: DataFrame, width: int = 10, seed: int = 42) -> DataFrame:

@@ -28,6 +28,14 @@ def _tokens_on_single() -> Column:
     return F.split(F.rtrim("value"), " ")
 
 
+def _once(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """The columns, computed once per row: filters and later columns read them and can't repeat the work.
+
+    Catalyst moves nothing through the one-element array.
+    """
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def _numbers(count: int | None) -> str:
     """SQL text: the first ``count`` words (or all) as doubles, NULL where a word is no number.
 
@@ -55,7 +63,7 @@ def _parse(lines: DataFrame, tokens: Column, shape_reason: Column | None, count:
     )
     checked = split.withColumn("check", F.expr(_check(count)))
     value_reason = F.when(F.col("check").isNull(), "not a number").when(F.col("check") != 0, "not finite")
-    return checked.select(*lines.columns, F.coalesce("shape", value_reason).alias("reason"), "numbers")
+    return _once(checked, *lines.columns, F.coalesce("shape", value_reason).alias("reason"), "numbers")
 
 
 def _label_first(parsed: DataFrame) -> DataFrame:
@@ -115,10 +123,7 @@ def points(parsed: DataFrame, mode: str = "reject") -> DataFrame:
     """The good rows. ``mode="fail"`` ends the job at a bad line instead of leaving it out."""
     values = [c for c in parsed.columns if c not in ("value", "reason")]
     if mode == "reject":
-        # The one-element array keeps the filter above the parsing, which is then done once per line
-        # and not a second time in the filter.
-        once = parsed.select(F.inline(F.array(F.struct("reason", *values))))
-        return once.where(F.col("reason").isNull()).select(*values)
+        return parsed.where(F.col("reason").isNull()).select(*values)
     if mode != "fail":
         raise ValueError(f"unknown mode: {mode}")
     message = F.concat(F.col("reason"), F.lit(": "), F.col("value"))
