@@ -1,4 +1,6 @@
+import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 
 from vecloop.__main__ import main
 from vecloop.operators.logistic import train_logistic
@@ -19,6 +21,8 @@ def test_generate_train_and_summarise(spark, capsys):
     for i in range(6):
         assert models.load_weights(spark, model, i) == pytest.approx(expected[i], rel=1e-9)
 
+    main(["lr", data, "1", "--width", "4", "--format", "strict", "--model", model, "--resume", "4", "--partitions", "3"])
+    assert models.weights_history(spark, model).count() == 6  # the fifth was replaced
     data = fresh_path(spark, "data")
     main(["generate", "vectors", data, "4", "300"])
     main(["kmeans", data, "5", "3", "--width", "4", "--metrics", times, "--nodes", "25"])
@@ -30,10 +34,39 @@ def test_generate_train_and_summarise(spark, capsys):
         *[("other", "kmeans", 1, i) for i in (1, 2)],
         *[("spark", algo, 25, i) for algo in ("kmeans", "lr") for i in (1, 2, 3)],
     ]
+    main(["summary", times, "by-engine"])
+    main(["summary", times, "largest"])
+    printed = capsys.readouterr().out
+    assert "other" in printed and "later" in printed
     main(["summary", times])
     assert capsys.readouterr().out.count("|spark ") == 2
 
 
+def test_kmeans_resumes(spark, capsys):
+    data, model, times = (fresh_path(spark, name) for name in ("data", "model", "times"))
+    main(["generate", "vectors", data, "4", "300"])
+    main(["kmeans", data, "5", "4", "--width", "4", "--model", model])
+    whole = [models.load_centers(spark, model, i) for i in range(5)]
+    main(["kmeans", data, "5", "2", "--width", "4", "--model", model, "--resume", "2", "--metrics", times])
+    np.testing.assert_allclose([models.load_centers(spark, model, i) for i in range(5)], whole)
+    assert sorted(r["iter"] for r in metrics.read_metrics_table(spark, times).collect()) == [3, 4]
+
+
+def test_bad_lines_stop_the_job_or_are_counted(spark, capsys):
+    data, bad = fresh_path(spark, "data"), fresh_path(spark, "bad")
+    lines = ["1 2 3", "-1 3 4", "1 2", "1 x 3", "-1 NaN 1", "-1 2"]
+    spark.createDataFrame([(v,) for v in lines], "value string").write.text(data)
+    with pytest.raises(PySparkException, match="too few values"):
+        main(["lr", data, "1", "--width", "2"])
+    main(["lr", data, "1", "--width", "2", "--bad-lines", "reject", "--rejects", bad])
+    printed = capsys.readouterr().out
+    assert "rejected 2 lines: too few values" in printed and "rejected 1 lines: not finite" in printed
+    rows = spark.read.text(bad).collect()
+    assert sorted((r["reason"], r["value"]) for r in rows) == [
+        ("not a number", "1 x 3"), ("not finite", "-1 NaN 1"), ("too few values", "-1 2"), ("too few values", "1 2"),
+    ]
+
+
 @pytest.mark.parametrize("argv", [[], ["lr"], ["kmeans", "p", "x", "1"], ["lr", "p", "1", "--resume", "3"]])
 def test_wrong_arguments(spark, argv):
     with pytest.raises(SystemExit):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from vecloop.operators import kmeans, model
 from vecloop.operators.centers import center_shift, join_centers, upsert_centers
 from vecloop.operators.kmeans import assign, cluster_means, cluster_sums, distances, train_kmeans
-from vecloop.operators.sampling import sample_k
+from vecloop.operators.sampling import sample_k, sample_vectors
 
 
 def closest(point, centers):
@@ -82,47 +82,60 @@ def test_sums_agree_with_assignment(make_points, x):
     assert means == {cid: pytest.approx(s.expected / n) for cid, (n, s) in expected.items()}
 
 
-def test_two_step_merge(make_points, x, monkeypatch):
-    monkeypatch.setattr(kmeans, "WIDE_FAN_IN", 4)
-    trained = train_kmeans(make_points(x, partitions=9), iterations=3, centers=x[:5])
+@pytest.mark.parametrize("fan_in", [0, 3, 4])
+def test_two_step_merge(make_points, x, fan_in):
+    trained = train_kmeans(make_points(x, partitions=9), iterations=3, centers=x[:5], fan_in=fan_in)
     same(trained.centers, loop(x, x[:5], 3))
 
 
-def _partition_sizes(monkeypatch):
-    """Rows per partition, largest first, as each iteration sees them."""
+def _layouts(monkeypatch):
+    """Rows per partition as each iteration sees them, and whether its plan shuffles points."""
     seen, sums = [], kmeans._sums_prepared
 
     def watched(data, *rest):
         rows = data.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
-        seen.append(sorted((r["count"] for r in rows), reverse=True))
+        plan = data._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+        seen.append((sorted(r["count"] for r in rows), "Exchange" in plan))
         return sums(data, *rest)
 
     monkeypatch.setattr(kmeans, "_sums_prepared", watched)
-    monkeypatch.setattr(model, "SLOW_NS", 0)
     return seen
 
 
-def test_few_partitions_are_spread(spark, make_points, x, monkeypatch):
-    sizes = _partition_sizes(monkeypatch)
+def test_points_are_laid_out_once(spark, make_points, x, monkeypatch):
+    seen = _layouts(monkeypatch)
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
-    same(train_kmeans(make_points(x, partitions=1), iterations=4, centers=x[:5]).centers, loop(x, x[:5], 4))
-    assert sizes[:2] == [[300], [300]] and len(sizes[2]) == len(sizes[3]) == 4
+    trained = train_kmeans(make_points(x, partitions=1), iterations=4, centers=x[:5], partitions=4)
+    same(trained.centers, loop(x, x[:5], 4))
+    assert seen == [([75] * 4, False)] * 4
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
 
 
-def test_one_large_partition_is_spread(make_points, x, monkeypatch):
-    sizes = _partition_sizes(monkeypatch)
-    small = make_points(x[:60], partitions=6)
-    points = small.union(make_points(x[60:], partitions=1))
-    same(train_kmeans(points, iterations=4, centers=x[:5]).centers, loop(x, x[:5], 4))
-    assert sizes[1][0] == 240 and len(sizes[1]) == 7
-    assert sizes[2][0] < 80 and len(sizes[2]) == 7
+def test_points_stay_as_they_are_read(make_points, x, monkeypatch):
+    seen = _layouts(monkeypatch)
+    points = make_points(x[:60], partitions=6).union(make_points(x[60:], partitions=1))
+    train_kmeans(points, iterations=3, centers=x[:5])
+    assert seen[0] == seen[1] == seen[2]
+    assert len(seen[0][0]) == 7 and seen[0][0][-1] == 240 and not seen[0][1]
 
 
-def test_even_partitions_stay(make_points, x, monkeypatch):
-    sizes = _partition_sizes(monkeypatch)
-    train_kmeans(make_points(x, partitions=6), iterations=4, centers=x[:5])
-    assert sizes[0] == sizes[3] and len(sizes[0]) == 6
+def test_resumed(make_points, x):
+    whole = train_kmeans(make_points(x), iterations=5, centers=x[:4])
+    rest = train_kmeans(make_points(x), iterations=3, centers=whole.centers[2], first_iter=2)
+    assert rest.centers == whole.centers[2:]
+    assert [r["iter"] for r in rest.shift_history().collect()] == [3, 4, 5]
+    assert {r["iter"] for r in rest.history().collect()} == {2, 3, 4, 5}
+
+
+def test_vectors_are_drawn_alike_however_they_lie(spark, make_points, x):
+    doubled = np.concatenate([x, x[:50], x[:50]])
+    draws = [[r["x"] for r in sample_vectors(make_points(doubled, partitions=p), 10).collect()] for p in (1, 4, 16)]
+    assert draws[0] == draws[1] == draws[2] and len({tuple(v) for v in draws[0]}) == 10
+    assert {tuple(v) for v in draws[0]} <= {tuple(v) for v in x.tolist()}
+    assert sample_vectors(make_points(x[:7]), 10).count() == 7
+    assert sample_vectors(make_points(x).where("false"), 3).count() == 0
+    started = train_kmeans(make_points(doubled).select("x"), 10, 1, id_col=None)
+    assert started.centers[0] == draws[0]
 
 
 def test_floats_are_taken_as_doubles(spark, x):
@@ -132,11 +145,10 @@ def test_floats_are_taken_as_doubles(spark, x):
     same(train_kmeans(points, iterations=3, centers=data[:4]).centers, loop(data, data[:4], 3))
 
 
-@pytest.mark.parametrize("fan_in_from", [2048, 2])
-def test_very_wide_vectors(make_points, monkeypatch, fan_in_from):
-    monkeypatch.setattr(kmeans, "WIDE_FAN_IN", fan_in_from)
+@pytest.mark.parametrize("fan_in", [0, 2])
+def test_very_wide_vectors(make_points, fan_in):
     data = np.random.default_rng(4).random((40, 150))
-    trained = train_kmeans(make_points(data, partitions=5), iterations=3, centers=data[:4])
+    trained = train_kmeans(make_points(data, partitions=5), iterations=3, centers=data[:4], fan_in=fan_in)
     same(trained.centers, loop(data, data[:4], 3))
     assert all(later <= earlier + 1e-9 for earlier, later in zip(trained.costs, trained.costs[1:]))
 
@@ -186,10 +198,9 @@ def test_other_width_and_no_points(spark, make_points, x):
             train_kmeans(empty, 2, 1, **options)
 
 
-def test_model_size_is_checked(make_points, x, monkeypatch):
-    monkeypatch.setattr(kmeans, "MAX_MODEL_NUMBERS", 10)
-    with pytest.raises(ValueError, match="too large"):
-        train_kmeans(make_points(x), iterations=1, centers=x[:5])
+def test_model_size_is_checked(make_points, x):
+    with pytest.raises(ValueError, match="max_model_numbers"):
+        train_kmeans(make_points(x), iterations=1, centers=x[:5], max_model_numbers=10)
 
 
 def test_large_model_value(make_points, x, monkeypatch):

@@ -92,15 +92,25 @@ def test_nothing_stays_cached(spark, make_points, data):
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
 
 
-def test_few_partitions_are_spread(make_points, data, monkeypatch):
-    from vecloop.operators import model
-
-    monkeypatch.setattr(model, "SLOW_NS", 0)
+def test_few_partitions_are_spread(make_points, data):
     x, y = data
-    trained = train_logistic(make_points(x, y, 1), 5, [0.1] * 5)
+    trained = train_logistic(make_points(x, y, 1), 5, [0.1] * 5, partitions=6)
     np.testing.assert_allclose(trained.weights, loop(x, y, [0.1] * 5, 5), rtol=1e-9)
 
 
+@pytest.mark.parametrize("fan_in", [0, 2, 3])
+def test_fan_in_changes_no_result(make_points, data, fan_in):
+    x, y = data
+    trained = train_logistic(make_points(x, y, 7), 3, [0.1] * 5, fan_in=fan_in)
+    np.testing.assert_allclose(trained.weights, loop(x, y, [0.1] * 5, 3), rtol=1e-9)
+
+
+def test_model_size_is_checked(make_points, data):
+    x, y = data
+    with pytest.raises(ValueError, match="max_model_numbers"):
+        train_logistic(make_points(x, y), 1, [0.1] * 5, max_model_numbers=4)
+
+
 def test_extreme_values_do_not_overflow(make_points):
     rows = gradient_terms(make_points([[1000.0], [-1000.0], [0.0]], [1, 1, -1]), [5.0]).orderBy("id").collect()
     assert [r["factor"] for r in rows] == [0.0, -1.0, 0.5]

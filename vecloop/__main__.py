@@ -3,20 +3,22 @@
     generate labeled|vectors PATH FEATURES RECORDS
     lr PATH ITERATIONS
     kmeans PATH K ITERATIONS
-    summary METRICS
+    summary METRICS [first-rest|by-engine|largest]
 """
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from vecloop.operators import timings
 from vecloop.operators.kmeans import train_kmeans
-from vecloop.operators.logistic import train_logistic
-from vecloop.operators.timings import first_vs_rest
+from vecloop.operators.logistic import initial_weights, train_logistic
 from vecloop.sources import generate, metrics, models, text
 
+LOADERS = {"lenient": text.parse_labeled, "strict": text.parse_labeled_strict, "label-last": text.parse_label_last}
+
 
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="vecloop", description="Iterative jobs over points stored as text.")
@@ -35,7 +37,7 @@ def _parser() -> argparse.ArgumentParser:
     lr.add_argument("--rule", choices=["logistic", "alt"], default="logistic")
     lr.add_argument("--init", choices=["uniform", "int"], default="uniform")
     lr.add_argument("--step", type=float, default=1.0)
-    lr.add_argument("--resume", type=int, metavar="ITERATION", help="start from this iteration of --model")
+    lr.add_argument("--format", choices=sorted(LOADERS), default="lenient", help="how a line holds its point")
 
     kmeans = jobs.add_parser("kmeans", help="K-means")
     kmeans.add_argument("path")
@@ -45,65 +47,97 @@ def _parser() -> argparse.ArgumentParser:
     kmeans.add_argument("--empty", choices=["keep", "error", "drop"], default="keep")
 
     for job in (lr, kmeans):
+        job.add_argument("--resume", type=int, metavar="ITERATION", help="start from this iteration of --model")
         job.add_argument("--width", type=int, default=10, help="features per line")
         job.add_argument("--seed", type=int, default=42)
-        job.add_argument("--bad-lines", choices=["reject", "fail"], default="reject")
+        job.add_argument("--bad-lines", choices=["fail", "reject"], default="fail", help="reject counts them by reason")
+        job.add_argument("--rejects", metavar="PATH", help="with --bad-lines reject, save the bad lines here")
+        job.add_argument("--partitions", type=int, help="lay the points out anew while loading")
         job.add_argument("--no-cache", action="store_true", help="read the input again in every iteration")
-        job.add_argument("--model", help="save the model of every iteration here")
-        job.add_argument("--metrics", help="append the iteration times to this table")
+        job.add_argument("--model", help="save the model here after every iteration")
+        job.add_argument("--metrics", help="append the time to this table after every iteration")
         job.add_argument("--engine", default="spark", help="name of this run in the metrics")
         job.add_argument("--nodes", type=int, default=1, help="cluster size of this run in the metrics")
 
-    summary = jobs.add_parser("summary", help="first iteration against the mean of the rest, per run")
+    summary = jobs.add_parser("summary", help="first iteration against the mean of the rest")
     summary.add_argument("metrics")
+    summary.add_argument("table", nargs="?", choices=["first-rest", "by-engine", "largest"], default="first-rest")
     return parser
 
 
 def _generate(spark: SparkSession, args) -> None:
     make = generate.labeled_points if args.kind == "labeled" else generate.vectors
-    points = make(generate.ids(spark, args.records), args.features, args.seed)
+    points = make(generate.ids(spark, args.records, args.features), args.features, args.seed)
     text.write_points(points.drop("id"), args.path)
 
 
+def _points(spark: SparkSession, args, parse) -> DataFrame:
+    """The good lines. Bad ones end the job, or are counted, shown and, if asked for, saved."""
+    parsed = parse(text.scan_lines(spark, args.path), args.width)
+    if args.bad_lines == "reject":
+        bad = text.rejects(parsed)
+        if args.rejects:
+            bad.write.mode("overwrite").partitionBy("reason").text(args.rejects)
+        for row in bad.groupBy("reason").count().orderBy("reason").collect():
+            print(f"rejected {row['count']} lines: {row['reason']}")
+    return text.points(parsed, args.bad_lines)
+
+
+def _save(spark: SparkSession, args, i: int, model: DataFrame, duration_ns: int) -> None:
+    """The model before the time: an iteration whose model was lost is run, and timed, again."""
+    if args.model:
+        models.save_history(model, args.model)
+    if args.metrics:
+        row = metrics.metrics_frame(spark, args.engine, args.job, args.nodes, [duration_ns], i)
+        metrics.append_metrics(row, args.metrics)
+
+
 def _lr(spark: SparkSession, args) -> None:
-    points = text.points(text.parse_labeled(text.scan_lines(spark, args.path), args.width), args.bad_lines)
-    start, first_iter = None, 0
-    if args.resume is not None:
+    def done(i: int, weights: list[float], ns: int) -> None:
+        print(f"iteration {i} took {ns} ns")
+        _save(spark, args, i, models.weights_frame(spark, i, weights), ns)
+
+    if args.resume is None:
+        start, first_iter = initial_weights(spark, args.width, args.init, args.seed), 0
+        if args.model:
+            models.save_history(models.weights_frame(spark, 0, start), args.model)
+    else:
         start, first_iter = models.load_weights(spark, args.model, args.resume), args.resume
     model = train_logistic(
-        points, args.iterations, start, init=args.init, width=args.width, step=args.step, rule=args.rule,
-        cache=not args.no_cache, first_iter=first_iter, seed=args.seed,
-        on_iteration=lambda i, _, ns: print(f"iteration {i} took {ns} ns"),
+        _points(spark, args, LOADERS[args.format]), args.iterations, start, step=args.step, rule=args.rule,
+        cache=not args.no_cache, first_iter=first_iter, partitions=args.partitions, on_iteration=done,
     )
     print("weights:", *model.final)
-    history = model.history()
-    # A resumed run starts with weights that are saved already.
-    _save(spark, args, history if start is None else history.where(F.col("iter") > first_iter), model.durations_ns)
 
 
 def _kmeans(spark: SparkSession, args) -> None:
-    parsed = text.parse_vectors_fixed(text.scan_lines(spark, args.path), args.width)
-    points = text.points(parsed, args.bad_lines).withColumn("id", F.monotonically_increasing_id())
+    def done(i: int, centers: list[list[float]], shift: float | None, ns: int) -> None:
+        print(f"iteration {i} took {ns} ns, shift {shift}")
+        _save(spark, args, i, models.centers_frame(spark, i, centers), ns)
+
+    start, first_iter = None, 0
+    if args.resume is not None:
+        start, first_iter = models.load_centers(spark, args.model, args.resume), args.resume
     model = train_kmeans(
-        points, args.k, args.iterations, init=args.init, empty=args.empty, cache=not args.no_cache, seed=args.seed,
-        on_iteration=lambda i, _, shift, ns: print(f"iteration {i} took {ns} ns, shift {shift}"),
+        _points(spark, args, text.parse_vectors_fixed), args.k, args.iterations, start, init=args.init, id_col=None,
+        empty=args.empty, cache=not args.no_cache, seed=args.seed, first_iter=first_iter, partitions=args.partitions,
+        on_iteration=done,
     )
+    if args.model and args.resume is None:
+        models.save_history(models.centers_frame(spark, 0, model.centers[0]), args.model)
     for center in model.final:
         print("center:", *center)
-    _save(spark, args, model.history(), model.durations_ns)
-
-
-def _save(spark: SparkSession, args, history: DataFrame, durations_ns: list[int]) -> None:
-    if args.model:
-        models.save_history(history, args.model)
-    if args.metrics:
-        run = metrics.metrics_frame(spark, args.engine, args.job, args.nodes, durations_ns)
-        metrics.append_metrics(run, args.metrics)
 
 
 def _summary(spark: SparkSession, args) -> None:
-    runs = first_vs_rest(metrics.read_metrics_table(spark, args.metrics))
-    runs.orderBy("algo", "nodes", "engine").show(truncate=False)
+    runs = metrics.read_metrics_table(spark, args.metrics)
+    if args.table == "by-engine":
+        table = timings.later_by_engine(runs, timings.engines_of(runs)).orderBy("algo", "nodes")
+    elif args.table == "largest":
+        table = timings.first_later_long(runs).orderBy("algo", "nodes", "engine", "series")
+    else:
+        table = timings.first_vs_rest(runs).orderBy("algo", "nodes", "engine")
+    table.show(truncate=False)
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -1,6 +1,6 @@
 """Lloyd's K-means: assign every point to its nearest centre, average, repeat.
 
-One Spark job per iteration. Points never leave the executors: each partition gives at most one row
+One pass over the points per iteration. Points never leave the executors: each partition gives at most one row
 of (count, sums) per cluster, so a cluster holding most of the points is no hot spot.
 """
 
@@ -15,12 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vecloop.functions.vectors import center_distances, checked
-from vecloop.operators.logistic import WIDE_FAN_IN, merge_partials
-from vecloop.operators.model import model_value, spread_if_slow
-from vecloop.operators.sampling import sample_k
-
-# The model goes to every task, so its size is checked: 64 MB of doubles.
-MAX_MODEL_NUMBERS = 8_000_000
+from vecloop.operators.logistic import merge_partials, wide_fan_in
+from vecloop.operators.model import MAX_MODEL_NUMBERS, check_size, laid_out, model_value
+from vecloop.operators.sampling import sample_k, sample_vectors
 
 
 @dataclass
@@ -29,6 +26,7 @@ class KMeansModel:
 
     spark: SparkSession
     centers: list[list[list[float]]]
+    first_iter: int = 0
     shifts: list[float | None] = field(default_factory=list)
     costs: list[float] = field(default_factory=list)
     durations_ns: list[int] = field(default_factory=list)
@@ -39,11 +37,11 @@ class KMeansModel:
 
     def history(self) -> DataFrame:
         """``(iter, cid, c)``: iterations x K rows."""
-        rows = [(i, cid, c) for i, centers in enumerate(self.centers) for cid, c in enumerate(centers)]
+        rows = [(self.first_iter + i, cid, c) for i, centers in enumerate(self.centers) for cid, c in enumerate(centers)]
         return self.spark.createDataFrame(rows, "iter int, cid int, c array<double>")
 
     def shift_history(self) -> DataFrame:
-        rows = [(i + 1, s) for i, s in enumerate(self.shifts)]
+        rows = [(self.first_iter + i + 1, s) for i, s in enumerate(self.shifts)]
         return self.spark.createDataFrame(rows, "iter int, shift double")
 
 
@@ -52,15 +50,14 @@ def diagonal_centers(k: int, width: int) -> list[list[float]]:
     return [[float(i)] * width for i in range(k)]
 
 
-def _nearest_kernel(centers: Sequence[Sequence[float]]):
+def _nearest_kernel(centers: Sequence[Sequence[float]], max_model_numbers: int = MAX_MODEL_NUMBERS):
     """A function for Arrow batches of vectors: yields slices of ``(vectors, cluster, distance)``.
 
     A slice bounds the memory of the temporary differences. Everything the function needs comes
     with it, so that workers need not import this package.
     """
     k, width = len(centers), len(centers[0])
-    if k * width > MAX_MODEL_NUMBERS:
-        raise ValueError(f"{k} centres of {width} values are too large to send to every task")
+    check_size(k * width, max_model_numbers)
     flat = [list(c) for c in centers]
     rows_per_slice = max(1, 1_000_000 // width)
 
@@ -123,9 +120,9 @@ def prepare_vectors(points: DataFrame, width: int) -> DataFrame:
     return points.select(checked(F.col("x"), width).alias("x"))
 
 
-def _sums_prepared(points: DataFrame, centers: Sequence[Sequence[float]], fan_in: int) -> DataFrame:
+def _sums_prepared(points: DataFrame, centers: Sequence[Sequence[float]], fan_in: int, max_model_numbers: int = MAX_MODEL_NUMBERS) -> DataFrame:
     k, width = len(centers), len(centers[0])
-    nearest_in = _nearest_kernel(centers)
+    nearest_in = _nearest_kernel(centers, max_model_numbers)
 
     def partial_sums(batches):
         import numpy as np
@@ -180,18 +177,24 @@ def train_kmeans(
     centers: Sequence[Sequence[float]] | None = None,
     *,
     init: str = "sample",
-    id_col: str = "id",
+    id_col: str | None = "id",
     empty: str = "keep",
     cache: bool = True,
     seed: int = 42,
+    first_iter: int = 0,
+    partitions: int | None = None,
+    fan_in: int | None = None,
+    max_model_numbers: int = MAX_MODEL_NUMBERS,
     on_iteration: Callable[[int, list[list[float]], float | None, int], None] | None = None,
 ) -> KMeansModel:
     """Train on ``points(x)`` for a fixed number of iterations; the shift is reported, not used.
 
-    ``init``: ``sample`` (K rows of the points) or ``diagonal``, unless ``centers`` is given.
+    ``init``: ``sample`` (K rows of the points by ``id_col``, or K different vectors if that is None) or
+    ``diagonal``, unless ``centers`` is given.
     ``on_iteration(iter, centers, shift, duration_ns)`` is called after each iteration.
     ``empty``: ``keep`` the old centre of an empty cluster, raise an ``error``, or ``drop`` the
-    cluster so that later centres move up.
+    cluster so that later centres move up. ``first_iter`` is the iteration that ``centers`` come from.
+    ``partitions``, ``fan_in`` and ``max_model_numbers`` are as in ``train_logistic``.
     """
     if empty not in ("keep", "error", "drop"):
         raise ValueError(f"unknown rule for empty clusters: {empty}")
@@ -207,25 +210,26 @@ def train_kmeans(
         if head is None:
             raise ValueError("no points to train on")
         width = head["width"]
-    keep = [id_col] if centers is None and init == "sample" else []
-    data = points.select(*keep, checked(F.col("x"), width).alias("x"))
+    keep = [id_col] if id_col and centers is None and init == "sample" else []
+    data = laid_out(points.select(*keep, checked(F.col("x"), width).alias("x")), partitions)
     if cache:
         data = data.persist()
-    fan_in = 0
+    groups = fan_in or 0
     try:
         if centers is None and init == "sample":
-            centers = [list(r["x"]) for r in sample_k(data, k, id_col, seed).collect()]
+            drawn = sample_k(data, k, id_col, seed) if id_col else sample_vectors(data, k, seed)
+            centers = [list(r["x"]) for r in drawn.collect()]
             if len(centers) < k:
                 raise ValueError(f"{k} centres wanted, but there are only {len(centers)} points")
         elif centers is None:
             centers = diagonal_centers(k, width)
-        model = KMeansModel(spark, [centers])
-        for i in range(1, iterations + 1):
-            rows = _sums_prepared(data, centers, fan_in).collect()
+        model = KMeansModel(spark, [centers], first_iter)
+        for i in range(first_iter + 1, first_iter + iterations + 1):
+            rows = _sums_prepared(data, centers, groups, max_model_numbers).collect()
             if not rows:
                 raise ValueError("no points to train on")
-            partitions = max(r["pid"] for r in rows) + 1
-            fan_in = math.isqrt(partitions) if partitions >= WIDE_FAN_IN else 0
+            if fan_in is None:
+                groups = wide_fan_in(max(r["pid"] for r in rows) + 1)
             centers, shift = _next_centers(centers, rows, empty)
             model.centers.append(centers)
             model.shifts.append(shift)
@@ -235,8 +239,6 @@ def train_kmeans(
             start = end
             if on_iteration:
                 on_iteration(i, centers, shift, model.durations_ns[-1])
-            if cache and i == 2:  # the first one loads the points
-                data = spread_if_slow(data, model.durations_ns[-1], iterations - 2)
     finally:
         if cache:
             data.unpersist()

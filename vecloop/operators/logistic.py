@@ -1,6 +1,6 @@
 """Logistic regression by full-batch gradient descent.
 
-Each iteration is one Spark job over the cached points that brings D sums to the driver. Sum (not
+Each iteration is one pass over the cached points that brings D sums to the driver. Sum (not
 mean) of the gradient terms, no intercept, no regularisation, a fixed number of iterations.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vecloop.functions.gradient import FACTORS
 from vecloop.functions.uniform import uniform
 from vecloop.functions.vectors import UNROLL_WIDTH, array_of_sums, checked, dot, scale, unrolled_dot
-from vecloop.operators.model import model_value, spread_if_slow
+from vecloop.operators.model import MAX_MODEL_NUMBERS, check_size, laid_out, model_value
 
 # From this many partitions on, partial sums are merged in two steps instead of by one task.
 WIDE_FAN_IN = 2048
@@ -102,6 +102,11 @@ def _sum_prepared(points: DataFrame, weights: Sequence[float], rule: str, fan_in
     return terms.agg(*outputs)
 
 
+def wide_fan_in(partitions: int) -> int:
+    """Groups to merge the partial sums of so many partitions in; 0 to merge them at once."""
+    return math.isqrt(partitions) if partitions >= WIDE_FAN_IN else 0
+
+
 def merge_partials(partials: DataFrame, width: int, fan_in: int = 0, key: str | None = None) -> DataFrame:
     """Add up rows ``(n, pid, g)`` of counts and vector sums, overall or per ``key``.
 
@@ -171,13 +176,19 @@ def train_logistic(
     cache: bool = True,
     first_iter: int = 0,
     seed: int = 42,
+    partitions: int | None = None,
+    fan_in: int | None = None,
+    max_model_numbers: int = MAX_MODEL_NUMBERS,
     on_iteration: Callable[[int, list[float], int], None] | None = None,
 ) -> LogisticModel:
     """Train on ``points(y, x)``.
 
     ``rule="logistic"`` subtracts the summed terms, ``rule="alt"`` adds them. ``cache=False`` reads
     the input again in every iteration. ``on_iteration(iter, weights, duration_ns)`` is called after
-    each one; iteration 1 includes the load, since caching is lazy.
+    each one; iteration 1 includes the load, since caching is lazy. ``partitions`` lays the points out
+    anew as they are loaded, and not later. ``fan_in`` is the number of groups in which partial sums are
+    merged first, 0 for one step; if it is not given, it is 0 below ``WIDE_FAN_IN`` partitions, which the
+    first iteration counts. It can change the last digits, as any other order of addition.
     """
     spark = points.sparkSession
     if weights is None:
@@ -189,21 +200,22 @@ def train_logistic(
         weights = initial_weights(spark, width, init, seed)
     weights = [float(v) for v in weights]
     width = len(weights)
+    check_size(width, max_model_numbers)
     sign = {"logistic": -1.0, "alt": 1.0}[rule]
 
-    data = prepare_points(points, width)
+    data = laid_out(prepare_points(points, width), partitions)
     if cache:
         data = data.persist()
     model = LogisticModel(spark, first_iter, [weights])
-    fan_in = 0
+    groups = fan_in or 0
     try:
         start = time.perf_counter_ns()
         for i in range(first_iter + 1, first_iter + iterations + 1):
-            row = _sum_prepared(data, weights, rule, fan_in).collect()[0]
+            row = _sum_prepared(data, weights, rule, groups).collect()[0]
             if not row["n"]:
                 raise ValueError("no points to train on")
-            partitions = row["pid"] + 1
-            fan_in = math.isqrt(partitions) if partitions >= WIDE_FAN_IN else 0
+            if fan_in is None:
+                groups = wide_fan_in(row["pid"] + 1)
             weights = [w + sign * step * g for w, g in zip(weights, row["g"])]
             model.weights.append(weights)
             end = time.perf_counter_ns()
@@ -211,8 +223,6 @@ def train_logistic(
             start = end
             if on_iteration:
                 on_iteration(i, weights, model.durations_ns[-1])
-            if cache and i == first_iter + 2:  # the first one loads the points
-                data = spread_if_slow(data, model.durations_ns[-1], iterations - 2)
     finally:
         if cache:
             data.unpersist()

@@ -1,16 +1,30 @@
-"""What the trainers share: a small model visible to every row, and points spread evenly."""
+"""What the trainers share: a small model visible to every row, and where the points lie."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 
 # Up to this many numbers the model is written into the query as text.
 MAX_TEXT_NUMBERS = 10_000
 
-# An iteration over cached points that takes this long may be worth a shuffle.
-SLOW_NS = 1_000_000_000
+# The default for the size of a model, which goes to every task: 64 MB of doubles.
+MAX_MODEL_NUMBERS = 8_000_000
+
+
+def check_size(numbers: int, limit: int = MAX_MODEL_NUMBERS) -> None:
+    """An error if a model holds more than ``limit`` numbers; callers pass on their ``max_model_numbers``."""
+    if numbers > limit:
+        raise ValueError(f"a model of {numbers} numbers goes to every task; allow it with max_model_numbers")
+
+
+def laid_out(points: DataFrame, partitions: int | None) -> DataFrame:
+    """The points in ``partitions`` even partitions, or as they are read.
+
+    For inputs that few tasks can read, as one large row group or a file that can't be split.
+    """
+    return points if partitions is None else points.repartition(partitions)
 
 
 def _literal(value) -> str:
@@ -19,7 +33,7 @@ def _literal(value) -> str:
     return f"double('{value!r}')"
 
 
-def model_value(spark: SparkSession, value: Sequence) -> Column:
+def model_value(spark: SparkSession, value: Sequence, max_model_numbers: int = MAX_MODEL_NUMBERS) -> Column:
     """A vector, or a list of vectors, as a one-row scalar subquery.
 
     Every row sees it without a join, and, unlike literals in the expression, it keeps the generated
@@ -27,29 +41,10 @@ def model_value(spark: SparkSession, value: Sequence) -> Column:
     """
     nested = bool(value) and isinstance(value[0], (list, tuple))
     numbers = sum(len(v) for v in value) if nested else len(value)
+    check_size(numbers, max_model_numbers)
     if numbers <= MAX_TEXT_NUMBERS:
         model = spark.range(0, 1, 1, 1).selectExpr(f"{_literal(list(value))} AS model")
     else:
         kind = "array<array<double>>" if nested else "array<double>"
         model = spark.createDataFrame([(value,)], f"model {kind}")
     return model.scalar()
-
-
-def spread_if_slow(cached: DataFrame, duration_ns: int, iterations_left: int) -> DataFrame:
-    """The cached points, cached again in even partitions if one partition holds up every iteration.
-
-    That is so when the largest partition is more than twice what one task slot would get of an even
-    share: few partitions, as from a small file, or one file that cannot be split and holds much of
-    the data. Asked only after an iteration that took long enough to be worth one shuffle.
-    """
-    if duration_ns < SLOW_NS or iterations_left < 2:
-        return cached
-    sizes = cached.select(F.spark_partition_id().alias("pid")).groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
-    size = sizes.agg(F.max("n").alias("most"), F.sum("n").alias("all"), F.count("n").alias("partitions")).collect()[0]
-    slots = cached.sparkSession.sparkContext.defaultParallelism
-    if size["most"] * slots <= 2 * size["all"]:
-        return cached
-    even = cached.repartition(max(slots, size["partitions"])).persist()
-    even.count()
-    cached.unpersist()
-    return even
