@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from vecloop.operators.kmeans import train_kmeans
 from vecloop.operators.logistic import train_logistic
@@ -13,15 +13,26 @@ from vecloop.sources.metrics import metrics_frame
 
 
 def run_matrix(
-    labeled: DataFrame, vectors: DataFrame, weights: Sequence[float], k: int = 10, iterations: int = 10
-) -> DataFrame:
-    """Metrics rows of the four runs; ``nodes`` is the number of task slots."""
+    labeled: DataFrame,
+    vectors: DataFrame,
+    weights: Sequence[float],
+    centers: Sequence[Sequence[float]],
+    iterations: int = 10,
+) -> tuple[DataFrame, DataFrame]:
+    """``(engine, algo, iter, cid, c)``, the models of the four runs, and their metrics rows.
+
+    Weights are the one centre 0; ``nodes`` is the number of task slots.
+    """
     spark = labeled.sparkSession
     nodes = spark.sparkContext.defaultParallelism
-    runs = []
+    models, times = [], []
     for engine, cache in (("uncached", False), ("cached", True)):
         regression = train_logistic(labeled, iterations, weights, cache=cache)
-        runs.append(metrics_frame(spark, engine, "lr", nodes, regression.durations_ns))
-        clusters = train_kmeans(vectors, k, iterations, cache=cache)
-        runs.append(metrics_frame(spark, engine, "kmeans", nodes, clusters.durations_ns))
-    return union_runs(runs)
+        clusters = train_kmeans(vectors, len(centers), iterations, centers, cache=cache)
+        for algo, run in (("lr", regression), ("kmeans", clusters)):
+            history = run.history()
+            if algo == "lr":
+                history = history.select("iter", F.lit(0).alias("cid"), F.col("w").alias("c"))
+            models.append(history.select(F.lit(engine).alias("engine"), F.lit(algo).alias("algo"), "iter", "cid", "c"))
+            times.append(metrics_frame(spark, engine, algo, nodes, run.durations_ns))
+    return union_runs(models), union_runs(times)

@@ -104,9 +104,17 @@ def _lr_terms(rule: str) -> str:
     return f"SELECT {terms} FROM (SELECT *, {_factor(rule, _dot4('w'))} AS c FROM ({POINTS_LR}), ({START}))"
 
 
-def _lr_train(rule: str = "logistic") -> str:
+def _drawn_start(value: str) -> str:
+    """Weights from the digest of (seed, position): ``value`` of a uniform ``u``."""
+    u = "(('0x' || substr(md5('{seed}:' || {i}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+    return "SELECT 0 AS iter, " + ", ".join(
+        f"({value.format(u=u.format(seed=SEED, i=i))})::DOUBLE AS w{i}" for i in range(4)
+    )
+
+
+def _lr_train(rule: str = "logistic", start: str = START) -> str:
     sign = {"logistic": "-", "alt": "+"}[rule]
-    steps = [f"p AS MATERIALIZED ({POINTS_LR})", f"m0 AS MATERIALIZED ({START})"]
+    steps = [f"p AS MATERIALIZED ({POINTS_LR})", f"m0 AS MATERIALIZED ({start})"]
     for i in range(1, ITERATIONS + 1):
         new = ", ".join(f"any_value(w{j}) {sign} sum(c * x{j}) AS w{j}" for j in range(4))
         steps.append(
@@ -141,6 +149,7 @@ GROUP BY pos)"""
 # K-means
 
 DISTANCE = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+DRAWN = f"SELECT row_number() OVER (ORDER BY md5('{SEED}:' || id), id) - 1 AS cid, x AS c FROM ({POINTS_EMB}) ORDER BY cid LIMIT {K}"
 FIRST = f"SELECT row_number() OVER (ORDER BY id) - 1 AS cid, x AS c FROM ({POINTS_EMB}) ORDER BY id LIMIT {K}"
 DIAGONAL = f"SELECT range AS cid, list_transform(range(64), lambda i: cid::DOUBLE) AS c FROM range({K})"
 
@@ -268,11 +277,12 @@ LARGEST = f"SELECT * FROM ({FIRST_REST}) WHERE nodes = (SELECT max(day(ts)) FROM
 POSITIONS = (
     "model_history", "resume_from_iteration", "vec_scale", "vec_add", "vec_subtract", "lr_train", "lr_train_uncached",
     "lr_train_alt", "lr_train_wide", "cluster_sum_count", "cluster_means", "centers_join", "centers_upsert",
-    "sample_k", "kmeans_train", "kmeans_train_diagonal",
+    "sample_k", "kmeans_train", "kmeans_train_diagonal", "kmeans_train_sampled", "kmeans_resume", "lr_train_text",
+    "lr_train_uniform", "lr_train_int", "bench_matrix",
 )
 CLUSTER_IDS = (
     "kmeans_assign", "model_cross_join", "cluster_sum_count", "cluster_means", "centers_join", "centers_upsert",
-    "kmeans_train", "kmeans_train_diagonal",
+    "kmeans_train", "kmeans_train_diagonal", "kmeans_train_sampled", "kmeans_resume", "bench_matrix",
 )
 NODES = (
     "write_metrics", "read_metrics", "metrics_first_vs_rest", "metrics_pivot", "metrics_one_engine",
@@ -347,6 +357,18 @@ FROM (SELECT * FROM ({POINTS_EMB}) ORDER BY md5('{SEED}:' || id), id LIMIT {K})"
         "kmeans_shift_history": _kmeans_shift(),
         "kmeans_train_diagonal": _kmeans_train(DIAGONAL, "drop"),
         "kmeans_train_lineitem": _kmeans_lineitem(),
+        "kmeans_train_text": _kmeans_lineitem(),
+        "kmeans_train_sampled": _kmeans_train(DRAWN, "keep"),
+        "kmeans_resume": f"SELECT * FROM ({_kmeans_train(FIRST, 'keep')}) WHERE iter >= 5",
+        "lr_train_text": _lr_train(),
+        "lr_train_uniform": _lr_train(start=_drawn_start("2 * {u} - 1")),
+        "lr_train_int": _lr_train(start=_drawn_start("floor(100 * {u})")),
+        "bench_matrix": " UNION ALL ".join(
+            f"SELECT '{engine}' AS engine, '{algo}' AS algo, iter::INT AS iter, {cid} AS cid, pos, v, true AS timed "
+            f"FROM ({sql}) WHERE iter > 0"
+            for engine in ("cached", "uncached")
+            for algo, cid, sql in (("lr", "0", _lr_train()), ("kmeans", "cid", _kmeans_train(FIRST, "keep")))
+        ),
         "iteration_durations": _durations(
             "events", "user_id", "ts", "event_id", "date_trunc('day', ts)::TIMESTAMP", "user_id, event_id"
         ),

@@ -204,6 +204,28 @@ def lr_train(spark, sf_dir):
     return _long(trained.history(), "w", "iter")
 
 
+def _random_start(spark, sf_dir, init):
+    """From the trainer's own start; the points' coordinates are below 1."""
+    trained = logistic.train_logistic(views.points_lr(spark, sf_dir), views.ITERATIONS, init=init, width=4)
+    return _long(trained.history(), "w", "iter")
+
+
+def lr_train_uniform(spark, sf_dir):
+    return _random_start(spark, sf_dir, "uniform")
+
+
+def lr_train_int(spark, sf_dir):
+    return _random_start(spark, sf_dir, "int")
+
+
+def lr_train_text(spark, sf_dir):
+    """Every line item's point as a line of text: scan, parse, keep in memory, iterate."""
+    path = fresh_path(spark, "points")
+    text.write_points(views.points_lr(spark, sf_dir), path)
+    points = text.points(text.parse_labeled(text.scan_lines(spark, path), 4), "fail")
+    return _long(logistic.train_logistic(points, views.ITERATIONS, views.LR_START).history(), "w", "iter")
+
+
 def lr_train_uncached(spark, sf_dir):
     trained = logistic.train_logistic(views.points_lr(spark, sf_dir), views.ITERATIONS, views.LR_START, cache=False)
     return _long(trained.history(), "w", "iter")
@@ -292,15 +314,51 @@ def kmeans_train_diagonal(spark, sf_dir):
     return _long(trained.history(), "c", "iter", "cid")
 
 
-def kmeans_train_lineitem(spark, sf_dir):
-    """K-means over every line item. Coordinates are whole numbers (ten millions for 1), so their sums are exact in any order."""
-    points = views.points_lr(spark, sf_dir).select(F.transform("x", lambda v: F.round(v * views.WHOLE)).alias("x"))
-    centers = [[v * views.WHOLE for v in c] for c in views.spread_centers()]
-    trained = kmeans.train_kmeans(points, iterations=views.ITERATIONS, centers=centers)
+def _whole_points(spark, sf_dir):
+    return views.points_lr(spark, sf_dir).select(F.transform("x", lambda v: F.round(v * views.WHOLE)).alias("x"))
+
+
+def _whole_centers():
+    return [[v * views.WHOLE for v in c] for c in views.spread_centers()]
+
+
+def _whole(trained):
     exploded = trained.history().select("iter", "cid", F.posexplode("c").alias("pos", "v"))
     return exploded.select("iter", "cid", "pos", F.floor("v").alias("v"))
 
 
+def kmeans_train_lineitem(spark, sf_dir):
+    """K-means over every line item. Coordinates are whole numbers (ten millions for 1), so their sums are exact in any order."""
+    points, centers = _whole_points(spark, sf_dir), _whole_centers()
+    # One row group holds them all, and one task would read it.
+    slots = spark.sparkContext.defaultParallelism
+    trained = kmeans.train_kmeans(points, iterations=views.ITERATIONS, centers=centers, partitions=slots)
+    return _whole(trained)
+
+
+def kmeans_train_text(spark, sf_dir):
+    """The same from lines of text: scan, parse, keep in memory, iterate."""
+    path = fresh_path(spark, "vectors")
+    text.write_points(_whole_points(spark, sf_dir), path)
+    points = text.points(text.parse_vectors_fixed(text.scan_lines(spark, path), 4), "fail")
+    return _whole(kmeans.train_kmeans(points, iterations=views.ITERATIONS, centers=_whole_centers()))
+
+
+def kmeans_train_sampled(spark, sf_dir):
+    """From the trainer's own start, K embeddings drawn by their ids."""
+    return _long(_train_kmeans(spark, sf_dir).history(), "c", "iter", "cid")
+
+
+def kmeans_resume(spark, sf_dir):
+    """Five iterations, saved; then five more from the saved centres."""
+    path = fresh_path(spark, "resume")
+    points = views.points_emb(spark, sf_dir)
+    start = views.first_centers(spark, sf_dir)
+    models.save_history(kmeans.train_kmeans(points, iterations=5, centers=start).history(), path)
+    again = kmeans.train_kmeans(points, iterations=5, centers=models.load_centers(spark, path, 5), first_iter=5)
+    return _long(again.history(), "c", "iter", "cid")
+
+
 # Metrics
 
 
@@ -339,7 +397,13 @@ def metrics_union(spark, sf_dir):
 
 
 def bench_matrix(spark, sf_dir):
-    return run_matrix(views.points_lr(spark, sf_dir), views.points_emb(spark, sf_dir), views.LR_START)
+    """The models of the four runs and whether each iteration was timed; the times are in the metrics table."""
+    centers = views.first_centers(spark, sf_dir)
+    models_, times = run_matrix(views.points_lr(spark, sf_dir), views.points_emb(spark, sf_dir), views.LR_START, centers)
+    path = fresh_path(spark, "metrics")
+    metrics.append_metrics(times, path)
+    timed = metrics.read_metrics_table(spark, path).select("engine", "algo", "iter", (F.col("duration_ns") > 0).alias("timed"))
+    return _long(models_.join(timed, ["engine", "algo", "iter"]), "c", "engine", "algo", "iter", "cid", "timed")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -351,7 +415,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         lr_train_alt, lr_train_wide, kmeans_assign, model_cross_join, cluster_sum_count, cluster_means, centers_join,
         centers_upsert, center_shift, kmeans_train, kmeans_shift_history, kmeans_train_diagonal, kmeans_train_lineitem,
         metrics_first_vs_rest, metrics_pivot, metrics_one_engine, metrics_largest_cluster, metrics_first_later_long,
-        metrics_union, bench_matrix,
+        metrics_union, bench_matrix, lr_train_uniform, lr_train_int, lr_train_text, kmeans_train_text,
+        kmeans_train_sampled, kmeans_resume,
     ]
     registered = {q.__name__: q for q in plain}
     # These two share their name with the operator they call.
