@@ -53,11 +53,15 @@ def test_kmeans_resumes(spark, capsys):
 
 
 def test_bad_lines_stop_the_job_or_are_counted(spark, capsys):
+    # Which of several bad lines ends a job is up to the tasks' order, so each gets a job of its own.
+    for line, reason in [("1 2", "too few values"), ("1 x 3", "not a number"), ("-1 NaN 1", "not finite")]:
+        one = fresh_path(spark, "one")
+        spark.createDataFrame([("1 2 3",), (line,)], "value string").write.text(one)
+        with pytest.raises(PySparkException, match=f"{reason}: {line}"):
+            main(["lr", one, "1", "--width", "2"])
     data, bad = fresh_path(spark, "data"), fresh_path(spark, "bad")
     lines = ["1 2 3", "-1 3 4", "1 2", "1 x 3", "-1 NaN 1", "-1 2"]
     spark.createDataFrame([(v,) for v in lines], "value string").write.text(data)
-    with pytest.raises(PySparkException, match="too few values"):
-        main(["lr", data, "1", "--width", "2"])
     main(["lr", data, "1", "--width", "2", "--bad-lines", "reject", "--rejects", bad])
     printed = capsys.readouterr().out
     assert "rejected 2 lines: too few values" in printed and "rejected 1 lines: not finite" in printed
