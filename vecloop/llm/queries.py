@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 import public_tokenizers
 
-from vecloop.llm import decontaminate, langid, lm, pieces, quality, secrets, sharding, simhash, suffixes, warc
+from vecloop.llm import decontaminate, langid, lm, pieces, quality, secrets, sharding, simhash, sql, suffixes, warc
 from vecloop.plans.views import table
 from vecloop.session import fresh_path
 
@@ -67,74 +67,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-#: Items of five words and more by their distinct runs of five words; shorter ones by the run of all their words.
-OP6 = r"""
-WITH d AS (
-    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
-), i AS (
-    SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)
-), ig AS (
-    SELECT DISTINCT item_id, k, array_to_string(w[p : p + k - 1], ' ') AS g
-    FROM (SELECT item_id, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)
-), k AS (
-    SELECT DISTINCT k FROM ig
-), dg AS (
-    SELECT DISTINCT r, doc_id, k, array_to_string(w[p : p + k - 1], ' ') AS g
-    FROM (SELECT r, doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, k WHERE len(w) >= k)
-), n AS (
-    SELECT item_id, count(*) AS n_shingles FROM ig GROUP BY item_id
-), s AS (
-    SELECT r, doc_id, item_id, count(*) AS n_shared FROM dg JOIN ig USING (k, g) GROUP BY ALL
-)
-SELECT doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles AS containment
-FROM s JOIN n USING (item_id) WHERE n_shared >= ceil(0.8 * n_shingles - 1e-9)
-"""
-
-OP9 = r"""
-WITH d AS (
-    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
-        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
-), windows AS (
-    SELECT r, p, [w[p], w[p + 1], w[p + 2]] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS p FROM d)
-), twice AS (
-    SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, g) AS n FROM windows) WHERE n > 1
-), rep AS (
-    SELECT r, count(DISTINCT p + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r
-), lines AS (
-    SELECT r, l, count(*) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d)
-    WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r, l
-), dup AS (
-    SELECT r, sum(n - 1)::BIGINT AS n, sum(n)::BIGINT AS n_lines FROM lines GROUP BY r
-), f AS (
-    SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
-        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
-        coalesce(rep.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
-    FROM d LEFT JOIN dup USING (r) LEFT JOIN rep USING (r)
-), b AS (
-    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f
-)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    NOT base_failed AND 100 * n_symbols <= 10 * n_words AND 100 * n_dup_lines <= 40 * n_lines
-        AND word_chars BETWEEN 3 * n_words AND 10 * n_words AS kept
-FROM b
-"""
-
-#: Of equal payloads of 1000 bytes or more, the largest page_id answers for all.
-OP10 = """
-WITH p AS (
-    SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS payload_bytes FROM pages
-), w AS (
-    SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM p
-)
-SELECT page_id, payload_bytes, payload_digest,
-    CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-    CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN keeper END AS refers_to
-FROM w
-"""
-
-
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -145,4 +77,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_benchmark_decontamination": OP6, "op9_quality_rules": OP9, "op10_warc": OP10}
+    return {
+        "op3_suffix_array_dedup": sql.OP3,
+        "op4_sharding": sql.OP4,
+        "op5_secret_scans": sql.OP5,
+        "op6_benchmark_decontamination": sql.OP6,
+        "op9_quality_rules": sql.OP9,
+        "op10_warc": sql.OP10,
+    }
