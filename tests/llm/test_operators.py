@@ -261,6 +261,15 @@ def test_language_id(spark, sf_dir, none, docs):
     assert langid.identify(none).count() == 0
 
 
+def test_language_sample_counts_texts_once(spark):
+    texts = [("xx", f"copied text {i % 20}") for i in range(5000)] + [("yy", "the hot text")] * 3000 + [("yy", f"single text {i}") for i in range(30)]
+    table = spark.createDataFrame(texts, "lang string, text string").repartition(4)
+    for per_lang in (400, 25):
+        sample = langid.training_sample(table, per_lang)
+        assert len(set(sample)) == len(sample) and set(sample) <= set(texts)
+        assert Counter(lang for lang, _ in sample) == {"xx": 20, "yy": min(per_lang, 31)}
+
+
 def test_quality(docs, none):
     expected = []
     for i, t, _ in rows():

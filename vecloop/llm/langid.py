@@ -110,19 +110,27 @@ class LanguageModel:
 
 
 def training_sample(labelled: DataFrame, per_lang: int) -> list[tuple[str, str]]:
-    """At most ``per_lang`` texts of each language, those with the least hash of the text; in a fixed order.
+    """``per_lang`` different texts of each language, those with the least hash of the text, or all if there are fewer; in a fixed order.
 
-    Counts come from all rows. Texts reach the driver only if they pass a threshold that lets through about
-    1.5 times the bound, so at most some hundred texts a language do.
+    Texts are counted once however often they occur, since all copies of a text pass the threshold or none. It
+    lets through about 1.5 times the bound, so at most some hundred texts a language reach the driver; should
+    a language fall short of the bound, it is raised.
     """
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    place = F.xxhash64("text")
+    different = labelled.select("lang", place.alias("place")).distinct()
+    counts = {r["lang"]: r["n"] for r in different.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
-    place = F.xxhash64("text")
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (1.5 * per_lang + 20) / n))])
     rank = F.pmod(place, F.lit(1 << 20)) / F.lit(float(1 << 20))
-    few = labelled.where(rank < share[F.col("lang")]).select("lang", rank.alias("rank"), place.alias("place"), "text").distinct()
-    rows = sorted((r["lang"], r["rank"], r["place"], r["text"]) for r in few.collect())
+    wanted = 1.5 * per_lang + 20
+    while True:
+        share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, wanted / n))])
+        few = labelled.where(rank < share[F.col("lang")]).select("lang", rank.alias("rank"), place.alias("place"), "text").distinct()
+        rows = sorted((r["lang"], r["rank"], r["place"], r["text"]) for r in few.collect())
+        found = Counter(r[0] for r in rows)
+        if all(found[lang] >= min(per_lang, n) for lang, n in counts.items()):
+            break
+        wanted *= 4
     taken: Counter = Counter()
     sample = []
     for lang, _, _, text in rows:
