@@ -132,6 +132,28 @@ def test_lm_is_normalised():
     assert np.allclose(p.sum(2), 1, atol=1e-4)
 
 
+def test_lm_bands_are_normalised():
+    rng = np.random.default_rng(0)
+    units, bands = 50, len(lm.band_edges(50)) - 1
+    make = lambda: rng.normal(0, 1, (units + bands, 4)).astype(np.float32)
+    model = lm.Model([b"%d" % i for i in range(43)], np.zeros(units + bands, np.float32), make(), make(), make(), rng.normal(0, 1, units + bands).astype(np.float32), 7)
+    a, b, w = (x.ravel() for x in np.meshgrid(*[np.arange(units)] * 3, indexing="ij"))
+    p = 10 ** lm.Probabilities(model).of(a, b, w).reshape(units**2, units)
+    assert np.allclose(p.sum(1), 1, atol=1e-4) and p.std(0).min() > 0
+
+
+def test_lm_learns_words_beyond_the_most_frequent(spark):
+    # Each x is followed by its own y. None of them is among the two most frequent words; all occur some thousand times.
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{k}x {k}y" for k in rng.integers(0, 20, 30)) + " the" * 30 + " of" * 30 for _ in range(2000)]
+    held = [i for i in range(10_000, 11_000) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    right, wrong = (" ".join(f"{k}x {(k + d) % 20}y" for k in range(20)) for d in (0, 1))
+    table = spark.createDataFrame([*enumerate(texts), *zip(held, (right, wrong))], "doc_id bigint, text string").repartition(2)
+    found = {r["doc_id"]: r for r in lm.score_documents(table, lm.Settings(vocabulary=2, batch=128)).where("held_out").collect()}
+    a, b = (found[i] for i in held)
+    assert a["base_score"] == pytest.approx(b["base_score"]) and a["score"] > b["score"] + 5
+
+
 def test_suffixes(docs, none):
     known = [(i, (t or "").encode()) for i, t, _ in rows()]
     first = {}

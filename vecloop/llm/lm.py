@@ -1,23 +1,26 @@
 """A log-bilinear language model trained by noise-contrastive estimation, and text scores from it.
 
-The score of word w after words a, b is ``(A[a] + B[b]) . R[w] + bias[w]``: two context tables, one table of
-targets. Its vocabulary is bounded; every other word is in one class, RARE, and within it has the
-add-0.1 unigram probability, so that all words, unseen ones too, share one normalised distribution.
+The score of unit w after units a, b is ``(A[a] + B[b]) . R[w] + bias[w]``: two context tables, one table of
+targets. A unit is a word that occurs often enough, or a group of the other words, by their last letters. The
+vocabulary grows with the corpus, as does the number of groups. Within a group a word has the add-0.1
+unigram probability, so that all words, unseen ones too, share one normalised distribution.
 
-Counts cover all training tokens. Training runs over all training documents in rounds: each task
-improves the model on its documents in numpy, and the tasks' models are averaged on the executors. What
-goes through the driver is the model, whose size does not depend on the corpus.
+Units lie in bands of neighbours by frequency, and bands are targets as well: a unit's probability is its
+band's, times its own within the band. Both are normalised exactly, over some square root of the vocabulary each.
 
-Scoring is normalised exactly: since contexts add up before the exponential, the normalisers of all
-pairs (a, b) are one matrix product, ``exp(A R^T + bias) @ exp(B R^T)^T``.
+Counts cover all training tokens. Training runs over all training documents in rounds: each task
+improves the model on its documents in numpy, and sends what it changed, by blocks of rows, which are
+averaged on the executors. What goes through the driver is the model.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from itertools import repeat
+from math import ceil, isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +38,15 @@ SMOOTH = 0.1
 
 @dataclass(frozen=True)
 class Settings:
-    """``vocabulary``: words of the model, the most frequent; ``lookup``: words whose counts go to all
-    tasks (the rest are joined); ``width`` of the vectors; ``noise`` samples and tokens per ``batch``;
+    """``vocabulary``: words of the model at least, the most frequent; ``lookup``: words at least whose counts
+    go to all tasks (the rest are joined); ``width`` of the vectors; ``noise`` samples, ``band_noise`` of bands, and tokens per ``batch``;
     ``rounds`` of averaging, each over its share of the training documents; ``rate`` of AdaGrad."""
 
     vocabulary: int = 2047
     lookup: int = 200_000
     width: int = 32
     noise: int = 64
+    band_noise: int = 16
     batch: int = 1024
     rounds: int = 4
     rate: float = 0.08
@@ -51,18 +55,45 @@ class Settings:
 
 @dataclass
 class Counts:
-    """Corpus counts: the whole table, its sums, and the words frequent enough to be sent to tasks."""
+    """Corpus counts: the whole table, its sums, and the words frequent enough to be sent to tasks; the words of
+    the model, and tokens and distinct words in each group of the others."""
 
     table: DataFrame
     total: int
     distinct: int
     words: list[bytes]
     counts: np.ndarray
+    own: list[bytes]
+    group_tokens: np.ndarray
+    group_words: np.ndarray
+
+
+class Units(dict):
+    """Unit of each word: its place among the model's words, or after them that of its group."""
+
+    def __init__(self, words: list[bytes], groups: int):
+        super().__init__(zip(words, range(len(words))))
+        self.groups = groups
+
+    def __missing__(self, word: bytes) -> int:
+        return len(self) + zlib.crc32(word[-3:]) % self.groups
+
+
+def least_count(total: int) -> int:
+    """Words that occur so often have a unit of their own. It grows slower than the corpus, so the vocabulary grows."""
+    return max(5, isqrt(total) // 100)
+
+
+def band_edges(units: int) -> np.ndarray:
+    """Firsts of the bands, and the end. Bands of frequent units are small: their width grows as the root of the rank."""
+    bands = ceil(0.6 * units**0.5)
+    return np.unique(np.ceil(units * (np.arange(bands + 1) / bands) ** 2).astype(np.int64))
 
 
 @dataclass
 class Model:
-    """``words[i]`` has class i; class ``len(words)`` is RARE. ``log_p`` is the classes' unigram."""
+    """``words[i]`` is unit i; the groups come next, and after all units the bands, if any. ``log_p`` is the units'
+    unigram, then the bands'."""
 
     words: list[bytes]
     log_p: np.ndarray
@@ -70,20 +101,10 @@ class Model:
     right: np.ndarray
     target: np.ndarray
     bias: np.ndarray
+    groups: int = 1
 
     PARTS = ("left", "right", "target", "bias")
 
-    def packed(self) -> np.ndarray:
-        """All parameters, a row per class."""
-        return np.concatenate([self.left, self.right, self.target, self.bias[:, None]], axis=1)
-
-    def unpacked(self, rows: np.ndarray) -> Model:
-        w = self.left.shape[1]
-        cut = np.ascontiguousarray
-        return replace(
-            self, left=cut(rows[:, :w]), right=cut(rows[:, w : 2 * w]), target=cut(rows[:, 2 * w : 3 * w]), bias=cut(rows[:, -1])
-        )
-
 
 def training(doc_id: Column) -> Column:
     """Whether a document is learned from: crc32 of its id as text, modulo 10, is not 0. A null id counts as empty text."""
@@ -133,70 +154,112 @@ def count_tokens(texts: DataFrame, settings: Settings = Settings(), most_held: i
         if room < 0:
             break
         least = s["least"]
+    total = sum(s["c"] for s in steps)
+    if steps:
+        least = min(least_count(total), least or total)
     sent = table.where(F.col("c") >= F.lit(least)).toArrow() if least is not None else None
     pairs = sorted(zip(sent["word"].to_pylist(), sent["c"].to_pylist()), key=lambda x: (-x[1], x[0])) if sent else []
-    return Counts(
-        table, sum(s["c"] for s in steps), sum(s["words"] for s in steps), [w for w, _ in pairs], np.array([c for _, c in pairs], np.int64)
-    )
+    words, c = [w for w, _ in pairs], np.array([c for _, c in pairs], np.int64)
+    own = words[: max(settings.vocabulary, int((c >= least_count(total)).sum()))]
+    if END in words and END not in own:
+        own[-1] = END
+    return Counts(table, total, sum(s["words"] for s in steps), words, c, own, *group_sums(table, own))
+
+
+def group_sums(table: DataFrame, own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and distinct words of each group, from the whole table of counts."""
+    groups = 1 + len(own) // 8
+    sent = table.sparkSession.sparkContext.broadcast(own)
+    schema = pa.schema([("group", pa.int32()), ("tokens", pa.int64()), ("words", pa.int64())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Units(sent.value, groups)
+        sums = np.zeros((2, groups), np.int64)
+        for part in parts:
+            at = np.fromiter(map(of.__getitem__, part.column(0).to_pylist()), np.int64, part.num_rows) - len(of)
+            some = at >= 0
+            np.add.at(sums[0], at[some], part.column(1).to_numpy()[some])
+            sums[1] += np.bincount(at[some], minlength=groups)
+        at = np.flatnonzero(sums[1])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[0][at]), pa.array(sums[1][at])], schema=schema)
+
+    found = table.select("word", "c").mapInArrow(run, "group int, tokens bigint, words bigint")
+    rows = found.groupBy("group").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).toArrow()
+    sums = np.zeros((2, groups), np.int64)
+    for line, name in zip(sums, ("tokens", "words")):
+        line[rows["group"].to_numpy()] = rows[name].to_numpy()
+    sent.unpersist()
+    return sums[0], sums[1]
 
 
 def start(counts: Counts, settings: Settings = Settings()) -> Model:
-    """The unigram model of the classes: contexts say nothing yet."""
-    words = counts.words[: settings.vocabulary]
-    if END in counts.words and END not in words:
-        words[-1] = END
+    """The unigram model of units and bands: contexts say nothing yet."""
     of = dict(zip(counts.words, counts.counts.tolist()))
-    n = np.array([of[w] for w in words] + [0], np.float64)
-    n[-1] = counts.total - n.sum()
-    p = (n + SMOOTH) / (n + SMOOTH).sum()
+    n = np.concatenate([[of[w] for w in counts.own], counts.group_tokens]) + SMOOTH
+    p = n / n.sum()
+    p = np.concatenate([p, np.add.reduceat(p, band_edges(len(p))[:-1])])
     rng = np.random.default_rng(settings.seed)
-    shape = (len(n), settings.width)
+    shape = (len(p), settings.width)
     target = rng.normal(0, 0.3 / np.sqrt(settings.width), shape).astype(np.float32)
     zero = np.zeros(shape, np.float32)
-    return Model(words, np.log(p).astype(np.float32), zero, zero.copy(), target, np.log(p).astype(np.float32))
+    log_p = np.log(p).astype(np.float32)
+    return Model(counts.own, log_p, zero, zero.copy(), target, log_p, len(counts.group_tokens))
 
 
 class Trainer:
-    """AdaGrad on the noise-contrastive objective, over batches of (before last, last, word)."""
+    """AdaGrad on the noise-contrastive objective, over batches of (before last, last, unit). The unit is told from
+    noise units, and its band from noise bands. ``hits``: how often each row was learned from, as ``a``, as ``b`` and as target."""
 
     def __init__(self, model: Model, settings: Settings, seed: int):
         self.s = settings
         self.rng = np.random.default_rng([settings.seed, seed])
         # The model that came in is shared by the worker's tasks; this one changes its own copy.
-        self.model = model.unpacked(model.packed())
-        self.cumulative = np.cumsum(np.exp(model.log_p.astype(np.float64)))
-        self.log_kq = model.log_p + np.float32(np.log(settings.noise))
+        self.model = replace(model, **{p: getattr(model, p).copy() for p in Model.PARTS})
+        self.units = len(model.words) + model.groups
+        edges = band_edges(self.units)
+        self.band = self.units + np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        p = np.exp(model.log_p.astype(np.float64))
+        k = settings.noise, settings.band_noise
+        self.drawn = [(k[0], 0, np.cumsum(p[: self.units])), (k[1], self.units, np.cumsum(p[self.units :]))]
+        self.log_kq = model.log_p + np.log(np.repeat(k, [self.units, len(p) - self.units])).astype(np.float32)
         self.squares = {p: np.full_like(getattr(self.model, p), 1e-3) for p in Model.PARTS}
-        self.seen = 0
+        self.hits = np.zeros((len(p), 3), np.int32)
 
-    def _step(self, part: str, rows: np.ndarray, grad: np.ndarray) -> None:
+    def _step(self, rows: np.ndarray, **grads: np.ndarray) -> None:
         order = np.argsort(rows, kind="stable")
         ordered = rows[order]
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        summed = np.add.reduceat(grad[order], starts, axis=0)
         rows = ordered[starts]
-        squares = self.squares[part]
-        squares[rows] += summed * summed
-        getattr(self.model, part)[rows] += np.float32(self.s.rate) * summed / np.sqrt(squares[rows])
+        for part, grad in grads.items():
+            summed = np.add.reduceat(grad[order], starts, axis=0)
+            squares = self.squares[part]
+            squares[rows] += summed * summed
+            getattr(self.model, part)[rows] += np.float32(self.s.rate) * summed / np.sqrt(squares[rows])
 
     def learn(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
         m = self.model
-        drawn = np.searchsorted(self.cumulative, self.rng.random(self.s.noise) * self.cumulative[-1])
-        drawn = np.minimum(drawn, len(self.cumulative) - 1)
         context = m.left[a] + m.right[b]
-        target, noise = m.target[w], m.target[drawn]
-        real = (context * target).sum(1) + m.bias[w] - self.log_kq[w]
-        false = context @ noise.T + (m.bias - self.log_kq)[drawn]
-        # d log-likelihood / d score: 1 - P(data) for real words, -P(data) for noise.
-        up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
-        to_context = up[:, None] * target + down @ noise
-        self._step("left", a, to_context)
-        self._step("right", b, to_context)
-        rows = np.concatenate([w, drawn])
-        self._step("target", rows, np.concatenate([up[:, None] * context, down.T @ context]))
-        self._step("bias", rows, np.concatenate([up, down.sum(0)]))
-        self.seen += len(w)
+        to_context = np.zeros_like(context)
+        rows, to_target, to_bias = [], [], []
+        for own, (noises, first, cumulative) in zip((w, self.band[w]), self.drawn):
+            drawn = np.searchsorted(cumulative, self.rng.random(noises) * cumulative[-1])
+            drawn = first + np.minimum(drawn, len(cumulative) - 1)
+            target, noise = m.target[own], m.target[drawn]
+            real = (context * target).sum(1) + m.bias[own] - self.log_kq[own]
+            false = context @ noise.T + m.bias[drawn] - self.log_kq[drawn]
+            # d log-likelihood / d score: 1 - P(data) for real words, -P(data) for noise.
+            up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
+            down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
+            to_context += up[:, None] * target + down @ noise
+            rows += [own, drawn]
+            to_target += [up[:, None] * context, down.T @ context]
+            to_bias += [up, down.sum(0)]
+        rows = np.concatenate(rows)
+        self._step(a, left=to_context)
+        self._step(b, right=to_context)
+        self._step(rows, target=np.concatenate(to_target), bias=np.concatenate(to_bias))
+        for k, at in enumerate((a, b, rows)):
+            np.add.at(self.hits[:, k], at, 1)
 
     def feed(self, ids: np.ndarray, firsts: np.ndarray, end: int) -> None:
         """Learn from texts laid end to end; ``firsts`` are the places of their first tokens."""
@@ -217,63 +280,74 @@ def contexts(ids: np.ndarray, firsts: np.ndarray, end: int) -> tuple[np.ndarray,
     return a, b
 
 
-def _classes(model: Model) -> tuple[dict[bytes, int], int, int]:
-    rare = len(model.words)
-    of = {w: i for i, w in enumerate(model.words)}
-    return of, rare, of.get(END, rare)
+def _units(model: Model) -> tuple[Units, int]:
+    of = Units(model.words, model.groups)
+    return of, of[END]
 
 
 def train_round(texts: DataFrame, model: Model, settings: Settings, number: int) -> Model:
-    """One round: every task learns from its texts, the results are averaged by tokens seen."""
+    """One round: every task learns from its texts; each row becomes the average of its tasks', by how often they learned from it."""
     sent = texts.sparkSession.sparkContext.broadcast(model)
-    blocks = 64
-    schema = pa.schema([("block", pa.int32()), ("seen", pa.int64()), ("rows", pa.binary())])
+    size = 256  # rows of a block
+    columns = [settings.width, settings.width, settings.width + 1]
+    schema = pa.schema([("block", pa.int32()), ("at", pa.binary()), ("hits", pa.binary()), ("change", pa.binary())])
 
     def learn(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        of, rare, end = _classes(model)
+        of, end = _units(model)
         trainer = Trainer(model, settings, number * 1_000_003 + TaskContext.get().partitionId())
 
         def feed(lists: list[list[bytes]]):
             lengths = np.array([len(x) for x in lists])
-            ids = np.fromiter((i for x in lists for i in map(of.get, x, repeat(rare))), np.int64, lengths.sum())
+            ids = np.fromiter((i for x in lists for i in map(of.__getitem__, x)), np.int64, lengths.sum())
             trainer.feed(ids, np.cumsum(lengths) - lengths, end)
 
-        held, size = [], 0
+        held, n = [], 0
         for part in parts:
             for text in part.column(0).to_pylist():
                 held.append(tokens(text))
-                size += len(held[-1])
-                if size >= 200_000:
+                n += len(held[-1])
+                if n >= 200_000:
                     feed(held)
-                    held, size = [], 0
+                    held, n = [], 0
         if held:
             feed(held)
-        if trainer.seen:
-            rows = trainer.model.packed().astype(np.float64) * trainer.seen
-            for i, block in enumerate(np.array_split(rows, blocks)):
-                yield pa.RecordBatch.from_pylist([{"block": i, "seen": trainer.seen, "rows": block.tobytes()}], schema=schema)
-
-    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, tuple[int, np.ndarray]] = {}
+        changed = np.flatnonzero(trainer.hits.any(1))
+        parts = zip(*[np.split(x, np.flatnonzero(np.diff(changed // size)) + 1) for x in (changed, trainer.hits[changed])])
+        for at, hits in parts if len(changed) else ():
+            change = np.concatenate([getattr(trainer.model, p)[at].reshape(len(at), -1) - getattr(model, p)[at].reshape(len(at), -1) for p in Model.PARTS], axis=1)
+            row = {"block": at[0] // size, "at": (at % size).astype(np.int16).tobytes(), "hits": hits.tobytes(), "change": change.astype(np.float16).tobytes()}
+            yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    def average(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for part in parts:
             for r in part.to_pylist():
-                seen, rows = sums.get(r["block"], (0, 0.0))
-                sums[r["block"]] = seen + r["seen"], rows + np.frombuffer(r["rows"])
-        for block, (seen, rows) in sums.items():
-            yield pa.RecordBatch.from_pylist([{"block": block, "seen": seen, "rows": rows.tobytes()}], schema=schema)
-
-    kinds = "block int, seen bigint, rows binary"
-    # Sums are taken in two steps, so that no task reads what all tasks have learned.
-    learned = texts.select("text").mapInArrow(learn, kinds)
-    some = learned.repartition(F.col("block"), F.pmod(F.xxhash64("rows"), F.lit(16))).mapInArrow(add, kinds)
-    found = some.repartition("block").mapInArrow(add, kinds).collect()
+                if r["block"] not in sums:
+                    sums[r["block"]] = np.zeros((size, 3)), np.zeros((size, sum(columns)))
+                n, change = sums[r["block"]]
+                at, hits = np.frombuffer(r["at"], np.int16), np.frombuffer(r["hits"], np.int32).reshape(-1, 3)
+                n[at] += hits
+                change[at] += np.repeat(hits, columns, axis=1) * np.frombuffer(r["change"], np.float16).reshape(len(at), -1).astype(np.float64)
+        for block, (n, change) in sums.items():
+            change /= np.repeat(np.maximum(n, 1), columns, axis=1)
+            yield pa.RecordBatch.from_pylist([{"block": block, "at": b"", "hits": b"", "change": change.astype(np.float16).tobytes()}], schema=schema)
+
+    kinds = "block int, at binary, hits binary, change binary"
+    # A task reads what all have learned of some blocks only; there are more of them the larger the vocabulary.
+    found = texts.select("text").mapInArrow(learn, kinds).repartition("block").mapInArrow(average, kinds).collect()
     sent.unpersist()
-    if not found:
-        return model
-    width = model.packed().shape[1]
-    rows = [np.frombuffer(r["rows"]).reshape(-1, width) / r["seen"] for r in sorted(found, key=lambda r: r["block"])]
-    return model.unpacked(np.concatenate(rows).astype(np.float32))
+    # The driver's garbage holds on to the round's shuffle files.
+    texts.sparkSession.sparkContext._jvm.System.gc()
+    model = replace(model, **{p: getattr(model, p).copy() for p in Model.PARTS})
+    while found:
+        r = found.pop()
+        rows = slice(r["block"] * size, (r["block"] + 1) * size)
+        change = np.frombuffer(r["change"], np.float16).reshape(size, -1)
+        for p, some in zip(Model.PARTS, np.split(change, np.cumsum([settings.width] * 3), axis=1)):
+            own = getattr(model, p)[rows]
+            own += some[: len(own)].reshape(own.shape)
+    return model
 
 
 def train(docs: DataFrame, counts: Counts, settings: Settings = Settings()) -> Model:
@@ -287,7 +361,7 @@ def train(docs: DataFrame, counts: Counts, settings: Settings = Settings()) -> M
 
 @dataclass
 class Scorer:
-    """Tables from which a token's log10 probability is read: ``left[a, w] + right[b, w] - norm[a, b]``."""
+    """Tables of a small model without bands: a token's log10 probability is ``left[a, w] + right[b, w] - norm[a, b]``."""
 
     left: np.ndarray
     right: np.ndarray
@@ -303,6 +377,50 @@ def scorer(model: Model) -> Scorer:
     return Scorer(left * scale, right * scale, norm * scale)
 
 
+class Probabilities:
+    """log10 probabilities of units after two others: of the band among the bands, and of the unit within its band."""
+
+    def __init__(self, model: Model):
+        units = len(model.words) + model.groups
+        self.left, self.right = model.left, model.right
+        rows = np.concatenate([model.target, model.bias[:, None]], axis=1)
+        self.units, self.bands = rows[:units], rows[units:]
+        self.edges = band_edges(units)
+        self.band = np.repeat(np.arange(len(self.edges) - 1), np.diff(self.edges))
+
+    @staticmethod
+    def _shares(context: np.ndarray, rows: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the softmax over ``rows``, at ``own``."""
+        shares = np.empty(len(own), np.float32)
+        step = max(64, 500_000 // len(rows))
+        for i in range(0, len(own), step):
+            scores = context[i : i + step] @ rows.T
+            at = scores[np.arange(len(scores)), own[i : i + step]]
+            if np.abs(scores).max() > 60:
+                top = scores.max(1, keepdims=True)
+                scores -= top
+                at -= top[:, 0]
+            np.exp(scores, out=scores)
+            shares[i : i + step] = at - np.log(scores.sum(1))
+        return shares
+
+    def of(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+        band = self.band[w]
+        order = np.argsort(band, kind="stable")
+        band, own = band[order], w[order]
+        context = np.ones((len(w), self.left.shape[1] + 1), np.float32)
+        context[:, :-1] = self.left[a[order]] + self.right[b[order]]
+        logs = self._shares(context, self.bands, band)
+        firsts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
+        for i, j in zip(firsts.tolist(), [*firsts[1:].tolist(), len(band)]):
+            first, last = self.edges[band[i]], self.edges[band[i] + 1]
+            if last - first > 1:
+                logs[i:j] += self._shares(context[i:j], self.units[first:last], own[i:j] - first)
+        found = np.empty(len(w))
+        found[order] = logs / np.log(10)
+        return found
+
+
 _PARTS = pa.schema(
     [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
      ("base", pa.float64()), ("score", pa.float64()), ("others", pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int32())])))]
@@ -315,50 +433,65 @@ def score(docs: DataFrame, counts: Counts, model: Model) -> DataFrame:
     Words outside the lookup are counted by text and joined to the counts' table; a hot word is in the
     lookup, so the join has no hot key.
     """
-    of, rare, _ = _classes(model)
     total, distinct = counts.total, counts.distinct
-    in_model = sum(c for w, c in zip(counts.words, counts.counts.tolist()) if w in of)
-    rare_total, rare_distinct = total - in_model, distinct - len(model.words)
     base_norm = float(np.log10(total + SMOOTH * (distinct + 1)))
-    rare_norm = float(np.log10(rare_total + SMOOTH * (rare_distinct + 1)))
-    sent = docs.sparkSession.sparkContext.broadcast((model, scorer(model), counts.words, counts.counts))
+    group_norm = np.log10(counts.group_tokens + SMOOTH * (counts.group_words + 1))
+    sent = docs.sparkSession.sparkContext.broadcast((model, counts.words, counts.counts, group_norm))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, tables, words, c = sent.value
-        of, rare, end = _classes(model)
+        model, words, c, group_norm = sent.value
+        of, end = _units(model)
+        odds = Probabilities(model)
         place = {w: i for i, w in enumerate(words)}
-        unknown = len(words)
+        unknown, own = len(words), len(model.words)
         logs = np.append(np.log10(c + SMOOTH), 0.0)
-        # Class of each word in the lookup, and what a word of class RARE adds.
-        kind = np.array([of.get(w, rare) for w in words] + [rare], np.int64)
-        within = np.where(kind == rare, logs - rare_norm, 0.0)
-        within[unknown] = 0.0
+        # Unit of each word in the lookup, and what a word of a group adds; without its count if it is not in the lookup.
+        kind = np.fromiter((of[w] for w in [*words, END]), np.int64, unknown + 1)
+        norms = np.append(np.zeros(own), group_norm)
+        within = np.where(kind >= own, logs, 0.0)
         based = logs - base_norm
         based[unknown] = 0.0
         row = TaskContext.get().partitionId() << 33
 
         def scored(some):
             nonlocal row
-            rows = []
-            for doc_id, held_out, text in some:
-                found = tokens(text)
-                at = np.fromiter(map(place.get, found, repeat(unknown)), np.int64, len(found))
-                ids = kind[at]
-                a, b = contexts(ids, np.zeros(1, int), end)
-                lm = (tables.left[a, ids] + tables.right[b, ids] - tables.norm[a, b]).sum(dtype=np.float64)
-                missing = np.flatnonzero(at == unknown)
-                others = Counter(found[i] for i in missing.tolist())
-                rows.append(
-                    (row, doc_id, held_out, len(found), len(found) - len(missing), float(based[at].sum()), float(lm + within[at].sum()),
-                     [{"word": w, "tf": n} for w, n in others.items()])
-                )
-                row += 1
-            columns = zip(*rows)
+            lengths = np.array([len(found) for *_, found in some])
+            firsts = np.cumsum(lengths) - lengths
+            at = np.fromiter((i for *_, found in some for i in map(place.get, found, repeat(unknown))), np.int64, lengths.sum())
+            ids = kind[at]
+            missing = np.flatnonzero(at == unknown)
+            owner = np.searchsorted(firsts, missing, side="right") - 1
+            others = [Counter() for _ in some]
+            for k, i in zip(owner.tolist(), missing.tolist()):
+                word = some[k][2][i - firsts[k]]
+                ids[i] = of[word]
+                others[k][word] += 1
+            lm = odds.of(*contexts(ids, firsts, end), ids) + within[at] - norms[ids]
+            n = len(some)
+            columns = (
+                range(row, row + n),
+                [x[0] for x in some],
+                [x[1] for x in some],
+                lengths,
+                lengths - np.bincount(owner, minlength=n),
+                np.add.reduceat(based[at], firsts),
+                np.add.reduceat(lm, firsts),
+                [[{"word": w, "tf": k} for w, k in x.items()] for x in others],
+            )
+            row += n
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _PARTS)], schema=_PARTS)
 
+        held, size = [], 0
         for part in parts:
             for i in range(0, part.num_rows, 512):
-                yield scored(zip(*[x.to_pylist() for x in part.slice(i, 512).columns]))
+                for doc_id, held_out, text in zip(*[x.to_pylist() for x in part.slice(i, 512).columns]):
+                    held.append((doc_id, held_out, tokens(text)))
+                    size += len(held[-1][2])
+                    if size >= 100_000:
+                        yield scored(held)
+                        held, size = [], 0
+        if held:
+            yield scored(held)
 
     kinds = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, others array<struct<word:binary,tf:int>>"
     rows = docs.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(run, kinds)
@@ -367,7 +500,7 @@ def score(docs: DataFrame, counts: Counts, model: Model) -> DataFrame:
     log = F.log10(F.col("c") + F.lit(SMOOTH))
     known = F.when(F.col("c") > 0, F.col("tf")).otherwise(F.lit(0))
     sums = words.groupBy("row").agg(
-        F.sum(known).alias("also_known"), F.sum(F.col("tf") * (log - base_norm)).alias("also_base"), F.sum(F.col("tf") * (log - rare_norm)).alias("also_score")
+        F.sum(known).alias("also_known"), F.sum(F.col("tf") * (log - base_norm)).alias("also_base"), F.sum(F.col("tf") * log).alias("also_score")
     )
     also = lambda c: F.coalesce(c, F.lit(0))
     return rows.drop("others").join(sums, "row", "left").select(
