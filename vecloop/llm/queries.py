@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 import public_tokenizers
 
-from vecloop.llm import decontaminate, langid, lm, pieces, quality, secrets, sharding, simhash, sql, suffixes, warc
+from vecloop.llm import align, classifier, decontaminate, fim, langid, lm, pieces, quality, secrets, sharding, simhash, sql, suffixes, warc
 from vecloop.plans.views import table
 from vecloop.session import fresh_path
 
@@ -67,12 +67,27 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.restore(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align.count_links(table(spark, sf_dir, "documents"), *paths)
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    registered = [op1_simhash_near_dedup, op2_lm_scoring, op3_suffix_array_dedup, op4_sharding, op5_secret_scans, op6_benchmark_decontamination, op7_sentencepiece, op8_language_id, op9_quality_rules, op10_warc, pipeline]
+    registered = [op1_simhash_near_dedup, op2_lm_scoring, op3_suffix_array_dedup, op4_sharding, op5_secret_scans, op6_benchmark_decontamination, op7_sentencepiece, op8_language_id, op9_quality_rules, op10_warc, op11_fill_in_middle, op12_cross_tokenizer_alignment, op13_quality_classifier, pipeline]
     return {q.__name__: q for q in registered}
 
 
@@ -84,4 +99,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_benchmark_decontamination": sql.OP6,
         "op9_quality_rules": sql.OP9,
         "op10_warc": sql.OP10,
+        "op11_fill_in_middle": sql.OP11,
     }
