@@ -122,3 +122,52 @@ def test_write_and_load(spark, make_points):
     path = fresh_path(spark, "test")
     text.write_points(points.select("x"), path)
     assert text.scan_lines(spark, path).where(F.col("value").endswith(" ")).count() == 0
+
+
+@pytest.fixture
+def folder(tmp_path):
+    """A folder of text files by name."""
+
+    def make(**files):
+        for name, content in files.items():
+            (tmp_path / name).write_text(content)
+        return str(tmp_path)
+
+    return make
+
+
+def test_first_width_is_that_of_the_first_record(spark, folder):
+    path = folder(b="1 2 3 4\n", a="x\n1  2\nNaN 1\n\n5 6 7 \n1 2\n")
+    assert text.first_width(spark, path) == 3
+    assert reasons({r["value"]: (r["reason"],) for r in text.load_vectors(spark, path).collect()}) == {
+        "1 2 3 4": WIDTH, "x": WIDTH, "1  2": NUMBER, "NaN 1": WIDTH, "": WIDTH, "5 6 7 ": None, "1 2": WIDTH,
+    }
+
+
+def test_first_width_without_a_record(spark, folder):
+    assert text.first_width(spark, folder(a="", b="x y\n\n")) is None
+    assert {r["reason"] for r in text.load_vectors(spark, folder()).collect()} == {NUMBER}
+
+
+def test_first_width_is_found_behind_many_bad_files(spark, folder):
+    path = folder(**{f"f{i:03}": "no number\n" for i in range(40)}, **{"f[x] {1}*": "1 2\n", "g": "1\n"})
+    assert text.first_width(spark, path) == 2
+
+
+@pytest.mark.parametrize("size", ["7b", "64b", "1g"])
+def test_first_width_is_the_same_for_any_splits(spark, folder, size):
+    lines = ["bad line"] * 30 + ["1 2 3 4 5"] + ["1 2"] * 50 + ["1 2 3 4 5"] * 3
+    path = folder(part="\n".join(lines) + "\n", rest="1 2 3\n" * 20)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        assert text.first_width(spark, path) == 5
+        assert text.points(text.load_vectors(spark, path)).count() == 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_label_last_has_the_first_records_width(spark, folder):
+    path = folder(a="1 2 -1\n1 2 3 1\n4 5 1\n1 1\n")
+    assert [tuple(r) for r in text.points(text.load_label_last(spark, path)).collect()] == [(-1, [1, 2]), (1, [4, 5])]
+    assert text.points(text.load_label_last(spark, path, 3)).count() == 1

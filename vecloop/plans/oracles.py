@@ -74,6 +74,18 @@ FIXED = _parsed(MESSY_LINE, RUNS, _few(3), "tok[1:3]")
 LABEL_LAST = _parsed(LABEL_LAST_LINE, SINGLE, _wrong(4), "tok")
 
 
+
+
+def _inferred(order: str) -> str:
+    """Every line, its numbers, and why it is rejected if all must be as wide as the first that holds only numbers."""
+    loose = _parsed(MESSY_LINE, SINGLE, "NULL", "tok")
+    return f"""
+WITH r AS MATERIALIZED ({loose}),
+w AS (SELECT len(num) AS width FROM r WHERE bad IS NULL ORDER BY value {order} LIMIT 1)
+SELECT value, num, CASE WHEN len(tok) <> width THEN 'wrong number of dimensions' ELSE bad END AS bad FROM r, w
+"""
+
+
 def _loaded(parsed: str, columns: str) -> str:
     return f"SELECT {columns} FROM ({parsed}) WHERE bad IS NULL"
 
@@ -318,6 +330,10 @@ def oracle_sql() -> dict[str, str]:
             LABEL_LAST, "trunc(num[4])::INT AS y, num[1] AS x0, num[2] AS x1, num[3] AS x2"
         ),
         "load_vectors": _loaded(VECTORS, "num[1] AS x0, num[2] AS x1, num[3] AS x2, num[4] AS x3"),
+        "load_vectors_inferred": f"""SELECT value, bad AS reason, width::INT AS width, count(*) AS lines
+FROM (SELECT value, bad, (SELECT len(num) FROM ({_inferred('ASC')}) WHERE bad IS NULL LIMIT 1) AS width FROM ({_inferred('ASC')})) GROUP BY ALL""",
+        "load_label_last_inferred": f"""SELECT array_to_string(list_transform(num[:len(num) - 1], lambda v: v::INT::VARCHAR), ' ') AS x, trunc(num[len(num)])::INT AS y
+FROM ({_inferred('DESC')}) WHERE bad IS NULL""",
         "load_vectors_fixed": _loaded(FIXED, "num[1] AS x0, num[2] AS x1, num[3] AS x2"),
         "reject_summary": f"SELECT loader, reason, count(*) AS lines FROM ({reject}) GROUP BY loader, reason",
         "gen_labeled_points": f"SELECT event_id AS id, CASE WHEN {_uniform(0)} < 0.5 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS y, "

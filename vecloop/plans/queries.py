@@ -67,6 +67,25 @@ def load_vectors(spark, sf_dir):
     return text.points(parsed).select(*_wide(4))
 
 
+def _sorted_lines(spark, sf_dir, ascending=True):
+    """The messy lines in the order of their text, as files: which record is the first doesn't depend on the writing tasks."""
+    path = fresh_path(spark, "lines")
+    text.write_lines(views.lines(spark, sf_dir, views.MESSY_LINE).orderBy("value", ascending=ascending), path)
+    return path
+
+
+def load_vectors_inferred(spark, sf_dir):
+    """Vectors as wide as the first record; the rejects are there as well, with their reason."""
+    parsed = text.load_vectors(spark, _sorted_lines(spark, sf_dir))
+    return parsed.groupBy("value", "reason", F.size("x").alias("width")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+def load_label_last_inferred(spark, sf_dir):
+    """Points with the label last, all as wide as the first record, which stands at the other end of the same lines."""
+    parsed = text.load_label_last(spark, _sorted_lines(spark, sf_dir, ascending=False))
+    return text.points(parsed).select(F.concat_ws(" ", F.col("x").cast("array<int>")).alias("x"), "y")
+
+
 def load_vectors_fixed(spark, sf_dir):
     parsed = text.parse_vectors_fixed(views.lines(spark, sf_dir, views.MESSY_LINE), views.LINE_WIDTH)
     return text.points(parsed).select(*_wide(3))
@@ -416,7 +435,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         centers_upsert, center_shift, kmeans_train, kmeans_shift_history, kmeans_train_diagonal, kmeans_train_lineitem,
         metrics_first_vs_rest, metrics_pivot, metrics_one_engine, metrics_largest_cluster, metrics_first_later_long,
         metrics_union, bench_matrix, lr_train_uniform, lr_train_int, lr_train_text, kmeans_train_text,
-        kmeans_train_sampled, kmeans_resume,
+        kmeans_train_sampled, kmeans_resume, load_vectors_inferred, load_label_last_inferred,
     ]
     registered = {q.__name__: q for q in plain}
     # These two share their name with the operator they call.

@@ -6,6 +6,7 @@ Every parser returns its lines with ``reason`` (NULL for a good line) beside the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -18,6 +19,29 @@ def scan_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def first_width(spark: SparkSession, path: str) -> int | None:
+    """How many numbers the first record under ``path`` holds, whatever the splits; None if there is no record.
+
+    The first record is the first line, by file name and then by place, whose words between single spaces are all finite
+    numbers. Files are listed by a job that reads none of them, and read in order until one has a record: one at first, then more at
+    once. Of a file's lines only those of its first block are read, unless that holds no record.
+    """
+    listed = spark.read.format("binaryFile").load(path).select("path", F.col("_metadata.file_path").alias("file"))
+    seen, count = "", 1
+    while names := listed.where(F.col("file") > seen).orderBy("file").limit(count).collect():
+        paths = [re.sub(r"([\\\[\]{}*?,])", r"\\\1", r["path"]) for r in names]  # as they are, not as patterns
+        place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+        lines = spark.read.text(paths).select("value", place.alias("place"))
+        records = _parse(lines, _tokens_on_single(), None, None).where("reason IS NULL").select(F.size("numbers").alias("width"), "place")
+        if count == 1 and (found := records.where("place.file_block_start = 0").head()):
+            return found["width"]
+        width = records.agg(F.min_by("width", "place")).head()[0]
+        if width is not None:
+            return width
+        seen, count = names[-1]["file"], min(count * 16, 4096)
+    return None
+
+
 def _tokens_on_runs() -> Column:
     """Words between runs of spaces; leading and trailing spaces do not count."""
     return F.array_remove(F.split(F.col("value"), " "), "")
@@ -100,6 +124,18 @@ def parse_vectors(lines: DataFrame, width: int | None = None) -> DataFrame:
     return _parse(lines, _tokens_on_single(), shape, width).withColumnRenamed("numbers", "x")
 
 
+def load_vectors(spark: SparkSession, path: str, width: int | None = None) -> DataFrame:
+    """``parse_vectors`` of every line under ``path``; without ``width``, the first record's is the one all must have."""
+    return parse_vectors(scan_lines(spark, path), width or first_width(spark, path))
+
+
+def load_label_last(spark: SparkSession, path: str, width: int | None = None) -> DataFrame:
+    """``parse_label_last`` of every line under ``path``; without ``width``, all must be as wide as the first record."""
+    if width is None and (values := first_width(spark, path)):
+        width = values - 1
+    return parse_label_last(scan_lines(spark, path), width)
+
+
 def parse_vectors_fixed(lines: DataFrame, width: int) -> DataFrame:
     """The first ``width`` words between runs of spaces; further words are ignored."""
     shape = F.when(F.size("tokens") < width, "too few values")
