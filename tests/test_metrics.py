@@ -130,3 +130,66 @@ def test_models_by_iteration(spark, make_points):
         models.load_centers(spark, path, 3)
     resumed = train_kmeans(points, iterations=2, centers=models.load_centers(spark, path, 1))
     assert resumed.final == clusters.final
+
+
+def test_any_algorithm_comes_back_from_text(spark):
+    rows = [
+        (engine, algo, nodes, i, 1000 * i + nodes)
+        for engine, algo in (("spark", "lr"), ("spark", "kmeans"), ("spark", "pagerank"), ("s", "parkpagerank"), ("a b/c+d%", "é:x"), ("", "lr"))
+        for nodes in (25, 100)
+        for i in range(1, 40)
+    ]
+    path = fresh_path(spark, "te st+%20")
+    metrics.write_metrics_text(spark.createDataFrame(rows, metrics.METRICS).repartition(5), path)
+    assert sorted(tuple(r) for r in metrics.read_metrics_text(spark, path).collect()) == rows_sorted(rows)
+    metrics.write_metrics_text(spark.createDataFrame(rows[:39], metrics.METRICS), path)  # replaces all of it
+    assert sorted(tuple(r) for r in metrics.read_metrics_text(spark, path).collect()) == rows_sorted(rows[:39])
+
+
+def rows_sorted(rows):
+    return sorted(tuple(r) for r in rows)
+
+
+def test_runs_of_others_by_a_table(spark, tmp_path):
+    """Hadoop's part files, by number; a plain file; a run with no lines."""
+    folder = tmp_path / "25" / "hadoop-pagerank"
+    folder.mkdir(parents=True)
+    for part in range(12):
+        (folder / f"part-r-{part:05}").write_text("".join(f"{part * 10 + k}\n" for k in range(3)))
+    (folder / "_SUCCESS").write_text("")
+    (tmp_path / "one.log").write_text("5\n6\n")
+    runs = metrics.runs_frame(
+        spark, [("25/hadoop-pagerank", "hadoop", "pagerank", 25), ("one.log", "ours", "svd", 3), ("none", "ours", "lr", 3)]
+    )
+    found = metrics.read_metrics_text(spark, str(tmp_path), runs=runs).collect()
+    expected = [("hadoop", "pagerank", 25, 3 * part + k + 1, part * 10 + k) for part in range(12) for k in range(3)]
+    assert rows_sorted(found) == rows_sorted([*expected, ("ours", "svd", 3, 1, 5), ("ours", "svd", 3, 2, 6)])
+    with pytest.raises(PySparkException, match="not a file of metrics: one.log"):
+        metrics.read_metrics_text(spark, str(tmp_path), runs=runs.where("folder <> 'one.log'")).collect()
+    with pytest.raises(PySparkException, match="not a file of metrics"):
+        metrics.read_metrics_text(spark, str(tmp_path)).collect()
+
+
+def test_a_run_without_a_name_is_not_written(spark):
+    rows = spark.createDataFrame([("spark", None, 25, 1, 5)], metrics.METRICS)
+    with pytest.raises(PySparkException, match="a run without"):
+        metrics.write_metrics_text(rows, fresh_path(spark, "test"))
+
+
+def test_an_iteration_appended_again_is_one_row(spark, runs):
+    path = fresh_path(spark, "test")
+    metrics.append_metrics(runs, path)
+    metrics.append_metrics(runs.where("iter > 20"), path)
+    assert rows_sorted(metrics.read_metrics_table(spark, path).collect()) == rows_sorted(ROWS)
+    again = runs.where("engine = 'spark' AND iter > 20").withColumn("duration_ns", runs["duration_ns"] - 7)
+    metrics.append_metrics(again, path)
+    expected = [(e, a, n, i, d - 7 * (e == "spark" and i > 20)) for e, a, n, i, d in ROWS]
+    assert rows_sorted(metrics.read_metrics_table(spark, path).collect()) == rows_sorted(expected)
+
+
+def test_a_table_of_before_attempts_were_kept_is_read(spark, runs):
+    path = fresh_path(spark, "test")
+    runs.write.partitionBy("engine", "algo").parquet(path)
+    metrics.append_metrics(runs.where("iter = 1").withColumn("duration_ns", runs["duration_ns"] + 1), path)
+    expected = [(e, a, n, i, d + (i == 1)) for e, a, n, i, d in ROWS]
+    assert rows_sorted(metrics.read_metrics_table(spark, path).collect()) == rows_sorted(expected)

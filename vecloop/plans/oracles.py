@@ -297,7 +297,7 @@ CLUSTER_IDS = (
     "kmeans_train", "kmeans_train_diagonal", "kmeans_train_sampled", "kmeans_resume", "bench_matrix",
 )
 NODES = (
-    "write_metrics", "read_metrics", "metrics_first_vs_rest", "metrics_pivot", "metrics_one_engine",
+    "write_metrics", "read_metrics", "read_metrics_any", "metrics_first_vs_rest", "metrics_pivot", "metrics_one_engine",
     "metrics_largest_cluster", "metrics_first_later_long", "metrics_union",
 )
 
@@ -348,6 +348,9 @@ FROM ({_inferred('DESC')}) WHERE bad IS NULL""",
         "resume_from_iteration": f"SELECT * FROM ({_lr_train()}) WHERE iter >= 5",
         "write_metrics": EVENT_METRICS,
         "read_metrics": EVENT_METRICS,
+        "read_metrics_any": f"""
+SELECT engine, ['lr', 'kmeans', 'pagerank'][1 + nodes % 3] AS algo, nodes, iter, duration_ns FROM ({EVENT_METRICS})
+UNION ALL SELECT 'hadoop', 'pagerank', 25, row_number() OVER (ORDER BY o_orderkey), round(o_totalprice * 100)::BIGINT FROM orders""",
         "vec_dot": f"SELECT id, {_r(f'list_sum(list_transform({both}, lambda z: z[1] * z[2]))', 'v')} FROM ({POINTS_EMB})",
         "vec_scale": emb("list_transform(x, lambda v: v * label)"),
         "vec_add": emb(f"list_transform({both}, lambda z: z[1] + z[2])"),
