@@ -11,6 +11,7 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -58,28 +59,102 @@ def _nearest_kernel(centers: Sequence[Sequence[float]], max_model_numbers: int =
     """
     k, width = len(centers), len(centers[0])
     check_size(k * width, max_model_numbers)
-    flat = [list(c) for c in centers]
-    rows_per_slice = max(1, 1_000_000 // width)
+    model = np.asarray([list(c) for c in centers], dtype=np.float64)
+    nearest = nearest_in_block()
 
     def nearest_in(column):
-        import numpy as np
-
-        model = np.asarray(flat, dtype=np.float64)
+        ids = np.arange(k, dtype=np.int32)
         rows = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        block = min(k, 1024)
+        rows_per_slice = max(1, 1_000_000 // max(width, block))
         for begin in range(0, len(rows), rows_per_slice):
             x = rows[begin : begin + rows_per_slice]
             best, cid = np.full(len(x), np.inf), np.zeros(len(x), dtype=np.int32)
-            for i in range(k):
-                gap = x - model[i]
-                d = np.einsum("ij,ij->i", gap, gap)
-                closer = d < best  # strictly, so the lowest index keeps a tie
-                best[closer] = d[closer]
-                cid[closer] = i
+            for first in range(0, k, block):
+                nearest(x, model[first : first + block], ids[first : first + block], best, cid)
             yield x, cid, best
 
     return nearest_in
 
 
+def nearest_in_block():
+    """A function ``(x, centers, ids, best, cid)`` that improves each row's best distance and its centre, in place.
+
+    Distances are estimated by one matrix product, unless there are few numbers. A centre that can be the nearest, given how far the estimate may be off, has its
+    distance computed from the differences; so results are those of the plain loop, and the lowest id
+    keeps a tie. Blocks may come in any order; ids rise within a block. A distance that is no finite number never wins.
+    """
+
+    def nearest(x, centers, ids, best, cid):
+        n, width = x.shape
+        if len(ids) * width <= 256:
+            # Few numbers a centre and few centres: all differences at once cost less than an estimate.
+            step = 400_000 // (len(ids) * width)
+            for first in range(0, n, step):
+                _least(x[first : first + step], centers, ids, best[first : first + step], cid[first : first + step])
+            return
+        with np.errstate(over="ignore", invalid="ignore"):
+            xx, cc = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", centers, centers)
+            scale = xx.max(initial=0) + cc.max(initial=0)
+        if not scale < 1e300:
+            # No estimate for numbers whose squares are out of range: row by row, every centre.
+            for at in range(n):
+                _take(x, centers, ids, best, cid, np.full(len(ids), at), np.arange(len(ids)))
+            return
+        # Twice the rounding of three sums of ``width`` products and of the plain distance, with room to spare. 1e-300: squares too
+        # small to be numbers. What all centres of a row share, its own square, stands on the other side.
+        reach = (16 * width + 128) * 2.0**-53 * (xx + cc.max(initial=0)) + 1e-300
+        estimate = (-2 * centers) @ x.T
+        estimate += cc[:, None]
+        column, row = np.nonzero(estimate <= np.minimum(estimate.min(0), best - xx) + reach)
+        several = np.bincount(row, minlength=n) > 1
+        if several.any():
+            some = several[row]
+            order = np.lexsort((column[some], row[some]))
+            near = row[some][order], column[some][order]
+            step = max(1, 4_000_000 // width)
+            for first in range(0, len(near[0]), step):
+                _take(x, centers, ids, best, cid, near[0][first : first + step], near[1][first : first + step])
+            row, column = row[~some], column[~some]
+        if len(row) == n:
+            chosen = np.empty(n, dtype=np.intp)
+            chosen[row] = column
+            row, column = slice(None), chosen
+        _take(x, centers, ids, best, cid, row, column)
+
+    def _least(x, centers, ids, best, cid):
+        with np.errstate(over="ignore", invalid="ignore"):
+            gap = x[None] - centers[:, None]
+            d = np.einsum("kij,kij->ki", gap, gap)
+            if not d.max(initial=0) < np.inf:
+                d[~(d < np.inf)] = np.inf
+        chosen = d.argmin(0)
+        d, found = d[chosen, np.arange(len(x))], ids[chosen]
+        closer = (d < best) | ((d == best) & (d < np.inf) & (found < cid))
+        best[closer] = d[closer]
+        cid[closer] = found[closer]
+
+    def _take(x, centers, ids, best, cid, row, column):
+        """Exact distances of pairs, in the order of rows or one a row."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            gap = x[row] - centers[column]
+            d = np.einsum("ij,ij->i", gap, gap)
+        found = ids[column]
+        if isinstance(row, slice):
+            row = np.arange(len(x))
+        elif len(row) > 1 and (row[1:] == row[:-1]).any():
+            order = np.lexsort((found, np.where(d < np.inf, d, np.inf), row))
+            row, d, found = row[order], d[order], found[order]
+            first = np.concatenate([[True], row[1:] != row[:-1]])
+            row, d, found = row[first], d[first], found[first]
+        old = best[row]
+        closer = (d < old) | ((d == old) & (d < np.inf) & (found < cid[row]))
+        best[row[closer]] = d[closer]
+        cid[row[closer]] = found[closer]
+
+    return nearest
+
+
 def assign(points: DataFrame, centers: Sequence[Sequence[float]]) -> DataFrame:
     """Adds ``cid``, the index of the nearest centre; the lowest index wins a tie.
 
@@ -125,8 +200,6 @@ def _sums_prepared(points: DataFrame, centers: Sequence[Sequence[float]], fan_in
     nearest_in = _nearest_kernel(centers, max_model_numbers)
 
     def partial_sums(batches):
-        import numpy as np
-
         count, cost, total = np.zeros(k, dtype=np.int64), np.zeros(k), np.zeros((k, width))
         for batch in batches:
             for x, cid, best in nearest_in(batch.column("x")):

@@ -289,12 +289,12 @@ LARGEST = f"SELECT * FROM ({FIRST_REST}) WHERE nodes = (SELECT max(day(ts)) FROM
 POSITIONS = (
     "model_history", "resume_from_iteration", "vec_scale", "vec_add", "vec_subtract", "lr_train", "lr_train_uncached",
     "lr_train_alt", "lr_train_wide", "cluster_sum_count", "cluster_means", "centers_join", "centers_upsert",
-    "sample_k", "kmeans_train", "kmeans_train_diagonal", "kmeans_train_sampled", "kmeans_resume", "lr_train_text",
+    "sample_k", "kmeans_train", "kmeans_train_blocked", "kmeans_train_diagonal", "kmeans_train_sampled", "kmeans_resume", "lr_train_text",
     "lr_train_uniform", "lr_train_int", "bench_matrix",
 )
 CLUSTER_IDS = (
     "kmeans_assign", "model_cross_join", "cluster_sum_count", "cluster_means", "centers_join", "centers_upsert",
-    "kmeans_train", "kmeans_train_diagonal", "kmeans_train_sampled", "kmeans_resume", "bench_matrix",
+    "kmeans_train", "kmeans_train_blocked", "kmeans_train_diagonal", "kmeans_train_sampled", "kmeans_resume", "bench_matrix",
 )
 NODES = (
     "write_metrics", "read_metrics", "read_metrics_any", "metrics_first_vs_rest", "metrics_pivot", "metrics_one_engine",
@@ -373,6 +373,7 @@ UNION ALL SELECT 'hadoop', 'pagerank', 25, row_number() OVER (ORDER BY o_orderke
         "sample_k": f"""SELECT id, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS v
 FROM (SELECT * FROM ({POINTS_EMB}) ORDER BY md5('{SEED}:' || id), id LIMIT {K})""",
         "kmeans_train": _kmeans_train(FIRST, "keep"),
+        "kmeans_train_blocked": _kmeans_train(FIRST, "keep"),
         "kmeans_shift_history": _kmeans_shift(),
         "kmeans_train_diagonal": _kmeans_train(DIAGONAL, "drop"),
         "kmeans_train_lineitem": _kmeans_lineitem(),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from vecloop.functions import vectors as vec
 from vecloop.operators import centers as ctr
 from vecloop.operators import kmeans, logistic, timings
+from vecloop.operators.blocked import train_kmeans_blocked
 from vecloop.operators.runs import iteration_durations
 from vecloop.operators.sampling import sample_k
 from vecloop.plans import views
@@ -386,6 +387,14 @@ def kmeans_train_sampled(spark, sf_dir):
     return _long(_train_kmeans(spark, sf_dir).history(), "c", "iter", "cid")
 
 
+def kmeans_train_blocked(spark, sf_dir):
+    """The centres as a table, three to a block and a few hundred points held at a time, so that several blocks pass by each point."""
+    points = views.points_emb(spark, sf_dir)
+    start = spark.createDataFrame(list(enumerate(views.first_centers(spark, sf_dir))), "cid int, c array<double>")
+    trained = train_kmeans_blocked(points, start, views.ITERATIONS, block_numbers=3 * 64, held_numbers=400 * 64)
+    return _long(trained.history().withColumn("cid", F.col("cid").cast("int")), "c", "iter", "cid")
+
+
 def kmeans_resume(spark, sf_dir):
     """Five iterations, saved; then five more from the saved centres."""
     path = fresh_path(spark, "resume")
@@ -454,7 +463,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         metrics_first_vs_rest, metrics_pivot, metrics_one_engine, metrics_largest_cluster, metrics_first_later_long,
         metrics_union, bench_matrix, lr_train_uniform, lr_train_int, lr_train_text, kmeans_train_text,
         kmeans_train_sampled, kmeans_resume, load_vectors_inferred, load_label_last_inferred,
-        read_metrics_any,
+        read_metrics_any, kmeans_train_blocked,
     ]
     registered = {q.__name__: q for q in plain}
     # These two share their name with the operator they call.

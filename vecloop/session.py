@@ -56,3 +56,18 @@ def write_and_reread(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_uri(spark: SparkSession, path: str) -> str:
+    """The path as a full URI, which tasks can open with ``open_folder``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def open_folder(uri: str):
+    """The pyarrow file system of a folder, and the folder's path in it."""
+    from pyarrow import fs
+
+    if uri.startswith("file:/"):  # Hadoop writes file:/x where others write file:///x
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri)
