@@ -22,12 +22,18 @@ def join_centers(old: DataFrame, new: DataFrame, empty: str = "keep") -> DataFra
     return joined
 
 
+def moved_centers(old: DataFrame, new: DataFrame, empty: str = "keep") -> DataFrame:
+    """``(cid, c, moved)``: old centres, replaced where a new one exists, and the squared distance each has moved."""
+    c = F.coalesce("new_c", "old_c")
+    moved = squared_distance(F.col("old_c"), c)
+    return join_centers(old, new, empty).select("cid", c.alias("c"), moved.alias("moved"))
+
+
 def upsert_centers(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old centres, replaced where a new one exists."""
-    return join_centers(old, new).select("cid", F.coalesce("new_c", "old_c").alias("c"))
+    return moved_centers(old, new).select("cid", "c")
 
 
 def center_shift(old: DataFrame, new: DataFrame, empty: str = "keep") -> DataFrame:
     """One row: the summed squared distance from old to new; a missing centre does not move."""
-    moved = squared_distance(F.col("old_c"), F.coalesce("new_c", "old_c"))
-    return join_centers(old, new, empty).agg(F.sum(moved).alias("shift"))
+    return moved_centers(old, new, empty).agg(F.sum("moved").alias("shift"))
