@@ -75,3 +75,105 @@ def test_bad_lines_stop_the_job_or_are_counted(spark, capsys):
 def test_wrong_arguments(spark, argv):
     with pytest.raises(SystemExit):
         main(argv)
+
+
+def write(spark, lines, name="data"):
+    path = fresh_path(spark, name)
+    spark.createDataFrame([(v,) for v in lines], "value string").coalesce(1).write.text(path)
+    return path
+
+
+def points(n, width, seed=4):
+    rng = np.random.default_rng(seed)
+    return [" ".join(map(str, rng.random(width).round(4))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("keep", [[], ["--no-cache"], ["--table"]])
+def test_bad_lines_are_counted_while_training(spark, capsys, keep):
+    data = write(spark, points(40, 3) + ["1 2", "x 1 2", "1 2"])
+    main(["kmeans", data, "3", "2", "--width", "3", "--bad-lines", "reject", *keep])
+    printed = capsys.readouterr().out
+    assert printed.count("rejected") == 2
+    assert "rejected 2 lines: too few values" in printed and "rejected 1 lines: not a number" in printed
+
+
+def test_text_is_read_once(spark, tmp_path, monkeypatch):
+    """Without the text, a second pass would fail: it is taken away after the first."""
+    from vecloop import __main__ as command
+    from vecloop.sources import text
+
+    data = tmp_path / "data"
+    data.mkdir()
+    (data / "part").write_text("\n".join(["1 2 3", "-1 3 4", "1 2"]) + "\n")
+    stored = text.store
+
+    def once(*args):
+        result = stored(*args)
+        (data / "part").unlink()
+        return result
+
+    monkeypatch.setattr(command.text, "store", once)
+    main(["lr", str(data), "3", "--width", "2", "--bad-lines", "reject", "--rejects", fresh_path(spark, "bad")])
+
+
+def test_width_of_the_first_record(spark, capsys):
+    main(["kmeans", write(spark, ["1 2 3", "4 5 6", "1 2"]), "2", "1", "--format", "whole", "--bad-lines", "reject"])
+    printed = capsys.readouterr().out
+    assert "rejected 1 lines: wrong number of dimensions" in printed
+    assert all(len(line.split()) == 4 for line in printed.splitlines() if line.startswith("center:"))
+    main(["lr", write(spark, ["1 2 1", "4 5 -1", "2 1"]), "1", "--format", "label-last", "--bad-lines", "reject"])
+    assert "rejected 1 lines: wrong number of dimensions" in capsys.readouterr().out
+    with pytest.raises(ValueError, match="no record"):
+        main(["kmeans", write(spark, ["x"]), "2", "1", "--format", "whole"])
+
+
+@pytest.mark.parametrize("blocked", [[], ["--blocked"]])
+def test_restart_from_the_latest_complete_iteration(spark, capsys, blocked):
+    data, whole, model, times = write(spark, points(60, 3)), *(fresh_path(spark, name) for name in ("whole", "model", "times"))
+    run = ["kmeans", data, "4", "5", "--width", "3", "--metrics", times, *blocked]
+    main([*run, "--model", whole, "--engine", "whole"])
+    main(["kmeans", data, "4", "3", "--width", "3", "--metrics", times, *blocked, "--model", model])
+    # A crash within the fourth iteration: its model is there in part, and its time, but not its mark.
+    half = models.centers_history(spark, model).where("iter = 3 AND cid < 2").selectExpr("cid", "c", "4 AS iter")
+    half.write.mode("append").partitionBy("iter").parquet(model)
+    metrics.append_metrics(metrics.metrics_frame(spark, "spark", "kmeans", 1, [5], 4), times)
+    assert models.latest_iteration(spark, model) == 3
+    capsys.readouterr()
+    main([*run, "--model", model, "--resume", "latest"])
+    assert "resumed from iteration 3" in (printed := capsys.readouterr().out)
+    assert [f"iteration {i} took" in printed for i in range(1, 7)] == [False] * 3 + [True] * 2 + [False]
+    for i in range(6):
+        assert models.load_centers(spark, model, i) == pytest.approx(np.array(models.load_centers(spark, whole, i)))
+    rows = metrics.read_metrics_table(spark, times).where("engine = 'spark'").collect()
+    assert sorted(r["iter"] for r in rows) == [1, 2, 3, 4, 5] and all(r["duration_ns"] > 5 for r in rows)
+    main([*run, "--model", model, "--resume", "latest"])
+    assert "took" not in capsys.readouterr().out
+    with pytest.raises(ValueError, match="has 4 centres, not 3"):
+        main(["kmeans", data, "3", "5", "--width", "3", *blocked, "--model", model, "--resume", "2"])
+
+
+def test_latest_iteration(spark):
+    path = fresh_path(spark, "model")
+    assert models.latest_iteration(spark, path) is None
+    for i in (0, 1, 2, 10):
+        models.save_history(models.centers_frame(spark, i, [[1.0], [2.0]]), path)
+        if i != 1:
+            models.commit(spark, path, i)
+    assert models.latest_iteration(spark, path) == 10
+    models.save_history(models.centers_frame(spark, 10, [[1.0]]), path)  # damaged since
+    assert models.latest_iteration(spark, path) == 2
+    assert models.centers_history(spark, path).count() == 7  # marks are no models
+
+
+def test_lr_starts_where_there_is_nothing_to_resume(spark, capsys):
+    data, model = write(spark, ["1 2 3", "-1 3 4"]), fresh_path(spark, "model")
+    main(["lr", data, "2", "--width", "2", "--model", model, "--resume", "latest"])
+    assert "nothing to resume" in capsys.readouterr().out
+    assert models.latest_iteration(spark, model) == 2
+    main(["lr", data, "3", "--width", "2", "--model", model, "--resume", "latest"])
+    assert models.latest_iteration(spark, model) == 3
+
+
+def test_blocked_needs_a_place(spark):
+    with pytest.raises(SystemExit):
+        main(["kmeans", "p", "2", "1", "--blocked"])

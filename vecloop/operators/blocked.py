@@ -18,15 +18,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vecloop.operators.centers import center_shift, join_centers, upsert_centers
 from vecloop.operators.kmeans import nearest_in_block, prepare_vectors
 from vecloop.operators.logistic import merge_partials
-from vecloop.operators.model import laid_out
+from vecloop.operators.model import kept, laid_out
 from vecloop.operators.runs import number_in_order
-from vecloop.session import fresh_path, open_folder, shared_uri
+from vecloop.session import fresh_path, open_folder, remove, shared_uri
 
 #: Numbers of a block of centres, and of the points that a task holds while the blocks pass.
 BLOCK_NUMBERS = 1_000_000
 HELD_NUMBERS = 4_000_000
 
-TABLE = "cid bigint, c array<double>, iter int"
+TABLE = "cid int, c array<double>, iter int"
 
 
 @dataclass
@@ -69,7 +69,7 @@ def sums_by_table(points: DataFrame, uri: str, width: int, block_numbers: int =
                 yield ids[order], batch.column("c").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)[order]
 
     def sums(x):
-        best, cid = np.full(len(x), np.inf), np.full(len(x), np.iinfo(np.int64).max)
+        best, cid = np.full(len(x), np.inf), np.full(len(x), np.iinfo(np.int32).max, dtype=np.int32)
         least = None
         for ids, some in blocks():
             nearest(x, some, ids, best, cid)
@@ -99,7 +99,7 @@ def sums_by_table(points: DataFrame, uri: str, width: int, block_numbers: int =
         if n:
             yield sums(np.concatenate(held))
 
-    schema = "cid bigint, n bigint, cost double, g array<double>"
+    schema = "cid int, n bigint, cost double, g array<double>"
     partials = points.select("x").mapInArrow(partial_sums, schema).withColumn("pid", F.spark_partition_id())
     return merge_partials(partials, width, key="cid")
 
@@ -111,18 +111,19 @@ def train_kmeans_blocked(
     *,
     path: str | None = None,
     empty: str = "keep",
-    cache: bool = True,
+    cache: bool | str = True,
     first_iter: int = 0,
     partitions: int | None = None,
     block_numbers: int = BLOCK_NUMBERS,
     held_numbers: int = HELD_NUMBERS,
+    on_start: Callable[[DataFrame], None] | None = None,
     on_iteration: Callable[[int, DataFrame, float | None, int], None] | None = None,
 ) -> BlockedModel:
     """Train on ``points(x)`` from ``centers (cid, c)``, any number of them; results are those of ``train_kmeans``.
 
     ``path`` is where the centres of all iterations go (default: a new place in the shared folder); it must be in a store that pyarrow can
     open, since tasks read it. ``empty``, ``cache``, ``first_iter`` and ``partitions`` are as in ``train_kmeans``;
-    ``on_iteration(iter, centers, shift, duration_ns)`` gets the centres as a table.
+    ``on_start(centers)`` and ``on_iteration(iter, centers, shift, duration_ns)`` get the centres as a table.
     """
     if empty not in ("keep", "error", "drop"):
         raise ValueError(f"unknown rule for empty clusters: {empty}")
@@ -132,8 +133,8 @@ def train_kmeans_blocked(
     folder = lambda i: f"{model.path}/iter={i}"
 
     def save(table: DataFrame, i: int) -> DataFrame:
-        table.select(F.col("cid").cast("bigint"), "c").write.mode("overwrite").parquet(folder(i))
-        return spark.read.schema("cid bigint, c array<double>").parquet(folder(i))
+        table.select(F.col("cid").cast("int"), "c").write.mode("overwrite").parquet(folder(i))
+        return spark.read.schema("cid int, c array<double>").parquet(folder(i))
 
     old = save(centers, first_iter)
     head = old.select(F.size("c").alias("width")).first()
@@ -142,16 +143,16 @@ def train_kmeans_blocked(
     width = head["width"]
     if old.where((F.size("c") != width) | F.col("cid").isNull()).head():
         raise ValueError("centres of unequal width, or without an id")
-    data = laid_out(prepare_vectors(points, width), partitions)
-    if cache:
-        data = data.persist()
+    if on_start:
+        on_start(old)
+    data, release = kept(laid_out(prepare_vectors(points, width), partitions), cache)
     try:
         for i in range(first_iter + 1, first_iter + iterations + 1):
             found = sums_by_table(data, shared_uri(spark, folder(i - 1)), width, block_numbers, held_numbers)
             # Sums are used twice, for the centres and for their cost, and computed once.
             sums_path = fresh_path(spark, "sums")
             found.select("cid", "n", "cost", F.transform("g", lambda v: v / F.col("n")).alias("c")).write.parquet(sums_path)
-            means = spark.read.schema("cid bigint, n bigint, cost double, c array<double>").parquet(sums_path)
+            means = spark.read.schema("cid int, n bigint, cost double, c array<double>").parquet(sums_path)
             total = means.agg(F.sum("n").alias("n"), F.sum("cost").alias("cost")).head()
             if not total["n"]:
                 raise ValueError("no points to train on")
@@ -163,6 +164,7 @@ def train_kmeans_blocked(
             else:
                 new = save(upsert_centers(old, means), i)
                 shift = center_shift(old, new).head()["shift"]
+            remove(spark, sums_path)
             old = new
             model.shifts.append(shift)
             model.costs.append(total["cost"])
@@ -172,6 +174,5 @@ def train_kmeans_blocked(
             if on_iteration:
                 on_iteration(i, new, shift, model.durations_ns[-1])
     finally:
-        if cache:
-            data.unpersist()
+        release()
     return model

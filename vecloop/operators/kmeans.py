@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vecloop.functions.vectors import center_distances, checked
 from vecloop.operators.logistic import merge_partials, wide_fan_in
-from vecloop.operators.model import MAX_MODEL_NUMBERS, check_size, laid_out, model_value
+from vecloop.operators.model import MAX_MODEL_NUMBERS, check_size, kept, laid_out, model_value
 from vecloop.operators.sampling import sample_k, sample_vectors
 
 
@@ -250,24 +250,27 @@ def train_kmeans(
     centers: Sequence[Sequence[float]] | None = None,
     *,
     init: str = "sample",
+    width: int | None = None,
     id_col: str | None = "id",
     empty: str = "keep",
-    cache: bool = True,
+    cache: bool | str = True,
     seed: int = 42,
     first_iter: int = 0,
     partitions: int | None = None,
     fan_in: int | None = None,
     max_model_numbers: int = MAX_MODEL_NUMBERS,
+    on_start: Callable[[list[list[float]]], None] | None = None,
     on_iteration: Callable[[int, list[list[float]], float | None, int], None] | None = None,
 ) -> KMeansModel:
     """Train on ``points(x)`` for a fixed number of iterations; the shift is reported, not used.
 
     ``init``: ``sample`` (K rows of the points by ``id_col``, or K different vectors if that is None) or
     ``diagonal``, unless ``centers`` is given.
-    ``on_iteration(iter, centers, shift, duration_ns)`` is called after each iteration.
+    ``on_start(centers)`` is called before the first iteration, ``on_iteration(iter, centers, shift, duration_ns)`` after each.
     ``empty``: ``keep`` the old centre of an empty cluster, raise an ``error``, or ``drop`` the
     cluster so that later centres move up. ``first_iter`` is the iteration that ``centers`` come from.
-    ``partitions``, ``fan_in`` and ``max_model_numbers`` are as in ``train_logistic``.
+    ``cache``, ``partitions``, ``fan_in`` and ``max_model_numbers`` are as in ``train_logistic``. Without ``width`` the first point has it,
+    which takes a job of its own.
     """
     if empty not in ("keep", "error", "drop"):
         raise ValueError(f"unknown rule for empty clusters: {empty}")
@@ -278,15 +281,13 @@ def train_kmeans(
     if centers is not None:
         centers = [[float(v) for v in c] for c in centers]
         width = len(centers[0])
-    else:
+    elif width is None:
         head = points.select(F.size("x").alias("width")).first()
         if head is None:
             raise ValueError("no points to train on")
         width = head["width"]
     keep = [id_col] if id_col and centers is None and init == "sample" else []
-    data = laid_out(points.select(*keep, checked(F.col("x"), width).alias("x")), partitions)
-    if cache:
-        data = data.persist()
+    data, release = kept(laid_out(points.select(*keep, checked(F.col("x"), width).alias("x")), partitions), cache)
     groups = fan_in or 0
     try:
         if centers is None and init == "sample":
@@ -297,6 +298,8 @@ def train_kmeans(
         elif centers is None:
             centers = diagonal_centers(k, width)
         model = KMeansModel(spark, [centers], first_iter)
+        if on_start:
+            on_start(centers)
         for i in range(first_iter + 1, first_iter + iterations + 1):
             rows = _sums_prepared(data, centers, groups, max_model_numbers).collect()
             if not rows:
@@ -313,6 +316,5 @@ def train_kmeans(
             if on_iteration:
                 on_iteration(i, centers, shift, model.durations_ns[-1])
     finally:
-        if cache:
-            data.unpersist()
+        release()
     return model

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vecloop.functions.gradient import FACTORS
 from vecloop.functions.uniform import uniform
 from vecloop.functions.vectors import UNROLL_WIDTH, array_of_sums, checked, dot, scale, unrolled_dot
-from vecloop.operators.model import MAX_MODEL_NUMBERS, check_size, laid_out, model_value
+from vecloop.operators.model import MAX_MODEL_NUMBERS, check_size, kept, laid_out, model_value
 
 # From this many partitions on, partial sums are merged in two steps instead of by one task.
 WIDE_FAN_IN = 2048
@@ -173,7 +173,7 @@ def train_logistic(
     width: int | None = None,
     step: float = 1.0,
     rule: str = "logistic",
-    cache: bool = True,
+    cache: bool | str = True,
     first_iter: int = 0,
     seed: int = 42,
     partitions: int | None = None,
@@ -184,7 +184,7 @@ def train_logistic(
     """Train on ``points(y, x)``.
 
     ``rule="logistic"`` subtracts the summed terms, ``rule="alt"`` adds them. ``cache=False`` reads
-    the input again in every iteration. ``on_iteration(iter, weights, duration_ns)`` is called after
+    the input again in every iteration, ``cache="table"`` what was written once (``model.kept``). ``on_iteration(iter, weights, duration_ns)`` is called after
     each one; iteration 1 includes the load, since caching is lazy. ``partitions`` lays the points out
     anew as they are loaded, and not later. ``fan_in`` is the number of groups in which partial sums are
     merged first, 0 for one step; if it is not given, it is 0 below ``WIDE_FAN_IN`` partitions, which the
@@ -203,13 +203,11 @@ def train_logistic(
     check_size(width, max_model_numbers)
     sign = {"logistic": -1.0, "alt": 1.0}[rule]
 
-    data = laid_out(prepare_points(points, width), partitions)
-    if cache:
-        data = data.persist()
     model = LogisticModel(spark, first_iter, [weights])
     groups = fan_in or 0
+    start = time.perf_counter_ns()
+    data, release = kept(laid_out(prepare_points(points, width), partitions), cache)
     try:
-        start = time.perf_counter_ns()
         for i in range(first_iter + 1, first_iter + iterations + 1):
             row = _sum_prepared(data, weights, rule, groups).collect()[0]
             if not row["n"]:
@@ -224,6 +222,5 @@ def train_logistic(
             if on_iteration:
                 on_iteration(i, weights, model.durations_ns[-1])
     finally:
-        if cache:
-            data.unpersist()
+        release()
     return model

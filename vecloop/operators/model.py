@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from vecloop.session import fresh_path, remove
+
 # Up to this many numbers the model is written into the query as text.
 MAX_TEXT_NUMBERS = 10_000
 
@@ -27,6 +29,25 @@ def laid_out(points: DataFrame, partitions: int | None) -> DataFrame:
     return points if partitions is None else points.repartition(partitions)
 
 
+def kept(points: DataFrame, cache: bool | str) -> tuple[DataFrame, Callable[[], None]]:
+    """The points that iterations read, and what to call after the last one.
+
+    ``cache``: True keeps them in the executors' memory, False reads the input again in every iteration, and ``"table"`` writes
+    them once to the shared folder, as columns, to be read again in every iteration. The table needs no memory and no second parse, and
+    outlives executors; it is deleted at the end.
+    """
+    if cache == "table":
+        path = fresh_path(points.sparkSession, "points")
+        points.write.parquet(path)
+        return points.sparkSession.read.schema(points.schema).parquet(path), lambda: remove(points.sparkSession, path)
+    if cache not in (True, False):
+        raise ValueError(f"unknown way to keep points: {cache}")
+    if not cache:
+        return points, lambda: None
+    points = points.persist()
+    return points, points.unpersist
+
+
 def _literal(value) -> str:
     if isinstance(value, (list, tuple)):
         return f"array({', '.join(_literal(v) for v in value)})"

@@ -289,7 +289,7 @@ LARGEST = f"SELECT * FROM ({FIRST_REST}) WHERE nodes = (SELECT max(day(ts)) FROM
 POSITIONS = (
     "model_history", "resume_from_iteration", "vec_scale", "vec_add", "vec_subtract", "lr_train", "lr_train_uncached",
     "lr_train_alt", "lr_train_wide", "cluster_sum_count", "cluster_means", "centers_join", "centers_upsert",
-    "sample_k", "kmeans_train", "kmeans_train_blocked", "kmeans_train_diagonal", "kmeans_train_sampled", "kmeans_resume", "lr_train_text",
+    "sample_k", "kmeans_train", "kmeans_train_blocked", "kmeans_train_diagonal", "kmeans_train_sampled", "kmeans_resume", "lr_train_text", "lr_train_table",
     "lr_train_uniform", "lr_train_int", "bench_matrix",
 )
 CLUSTER_IDS = (
@@ -378,6 +378,9 @@ FROM (SELECT * FROM ({POINTS_EMB}) ORDER BY md5('{SEED}:' || id), id LIMIT {K})"
         "kmeans_train_diagonal": _kmeans_train(DIAGONAL, "drop"),
         "kmeans_train_lineitem": _kmeans_lineitem(),
         "kmeans_train_text": _kmeans_lineitem(),
+        "kmeans_train_table": _kmeans_lineitem(),
+        "lr_train_table": _lr_train(),
+        "rejects_in_training": f"SELECT bad AS reason, count(*) AS lines, count(*) AS saved FROM ({LENIENT}) WHERE bad IS NOT NULL GROUP BY bad",
         "kmeans_train_sampled": _kmeans_train(DRAWN, "keep"),
         "kmeans_resume": f"SELECT * FROM ({_kmeans_train(FIRST, 'keep')}) WHERE iter >= 5",
         "lr_train_text": _lr_train(),

@@ -264,6 +264,26 @@ def lr_train_text(spark, sf_dir):
     return _long(logistic.train_logistic(points, views.ITERATIONS, views.LR_START).history(), "w", "iter")
 
 
+def lr_train_table(spark, sf_dir):
+    """The same lines, parsed once into a table that every iteration reads."""
+    path = fresh_path(spark, "points")
+    text.write_points(views.points_lr(spark, sf_dir), path)
+    points = text.points(text.parse_labeled(text.scan_lines(spark, path), 4), "fail")
+    return _long(logistic.train_logistic(points, views.ITERATIONS, views.LR_START, cache="table").history(), "w", "iter")
+
+
+def rejects_in_training(spark, sf_dir):
+    """Bad lines by reason: counted while a trainer first reads its points, and kept by the one pass that stores points and bad lines."""
+    path = fresh_path(spark, "lines")
+    text.write_lines(views.lines(spark, sf_dir, views.MESSY_LINE), path)
+    parsed, seen = text.counted(text.parse_labeled(text.scan_lines(spark, path), 3))
+    logistic.train_logistic(text.points(parsed), 2, [0.0] * 3)
+    stored, _ = text.store(text.parse_labeled(text.scan_lines(spark, path), 3), fresh_path(spark, "parsed"))
+    counted = spark.createDataFrame([(r, n) for r, n in seen.get.items() if n], "reason string, lines bigint")
+    saved = text.rejects(stored).groupBy("reason").agg(F.count("value").alias("saved"))
+    return counted.join(saved, "reason", "full")
+
+
 def lr_train_uncached(spark, sf_dir):
     trained = logistic.train_logistic(views.points_lr(spark, sf_dir), views.ITERATIONS, views.LR_START, cache=False)
     return _long(trained.history(), "w", "iter")
@@ -382,6 +402,14 @@ def kmeans_train_text(spark, sf_dir):
     return _whole(kmeans.train_kmeans(points, iterations=views.ITERATIONS, centers=_whole_centers()))
 
 
+def kmeans_train_table(spark, sf_dir):
+    """The same lines, parsed once into a table that every iteration reads."""
+    path = fresh_path(spark, "vectors")
+    text.write_points(_whole_points(spark, sf_dir), path)
+    points = text.points(text.parse_vectors_fixed(text.scan_lines(spark, path), 4), "fail")
+    return _whole(kmeans.train_kmeans(points, iterations=views.ITERATIONS, centers=_whole_centers(), cache="table"))
+
+
 def kmeans_train_sampled(spark, sf_dir):
     """From the trainer's own start, K embeddings drawn by their ids."""
     return _long(_train_kmeans(spark, sf_dir).history(), "c", "iter", "cid")
@@ -392,7 +420,7 @@ def kmeans_train_blocked(spark, sf_dir):
     points = views.points_emb(spark, sf_dir)
     start = spark.createDataFrame(list(enumerate(views.first_centers(spark, sf_dir))), "cid int, c array<double>")
     trained = train_kmeans_blocked(points, start, views.ITERATIONS, block_numbers=3 * 64, held_numbers=400 * 64)
-    return _long(trained.history().withColumn("cid", F.col("cid").cast("int")), "c", "iter", "cid")
+    return _long(trained.history(), "c", "iter", "cid")
 
 
 def kmeans_resume(spark, sf_dir):
@@ -463,7 +491,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         metrics_first_vs_rest, metrics_pivot, metrics_one_engine, metrics_largest_cluster, metrics_first_later_long,
         metrics_union, bench_matrix, lr_train_uniform, lr_train_int, lr_train_text, kmeans_train_text,
         kmeans_train_sampled, kmeans_resume, load_vectors_inferred, load_label_last_inferred,
-        read_metrics_any, kmeans_train_blocked,
+        read_metrics_any, kmeans_train_blocked, lr_train_table, kmeans_train_table, rejects_in_training,
     ]
     registered = {q.__name__: q for q in plain}
     # These two share their name with the operator they call.

@@ -58,6 +58,19 @@ def write_and_reread(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``fresh_path`` named, whatever is in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def remove_intermediates(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; for the end of a job, when no result is read any more."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        remove(spark, f"{root.rstrip('/')}/vecloop/{spark.sparkContext.applicationId}")
+
+
 def shared_uri(spark: SparkSession, path: str) -> str:
     """The path as a full URI, which tasks can open with ``open_folder``."""
     path = spark._jvm.org.apache.hadoop.fs.Path(path)

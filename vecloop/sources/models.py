@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Column types are fixed, so a partitioned table is read back with the types it was written with.
@@ -49,3 +50,33 @@ def load_centers(spark: SparkSession, path: str, iteration: int) -> list[list[fl
     if [r["cid"] for r in rows] != list(range(len(rows))):
         raise ValueError(f"the centres of iteration {iteration} are not numbered from 0, each once")
     return [list(r["c"]) for r in rows]
+
+
+def commit(spark: SparkSession, path: str, iteration: int) -> None:
+    """Mark an iteration as complete. To be called last, when its model, and whatever else belongs to it, is written."""
+    rows = _rows_of(spark, path, iteration)
+    mark = spark.createDataFrame([(rows, iteration)], "rows bigint, iter int").coalesce(1)
+    mark.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("iter").parquet(f"{path}/_complete")
+
+
+def latest_iteration(spark: SparkSession, path: str) -> int | None:
+    """The last complete iteration; None if there is none. One without a mark, or with other rows than it was marked with, is passed over."""
+    try:
+        marks = spark.read.schema("rows bigint, iter int").parquet(f"{path}/_complete").collect()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    for mark in sorted(marks, key=lambda m: -m["iter"]):
+        if _rows_of(spark, path, mark["iter"]) == mark["rows"]:
+            return mark["iter"]
+    return None
+
+
+def _rows_of(spark: SparkSession, path: str, iteration: int) -> int:
+    try:
+        return spark.read.schema("iter int").parquet(path).where(F.col("iter") == iteration).count()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0

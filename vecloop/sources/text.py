@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from vecloop.functions.vectors import UNROLL_WIDTH, as_text
 
@@ -155,6 +155,39 @@ def reject_counts(lines: DataFrame, parsers: dict[str, Callable[[DataFrame], Dat
     return reasons.groupBy("loader", "reason").agg(F.count(F.lit(1)).alias("lines"))
 
 
+#: Why a parser rejects a line.
+REASONS = ("too few values", "wrong number of dimensions", "not a number", "not finite", "label out of range")
+
+
+def counted(parsed: DataFrame) -> tuple[DataFrame, Observation]:
+    """The rows, and rejected lines by reason, counted as the first job passes over them. That job must read all of them.
+
+    ``Observation.get`` waits for it: ``{reason: lines}``.
+    """
+    seen = Observation()
+    counts = [F.count(F.when(F.col("reason") == r, 1)).alias(r) for r in REASONS]
+    return parsed.observe(seen, *counts), seen
+
+
+def store(parsed: DataFrame, path: str) -> tuple[DataFrame, dict[str, int]]:
+    """Parse every line once: good points and bad lines go to one table, in a folder for each reason, and are counted on the way.
+
+    Returns the table to go on with, of the same columns; ``points`` and ``rejects`` read their own folders only. The texts of
+    good lines are left out. Counts: ``{reason: lines}``, none that are 0.
+    """
+    spark = parsed.sparkSession
+    rows, seen = counted(parsed.withColumn("value", F.when(F.col("reason").isNotNull(), F.col("value"))))
+    # A few files are open at a time in a task, or its rows would be sorted by reason.
+    writers = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(writers)
+    spark.conf.set(writers, str(len(REASONS) + 1))
+    try:
+        rows.write.mode("overwrite").partitionBy("reason").parquet(path)
+    finally:
+        spark.conf.set(writers, before)
+    return spark.read.schema(parsed.schema).parquet(path).select(*parsed.columns), {r: n for r, n in seen.get.items() if n}
+
+
 def points(parsed: DataFrame, mode: str = "reject") -> DataFrame:
     """The good rows. ``mode="fail"`` ends the job at a bad line instead of leaving it out."""
     values = [c for c in parsed.columns if c not in ("value", "reason")]
