@@ -37,12 +37,14 @@ BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 @dataclass(frozen=True)
 class Settings:
     """``held_bytes``: texts aligned at once; ``lane``: A tokens of a lane, about; ``window``: tokens searched for a cut that a lane
-    can begin at (without one the lane goes on); ``block_links``: links of a block, more only for a single longer document."""
+    can begin at (without one the lane goes on); ``block_links``: links of a block, more only for a single longer document; ``task_blocks``: blocks
+    that get their counts in one task, about."""
 
     held_bytes: int = 1 << 21
     lane: int = 1024
     window: int = 64
     block_links: int = 1_500_000
+    task_blocks: int = 8
 
 
 def byte_level_letters() -> dict[str, int]:
@@ -370,6 +372,9 @@ def count_links(docs: DataFrame, a_path: str, b_path: str, settings: Settings =
         columns |= {"n_best": pa.array(sums[0]), "count_sum": pa.array(sums[1]), "groups_sha256": figures.field("groups_sha256")}
         return pa.table(columns)
 
+    # Some blocks a task, however many there are: a group can't be split later.
+    tasks = max(1, held.count() // settings.task_blocks)
     result = f"doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
-    sides = held.select("block", "docs", "places").groupBy("block"), answers.groupBy("of")
+    left, right = held.select("block", "docs", "places").repartition(tasks, "block"), answers.repartition(tasks, "of")
+    sides = left.groupBy("block"), right.groupBy("of")
     return sides[0].cogroup(sides[1]).applyInArrow(run, result)
