@@ -161,3 +161,23 @@ def test_no_points_is_an_error(spark):
     for weights in ([0.0], [0.0] * 40, [0.0] * 200, None):
         with pytest.raises(ValueError, match="no points"):
             train_logistic(empty, 1, weights)
+
+
+@pytest.mark.parametrize("width", [5, 40])
+def test_the_first_iteration_merges_in_groups(spark, make_points, width, monkeypatch):
+    """Its sums are first merged by many tasks, each for some of the partitions, and adaptive execution leaves them apart."""
+    monkeypatch.setattr(logistic, "WIDE_FAN_IN", 4)
+    rng = np.random.default_rng(3)
+    x, y = rng.random((60, width)), np.where(rng.random(60) < 0.5, -1.0, 1.0)
+    points = make_points(x, y, 9)
+    points.count()
+    spark.sparkContext.setJobGroup("merge", "one iteration")
+    try:
+        train_logistic(points, 1, [0.0] * width, cache=False)
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(i) for i in tracker.getJobIdsForGroup("merge")]
+    tasks = [stage.numTasks for job in jobs for s in job.stageIds if (stage := tracker.getStageInfo(s))]
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) in tasks
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"

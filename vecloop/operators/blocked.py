@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vecloop.operators.centers import center_shift, join_centers, upsert_centers
 from vecloop.operators.kmeans import nearest_in_block, prepare_vectors
-from vecloop.operators.logistic import merge_partials
-from vecloop.operators.model import kept, laid_out
+from vecloop.operators.logistic import merge_partials, wide_fan_in
+from vecloop.operators.model import kept, laid_out, merging_in
 from vecloop.operators.runs import number_in_order
 from vecloop.session import fresh_path, open_folder, remove, shared_uri
 
@@ -52,7 +52,7 @@ class BlockedModel:
         return self.centers(self.first_iter + len(self.shifts))
 
 
-def sums_by_table(points: DataFrame, uri: str, width: int, block_numbers: int = BLOCK_NUMBERS, held_numbers: int = HELD_NUMBERS) -> DataFrame:
+def sums_by_table(points: DataFrame, uri: str, width: int, block_numbers: int = BLOCK_NUMBERS, held_numbers: int = HELD_NUMBERS, fan_in: int = 0) -> DataFrame:
     """Per non-empty cluster ``cid, n, cost, g, pid``, as ``kmeans.cluster_sums``, with the centres ``(cid, c)`` in the folder ``uri``."""
     nearest = nearest_in_block()
     block_rows, held_rows = max(1, block_numbers // width), max(1, held_numbers // width)
@@ -101,7 +101,7 @@ def sums_by_table(points: DataFrame, uri: str, width: int, block_numbers: int =
 
     schema = "cid int, n bigint, cost double, g array<double>"
     partials = points.select("x").mapInArrow(partial_sums, schema).withColumn("pid", F.spark_partition_id())
-    return merge_partials(partials, width, key="cid")
+    return merge_partials(partials, width, fan_in, "cid")
 
 
 def train_kmeans_blocked(
@@ -147,11 +147,13 @@ def train_kmeans_blocked(
         on_start(old)
     data, release = kept(laid_out(prepare_vectors(points, width), partitions), cache)
     try:
+        groups = wide_fan_in(data)
         for i in range(first_iter + 1, first_iter + iterations + 1):
-            found = sums_by_table(data, shared_uri(spark, folder(i - 1)), width, block_numbers, held_numbers)
+            found = sums_by_table(data, shared_uri(spark, folder(i - 1)), width, block_numbers, held_numbers, groups)
             # Sums are used twice, for the centres and for their cost, and computed once.
             sums_path = fresh_path(spark, "sums")
-            found.select("cid", "n", "cost", F.transform("g", lambda v: v / F.col("n")).alias("c")).write.parquet(sums_path)
+            with merging_in(spark, groups):
+                found.select("cid", "n", "cost", F.transform("g", lambda v: v / F.col("n")).alias("c")).write.parquet(sums_path)
             means = spark.read.schema("cid int, n bigint, cost double, c array<double>").parquet(sums_path)
             total = means.agg(F.sum("n").alias("n"), F.sum("cost").alias("cost")).head()
             if not total["n"]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vecloop.functions.vectors import center_distances, checked
 from vecloop.operators.logistic import merge_partials, wide_fan_in
-from vecloop.operators.model import MAX_MODEL_NUMBERS, check_size, kept, laid_out, model_value
+from vecloop.operators.model import MAX_MODEL_NUMBERS, check_size, kept, laid_out, merging_in, model_value
 from vecloop.operators.sampling import sample_k, sample_vectors
 
 
@@ -288,8 +288,8 @@ def train_kmeans(
         width = head["width"]
     keep = [id_col] if id_col and centers is None and init == "sample" else []
     data, release = kept(laid_out(points.select(*keep, checked(F.col("x"), width).alias("x")), partitions), cache)
-    groups = fan_in or 0
     try:
+        groups = wide_fan_in(data) if fan_in is None else fan_in
         if centers is None and init == "sample":
             drawn = sample_k(data, k, id_col, seed) if id_col else sample_vectors(data, k, seed)
             centers = [list(r["x"]) for r in drawn.collect()]
@@ -301,11 +301,10 @@ def train_kmeans(
         if on_start:
             on_start(centers)
         for i in range(first_iter + 1, first_iter + iterations + 1):
-            rows = _sums_prepared(data, centers, groups, max_model_numbers).collect()
+            with merging_in(spark, groups):
+                rows = _sums_prepared(data, centers, groups, max_model_numbers).collect()
             if not rows:
                 raise ValueError("no points to train on")
-            if fan_in is None:
-                groups = wide_fan_in(max(r["pid"] for r in rows) + 1)
             centers, shift = _next_centers(centers, rows, empty)
             model.centers.append(centers)
             model.shifts.append(shift)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vecloop.functions.gradient import FACTORS
 from vecloop.functions.uniform import uniform
 from vecloop.functions.vectors import UNROLL_WIDTH, array_of_sums, checked, dot, scale, unrolled_dot
-from vecloop.operators.model import MAX_MODEL_NUMBERS, check_size, kept, laid_out, model_value
+from vecloop.operators.model import MAX_MODEL_NUMBERS, check_size, kept, laid_out, merging_in, model_value
 
 # From this many partitions on, partial sums are merged in two steps instead of by one task.
 WIDE_FAN_IN = 2048
@@ -102,8 +102,12 @@ def _sum_prepared(points: DataFrame, weights: Sequence[float], rule: str, fan_in
     return terms.agg(*outputs)
 
 
-def wide_fan_in(partitions: int) -> int:
-    """Groups to merge the partial sums of so many partitions in; 0 to merge them at once."""
+def wide_fan_in(points: DataFrame) -> int:
+    """Groups to merge the partial sums of the points' partitions in; 0 to merge them at once.
+
+    The number of partitions is known before the first job, so that job already merges in groups.
+    """
+    partitions = points.rdd.getNumPartitions()
     return math.isqrt(partitions) if partitions >= WIDE_FAN_IN else 0
 
 
@@ -187,8 +191,7 @@ def train_logistic(
     the input again in every iteration, ``cache="table"`` what was written once (``model.kept``). ``on_iteration(iter, weights, duration_ns)`` is called after
     each one; iteration 1 includes the load, since caching is lazy. ``partitions`` lays the points out
     anew as they are loaded, and not later. ``fan_in`` is the number of groups in which partial sums are
-    merged first, 0 for one step; if it is not given, it is 0 below ``WIDE_FAN_IN`` partitions, which the
-    first iteration counts. It can change the last digits, as any other order of addition.
+    merged first, 0 for one step; if it is not given, it is 0 below ``WIDE_FAN_IN`` partitions. It can change the last digits, as any other order of addition.
     """
     spark = points.sparkSession
     if weights is None:
@@ -204,16 +207,15 @@ def train_logistic(
     sign = {"logistic": -1.0, "alt": 1.0}[rule]
 
     model = LogisticModel(spark, first_iter, [weights])
-    groups = fan_in or 0
     start = time.perf_counter_ns()
     data, release = kept(laid_out(prepare_points(points, width), partitions), cache)
     try:
+        groups = wide_fan_in(data) if fan_in is None else fan_in
         for i in range(first_iter + 1, first_iter + iterations + 1):
-            row = _sum_prepared(data, weights, rule, groups).collect()[0]
+            with merging_in(spark, groups):
+                row = _sum_prepared(data, weights, rule, groups).collect()[0]
             if not row["n"]:
                 raise ValueError("no points to train on")
-            if fan_in is None:
-                groups = wide_fan_in(row["pid"] + 1)
             weights = [w + sign * step * g for w, g in zip(weights, row["g"])]
             model.weights.append(weights)
             end = time.perf_counter_ns()

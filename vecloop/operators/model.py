@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -29,6 +30,22 @@ def laid_out(points: DataFrame, partitions: int | None) -> DataFrame:
     return points if partitions is None else points.repartition(partitions)
 
 
+@contextmanager
+def merging_in(spark: SparkSession, groups: int) -> Iterator[None]:
+    """For jobs that merge in groups: groups are small, and adaptive execution would put them all into one task, which then
+    fetches from every partition."""
+    if not groups:
+        yield
+        return
+    coalescing = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalescing)
+    spark.conf.set(coalescing, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(coalescing, before)
+
+
 def kept(points: DataFrame, cache: bool | str) -> tuple[DataFrame, Callable[[], None]]:
     """The points that iterations read, and what to call after the last one.
 
