@@ -23,7 +23,8 @@ from vecloop.operators.sampling import sample_k, sample_vectors
 
 @dataclass
 class KMeansModel:
-    """Centres after every iteration (first entry: the start), shift and duration per iteration."""
+    """Centres after every iteration (first entry: the start), shift and duration per iteration; with bounds, the share of points
+    that cost one distance instead of K."""
 
     spark: SparkSession
     centers: list[list[list[float]]]
@@ -31,6 +32,7 @@ class KMeansModel:
     shifts: list[float | None] = field(default_factory=list)
     costs: list[float] = field(default_factory=list)
     durations_ns: list[int] = field(default_factory=list)
+    skipped: list[float] = field(default_factory=list)
 
     @property
     def final(self) -> list[list[float]]:
@@ -254,6 +256,7 @@ def train_kmeans(
     id_col: str | None = "id",
     empty: str = "keep",
     cache: bool | str = True,
+    bounds: bool = False,
     seed: int = 42,
     first_iter: int = 0,
     partitions: int | None = None,
@@ -269,11 +272,14 @@ def train_kmeans(
     ``on_start(centers)`` is called before the first iteration, ``on_iteration(iter, centers, shift, duration_ns)`` after each.
     ``empty``: ``keep`` the old centre of an empty cluster, raise an ``error``, or ``drop`` the
     cluster so that later centres move up. ``first_iter`` is the iteration that ``centers`` come from.
+    ``bounds`` keeps bounds with the points, which must be cached: for many centres, or many iterations (``bounded``). Results are the same.
     ``cache``, ``partitions``, ``fan_in`` and ``max_model_numbers`` are as in ``train_logistic``. Without ``width`` the first point has it,
     which takes a job of its own.
     """
     if empty not in ("keep", "error", "drop"):
         raise ValueError(f"unknown rule for empty clusters: {empty}")
+    if bounds and cache is not True:
+        raise ValueError("bounds are kept with cached points")
     if init not in ("sample", "diagonal"):
         raise ValueError(f"unknown start: {init}")
     start = time.perf_counter_ns()
@@ -288,6 +294,7 @@ def train_kmeans(
         width = head["width"]
     keep = [id_col] if id_col and centers is None and init == "sample" else []
     data, release = kept(laid_out(points.select(*keep, checked(F.col("x"), width).alias("x")), partitions), cache)
+    with_bounds = None
     try:
         groups = wide_fan_in(data) if fan_in is None else fan_in
         if centers is None and init == "sample":
@@ -300,9 +307,19 @@ def train_kmeans(
         model = KMeansModel(spark, [centers], first_iter)
         if on_start:
             on_start(centers)
+        if bounds:
+            from vecloop.operators.bounded import BoundedPoints
+
+            with_bounds = BoundedPoints(data, max_model_numbers)
         for i in range(first_iter + 1, first_iter + iterations + 1):
             with merging_in(spark, groups):
-                rows = _sums_prepared(data, centers, groups, max_model_numbers).collect()
+                if with_bounds:
+                    rows = with_bounds.sums(centers, groups)
+                    release()  # the points are kept with their bounds now
+                    model.skipped.append(sum(r["skipped"] for r in rows) / max(1, sum(r["n"] for r in rows)))
+                    rows = [r for r in rows if r["n"]]
+                else:
+                    rows = _sums_prepared(data, centers, groups, max_model_numbers).collect()
             if not rows:
                 raise ValueError("no points to train on")
             centers, shift = _next_centers(centers, rows, empty)
@@ -315,5 +332,7 @@ def train_kmeans(
             if on_iteration:
                 on_iteration(i, centers, shift, model.durations_ns[-1])
     finally:
+        if with_bounds:
+            with_bounds.release()
         release()
     return model

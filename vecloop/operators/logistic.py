@@ -120,7 +120,7 @@ def merge_partials(partials: DataFrame, width: int, fan_in: int = 0, key: str |
         return _merge_by_position(partials, fan_in, key)
     keys = [key] if key else []
     sums = array_of_sums([f"get(g, {i})" for i in range(width)])
-    extra = ["sum(cost) AS cost"] if "cost" in partials.columns else []
+    extra = [f"sum({c}) AS {c}" for c in ("cost", "skipped") if c in partials.columns]
     outputs = [F.expr(e) for e in ("sum(n) AS n", "max(pid) AS pid", f"{sums} AS g", *extra)]
     if fan_in:
         partials = partials.groupBy(*keys, F.expr(f"pid % {fan_in} AS fan")).agg(*outputs)
@@ -130,7 +130,7 @@ def merge_partials(partials: DataFrame, width: int, fan_in: int = 0, key: str |
 def _merge_by_position(partials: DataFrame, fan_in: int, key: str | None) -> DataFrame:
     """``merge_partials`` for very wide vectors: one row per position, so the query stays short."""
     keys = [key] if key else []
-    added = ["n", "cost"] if "cost" in partials.columns else ["n"]
+    added = ["n", *[c for c in ("cost", "skipped") if c in partials.columns]]
     sums = [F.max("pid").alias("pid"), *[F.sum(c).alias(c) for c in (*added, "v")]]
     rows = partials.select(*keys, *added, "pid", F.posexplode("g").alias("pos", "v"))
     if fan_in:

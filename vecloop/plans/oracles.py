@@ -379,6 +379,7 @@ FROM (SELECT * FROM ({POINTS_EMB}) ORDER BY md5('{SEED}:' || id), id LIMIT {K})"
         "kmeans_train_lineitem": _kmeans_lineitem(),
         "kmeans_train_text": _kmeans_lineitem(),
         "kmeans_train_table": _kmeans_lineitem(),
+        "kmeans_train_bounded": _kmeans_lineitem(),
         "lr_train_table": _lr_train(),
         "rejects_in_training": f"SELECT bad AS reason, count(*) AS lines, count(*) AS saved FROM ({LENIENT}) WHERE bad IS NOT NULL GROUP BY bad",
         "kmeans_train_sampled": _kmeans_train(DRAWN, "keep"),

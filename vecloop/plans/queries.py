@@ -394,6 +394,11 @@ def kmeans_train_lineitem(spark, sf_dir):
     return _whole(trained)
 
 
+def kmeans_train_bounded(spark, sf_dir):
+    """The same with bounds kept with the points."""
+    return _whole(kmeans.train_kmeans(_whole_points(spark, sf_dir), iterations=views.ITERATIONS, centers=_whole_centers(), bounds=True))
+
+
 def kmeans_train_text(spark, sf_dir):
     """The same from lines of text: scan, parse, keep in memory, iterate."""
     path = fresh_path(spark, "vectors")
@@ -492,6 +497,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         metrics_union, bench_matrix, lr_train_uniform, lr_train_int, lr_train_text, kmeans_train_text,
         kmeans_train_sampled, kmeans_resume, load_vectors_inferred, load_label_last_inferred,
         read_metrics_any, kmeans_train_blocked, lr_train_table, kmeans_train_table, rejects_in_training,
+        kmeans_train_bounded,
     ]
     registered = {q.__name__: q for q in plain}
     # These two share their name with the operator they call.
