@@ -40,10 +40,10 @@ class Settings:
     can begin at (without one the lane goes on); ``block_links``: links of a block, more only for a single longer document; ``task_blocks``: blocks
     that get their counts in one task, about."""
 
-    held_bytes: int = 1 << 21
+    held_bytes: int = 1 << 20
     lane: int = 1024
     window: int = 64
-    block_links: int = 1_500_000
+    block_links: int = 1_000_000
     task_blocks: int = 8
 
 
@@ -62,15 +62,21 @@ class ByteTokens:
     """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        letters = byte_level_letters()
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.bytes = [self._bytes(self.tokenizer.id_to_token(i) or "", letters) for i in range(size)]
+        self.path = path
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
+        names = {i: entry for entry, i in content["model"]["vocab"].items()} | {t["id"]: t["content"] for t in content["added_tokens"]}
+        letters = byte_level_letters()
+        self.bytes = [self._bytes(names.get(i, ""), letters) for i in range(max(names, default=-1) + 1)]
         self.fast = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=self._ranks(content), special_tokens={}) if self._ordered(content) else None
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """The library's own, loaded where it is needed."""
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
+
     @staticmethod
     def _bytes(entry: str, letters: dict[str, int]) -> bytes:
         return bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
