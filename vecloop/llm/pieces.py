@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 import ahocorasick
@@ -20,6 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 from vecloop.llm.common import pick, tidy
+from vecloop.llm.fim import bounded
 
 SPACE = "▁"
 
@@ -28,7 +29,8 @@ class PieceModel:
     """The pieces of a SentencePiece model file of merge type with byte fallback and no text normalisation."""
 
     def __init__(self, path: str, cached_units: int = 400_000):
-        """``path``: the model file, the same on every executor. ``cached_units``: results held at once by a task."""
+        """``path``: the model file, the same on every executor. A task remembers the ids of the last ``cached_units`` to twice as
+        many units."""
         file = sentencepiece.SentencePieceProcessor(model_file=path)
         if not all(file.is_byte(i) for i in file.encode_as_ids("͸")[-2:]):
             raise ValueError(f"{path}: not a model with byte fallback")
@@ -39,7 +41,6 @@ class PieceModel:
         self.bytes: list[int] = [0] * 256
         self.pieces: list[str] = []
         self.byte_of: dict[int, int] = {}
-        self.automaton = ahocorasick.Automaton()
         for i in range(file.vocab_size()):
             piece = file.id_to_piece(i)
             self.pieces.append(piece)
@@ -50,20 +51,38 @@ class PieceModel:
             elif not (file.is_control(i) or file.is_unknown(i) or file.is_unused(i)):
                 self.ids[piece] = i
                 self.scores[piece] = file.get_score(i)
-                self.automaton.add_word(piece, len(piece))
-        self.automaton.make_automaton()
         # A piece with equal scores elsewhere merges leftmost first, which pairs of pieces don't show.
         seen: dict[float, int] = {}
         for piece in self.ids:
             if len(piece) > 1:
                 seen[self.scores[piece]] = seen.get(self.scores[piece], 0) + 1
         self.ties = frozenset(p for p in self.ids if len(p) > 1 and seen[self.scores[p]] > 1)
-        self.tie_chars = frozenset(c for p in self.ties for c in p)
+        self.tied = re.compile("|".join(map(re.escape, sorted(self.ties, key=len)))) if self.ties else None
         self.units = self._unit_pattern()
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.own: dict[str, bool] = {}
+        # Only pieces that merge to themselves can stand in a segmentation. What is no piece has the id -1 and the size 1.
+        self.automaton = ahocorasick.Automaton()
+        self.whole: dict[str, tuple[int, ...]] = {}
+        self.sizes = [len(p) for p in self.pieces] + [1]
+        self.usable: dict[str, int] = {}
+        for piece, i in self.ids.items():
+            if self.merge(piece) == [piece]:
+                self.usable[piece] = i
+                self.automaton.add_word(piece, (len(piece), i))
+                if piece not in self.ties:
+                    self.whole[piece] = (i,)
+        self.most = max(map(len, self.usable), default=1)
+        self.automaton.make_automaton()
+        self.texts = [str(i) for i in range(len(self.pieces))]
+        #: What an id decodes to alone; bytes and special ids depend on others.
+        self.decoded = [p.replace(SPACE, " ") if p in self.ids else None for p in self.pieces]
+        self.pairs: dict[int, bool] = {}
         self.cached_units = cached_units
         self.cache: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
+
+    def forget(self) -> None:
+        """Drop what is remembered of texts. Pairs of pieces stay, there is a bound on them."""
+        self.cache, self.older = {}, {}
 
     def _unit_pattern(self) -> re.Pattern:
         """Cuts that no piece of this vocabulary spans, so that units can be encoded alone."""
@@ -108,95 +127,115 @@ class PieceModel:
                 heapq.heappush(heap, (-score, h, parts[h], parts[i]))
         return [p for p in parts if p]
 
-    def _goes(self, a: str, b: str) -> bool:
+    def _goes(self, a: int, b: int) -> bool:
         """Whether two neighbouring pieces stay as they are when merged anew."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) > 300_000:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merge(a + b) == [a, b]
-        return known
-
-    def _itself(self, a: str) -> bool:
-        known = self.own.get(a)
-        if known is None:
-            known = self.own[a] = self.merge(a) == [a]
+        if len(self.pairs) > 200_000:
+            self.pairs.clear()
+        x, y = self.pieces[a], self.pieces[b]
+        known = self.pairs[a * len(self.pieces) + b] = self.merge(x + y) == [x, y]
         return known
 
-    def segment(self, unit: str) -> list[str]:
-        """Pieces of a unit; a character that is no piece stands alone."""
-        if unit in self.ids and unit not in self.ties and self._itself(unit):
-            return [unit]
-        if self.tie_chars and sum(c in self.tie_chars for c in unit) > 1 and any(t in unit for t in self.ties):
-            return self.merge(unit)
-        n = len(unit)
-        longest = [1] * n
-        for end, size in self.automaton.iter(unit):
-            start = end - size + 1
-            if size > longest[start]:
-                longest[start] = size
-        ids, goes, itself = self.ids, self._goes, self._itself
+    def _ids(self, parts: list[str]) -> list[int]:
+        """Ids of pieces; a character that is no piece becomes its bytes."""
+        found: list[int] = []
+        for part in parts:
+            known = self.ids.get(part)
+            found.extend([known] if known is not None else [self.bytes[b] for b in part.encode("utf-8")])
+        return found
+
+    def _longest(self, unit: str, at: int, most: int) -> tuple[int, int]:
+        """Size and id of the longest piece here that has no more than ``most`` letters; a letter that is no piece has size 1 and the id -1."""
+        usable = self.usable
+        for size in range(most, 0, -1):
+            i = usable.get(unit[at : at + size])
+            if i is not None:
+                return size, i
+        return (1, -1) if most > 0 else (0, -1)
+
+    def segment(self, unit: str) -> list[int]:
+        """Ids of a unit."""
+        if self.tied and self.tied.search(unit):
+            return self._ids(self.merge(unit))
+        n, pairs, many, sizes = len(unit), self.pairs, len(self.pieces), self.sizes
+        # One pass finds the longest matches where each begins at the end of the one before. They stand if all neighbours go together.
+        longest = {end - size + 1: (size, i) for end, (size, i) in self.automaton.iter_long(unit)}
         failed = 0  # a bit per position from which no segmentation went on
-        chosen: list[str] = []
-        at, size = 0, longest[0] if n else 0
+        chosen: list[int] = []
+        at, found = 0, longest.get(0)
         while at < n:
-            before = chosen[-1] if chosen else ""
+            before = chosen[-1] if chosen else -1
+            size, i = found or self._longest(unit, at, min(self.most, n - at))
             while size:
-                piece = unit[at : at + size]
-                if (
-                    not failed >> (at + size) & 1
-                    and (size == 1 or piece in ids and itself(piece))
-                    and (not before or goes(before, piece))
-                ):
-                    break
-                size -= 1
+                if not failed >> (at + size) & 1:
+                    if before < 0 or i < 0:
+                        break
+                    goes = pairs.get(before * many + i)
+                    if self._goes(before, i) if goes is None else goes:
+                        break
+                size, i = self._longest(unit, at, size - 1)
             if size:
-                chosen.append(piece)
+                chosen.append(i)
                 at += size
-                size = longest[at] if at < n else 0
+                found = longest.get(at)
                 continue
             if not chosen:
-                return self.merge(unit)
+                return self._ids(self.merge(unit))
             failed |= 1 << at
-            last = chosen.pop()
-            at -= len(last)
-            size = len(last) - 1
-        return chosen
+            size = sizes[chosen.pop()]
+            at -= size
+            found = self._longest(unit, at, size - 1)
+        if -1 not in chosen:
+            return chosen
+        parts, at = [], 0
+        for piece in chosen:
+            parts.append(unit[at : at + sizes[piece]])
+            at += sizes[piece]
+        return self._ids(parts)
 
     def encode_unit(self, unit: str) -> tuple[int, str, str]:
-        """Number of ids, the ids joined by commas, and the text they decode to."""
-        ids: list[int] = []
-        decoded: list[str] = []
-        for piece in self.segment(unit):
-            known = self.ids.get(piece)
-            if known is not None:
-                ids.append(known)
-            else:
-                ids.extend(self.bytes[b] for b in piece.encode("utf-8"))
-            decoded.append(piece)
-        return len(ids), ",".join(map(str, ids)), "".join(decoded).replace(SPACE, " ")
-
-    def _known_units(self, text: str) -> Iterable[tuple[int, str, str]]:
+        """Number of ids, the ids joined by commas, and the text they decode to. Bytes of a letter never stand in two units."""
+        ids = self.whole.get(unit) or self.segment(unit)
+        return len(ids), ",".join(map(self.texts.__getitem__, ids)), self._joined(ids)
+
+    def _known_units(self, text: str) -> list[tuple[int, str, str]]:
         if not text:
             return []
-        cache, make = self.cache, self.encode_unit
-        if len(cache) > self.cached_units:
-            cache.clear()
-        result = []
-        for unit in self.units.findall(SPACE + text.replace(" ", SPACE)):
-            known = cache.get(unit)
-            if known is None:
-                known = make(unit)
-                if len(unit) <= 64:
-                    cache[unit] = known
-            result.append(known)
-        return result
+        units = self.units.findall(SPACE + text.replace(" ", SPACE))
+        found = list(map(self.cache.get, units))
+        if None in found:
+            for k, known in enumerate(found):
+                if known is None:
+                    found[k] = self.cache.get(units[k]) or self._remembered(units[k])
+        return found
+
+    def _remembered(self, unit: str) -> tuple[int, str, str]:
+        known = self.older.get(unit) or self.encode_unit(unit)
+        if len(unit) <= 64:
+            if len(self.cache) >= self.cached_units:
+                self.cache, self.older = {}, self.cache
+            self.cache[unit] = known
+        return known
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for _, ids, _ in self._known_units(text) for i in ids.split(",")]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """Pieces joined, spaces back, the added first space off; bytes that are no UTF-8 become U+FFFD each."""
+        text = self._joined(ids)
+        first = next((i for i in ids if self.pieces[i] in self.ids or i in self.byte_of or _special(self.pieces[i])), None)
+        return text[1:] if first is not None and self.pieces[first].startswith(SPACE) else text
+
+    def digest_parts(self, text: str) -> tuple[int, str, str]:
+        """Ids of a whole text: how many, joined by commas, and what they decode to; units that occur again are decoded once."""
+        known = self._known_units(text)
+        decoded = "".join([d for _, _, d in known])
+        return sum([n for n, _, _ in known]), ",".join([i for _, i, _ in known]), decoded.removeprefix(" ")
+
+    def _joined(self, ids: Sequence[int]) -> str:
+        try:
+            return "".join(map(self.decoded.__getitem__, ids))
+        except TypeError:  # some are bytes or special
+            pass
         parts: list[str] = []
         run = bytearray()
         for i in ids:
@@ -210,15 +249,7 @@ class PieceModel:
             parts.append(piece.replace(SPACE, " ") if piece in self.ids else _special(piece))
         if run:
             parts.append(_text(bytes(run)))
-        text = "".join(parts)
-        first = next((i for i in ids if self.pieces[i] in self.ids or i in self.byte_of or _special(self.pieces[i])), None)
-        return text[1:] if first is not None and self.pieces[first].startswith(SPACE) else text
-
-    def digest_parts(self, text: str) -> tuple[int, str, str]:
-        """Ids of a whole text: how many, joined by commas, and decoded again."""
-        known = self._known_units(text)
-        decoded = "".join([d for _, _, d in known])
-        return sum([n for n, _, _ in known]), ",".join([i for _, i, _ in known]), decoded.removeprefix(" ")
+        return "".join(parts)
 
 
 def _special(piece: str) -> str:
@@ -252,8 +283,7 @@ def model(path: str) -> Iterator[PieceModel]:
     try:
         yield _MODELS[path]
     finally:
-        _MODELS[path].cache.clear()
-        _MODELS[path].pairs.clear()
+        _MODELS[path].forget()
 
 
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
@@ -300,7 +330,7 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(tidy(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-def small(parts: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+def small(parts: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Slices whose texts, the second column, have ``most`` bytes together, or one row."""
     for part in parts:
-        for start in range(0, part.num_rows, rows):
-            yield part.slice(start, rows)
+        yield from bounded(part, part.schema.names[1], most)
