@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from vecloop.functions.vectors import constant
 from vecloop.operators import timings
 from vecloop.operators.blocked import train_kmeans_blocked
 from vecloop.operators.kmeans import train_kmeans
@@ -204,7 +205,7 @@ def _kmeans_blocked(spark: SparkSession, args, data: _Input, saved: int | None,
         if (n := start.count()) > args.k or n < args.k and args.empty != "drop":
             raise ValueError(f"iteration {saved} has {n} centres, not {args.k}")
     elif args.init == "diagonal":
-        start = spark.range(args.k).selectExpr("id AS cid", f"array_repeat(CAST(id AS DOUBLE), {data.width}) AS c")
+        start = spark.range(args.k).select(F.col("id").alias("cid"), constant(F.col("id"), data.width).alias("c"))
     else:
         drawn = sample_vectors(data.points, args.k, args.seed)
         start = number_in_order(drawn, [], ["digest"], "digest").selectExpr("iter - 1 AS cid", "x AS c")

@@ -15,9 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vecloop.functions.vectors import center_distances, checked
+from vecloop.functions.vectors import checked
 from vecloop.operators.logistic import merge_partials, wide_fan_in
-from vecloop.operators.model import MAX_MODEL_NUMBERS, check_size, kept, laid_out, merging_in, model_value
+from vecloop.operators.model import MAX_MODEL_NUMBERS, check_size, kept, laid_out, merging_in
 from vecloop.operators.sampling import sample_k, sample_vectors
 
 
@@ -170,16 +170,29 @@ def assign(points: DataFrame, centers: Sequence[Sequence[float]]) -> DataFrame:
     return points.withColumn("cid", F.arrow_udf(cluster, "int")(checked(F.col("x"), len(centers[0]))))
 
 
-def distances(points: DataFrame, centers: Sequence[Sequence[float]]) -> DataFrame:
+def distances(points: DataFrame, centers: Sequence[Sequence[float]], max_model_numbers: int = MAX_MODEL_NUMBERS) -> DataFrame:
     """The model joined to every row: one row per point and centre, ``cid`` and ``distance``.
 
-    The centres come as one array value, so there is no join to plan and nothing is shuffled.
+    The centres are part of the function that is called on Arrow batches, so there is no join to plan and nothing is shuffled. The
+    result has points x centres rows: for few centres, or a few points.
     """
-    model = model_value(points.sparkSession, [list(c) for c in centers])
+    k, width = len(centers), len(centers[0])
+    check_size(k * width, max_model_numbers)
+    model = np.asarray([list(c) for c in centers], dtype=np.float64)
+
+    def all_distances(column: pa.Array) -> pa.Array:
+        x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        found = np.empty((len(x), k))
+        step = max(1, 1_000_000 // (k * width))
+        for begin in range(0, len(x), step):
+            gap = x[begin : begin + step, None] - model
+            np.einsum("nkj,nkj->nk", gap, gap, out=found[begin : begin + step])
+        edges = np.arange(len(x) + 1, dtype=np.int32) * k
+        return pa.ListArray.from_arrays(pa.array(edges), pa.array(found.ravel()))
+
     keep = [c for c in points.columns if c != "x"]
-    with_model = points.withColumn("model", model)
-    each = F.posexplode(center_distances(F.col("x"), F.col("model")))
-    return with_model.select(*keep, each.alias("cid", "distance"))
+    each = F.arrow_udf(all_distances, "array<double>")(checked(F.col("x"), width))
+    return points.select(*keep, each.alias("distances")).select(*keep, F.posexplode("distances").alias("cid", "distance"))
 
 
 def cluster_sums(points: DataFrame, centers: Sequence[Sequence[float]], fan_in: int = 0) -> DataFrame:

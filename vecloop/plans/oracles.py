@@ -286,15 +286,24 @@ FROM ({EVENT_METRICS}) GROUP BY engine, algo, nodes
 LARGEST = f"SELECT * FROM ({FIRST_REST}) WHERE nodes = (SELECT max(day(ts)) FROM events)"
 
 
+def _matrix(*engines: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{engine}' AS engine, '{algo}' AS algo, iter::INT AS iter, {cid} AS cid, pos, v, true AS timed "
+        f"FROM ({sql}) WHERE iter > 0"
+        for engine in engines
+        for algo, cid, sql in (("lr", "0", _lr_train()), ("kmeans", "cid", _kmeans_train(FIRST, "keep")))
+    )
+
+
 POSITIONS = (
     "model_history", "resume_from_iteration", "vec_scale", "vec_add", "vec_subtract", "lr_train", "lr_train_uncached",
     "lr_train_alt", "lr_train_wide", "cluster_sum_count", "cluster_means", "centers_join", "centers_upsert",
     "sample_k", "kmeans_train", "kmeans_train_blocked", "kmeans_train_diagonal", "kmeans_train_sampled", "kmeans_resume", "lr_train_text", "lr_train_table",
-    "lr_train_uniform", "lr_train_int", "bench_matrix",
+    "lr_train_uniform", "lr_train_int", "bench_matrix", "bench_matrix_text",
 )
 CLUSTER_IDS = (
     "kmeans_assign", "model_cross_join", "cluster_sum_count", "cluster_means", "centers_join", "centers_upsert",
-    "kmeans_train", "kmeans_train_blocked", "kmeans_train_diagonal", "kmeans_train_sampled", "kmeans_resume", "bench_matrix",
+    "kmeans_train", "kmeans_train_blocked", "kmeans_train_diagonal", "kmeans_train_sampled", "kmeans_resume", "bench_matrix", "bench_matrix_text",
 )
 NODES = (
     "write_metrics", "read_metrics", "read_metrics_any", "metrics_first_vs_rest", "metrics_pivot", "metrics_one_engine",
@@ -387,12 +396,8 @@ FROM (SELECT * FROM ({POINTS_EMB}) ORDER BY md5('{SEED}:' || id), id LIMIT {K})"
         "lr_train_text": _lr_train(),
         "lr_train_uniform": _lr_train(start=_drawn_start("2 * {u} - 1")),
         "lr_train_int": _lr_train(start=_drawn_start("floor(100 * {u})")),
-        "bench_matrix": " UNION ALL ".join(
-            f"SELECT '{engine}' AS engine, '{algo}' AS algo, iter::INT AS iter, {cid} AS cid, pos, v, true AS timed "
-            f"FROM ({sql}) WHERE iter > 0"
-            for engine in ("cached", "uncached")
-            for algo, cid, sql in (("lr", "0", _lr_train()), ("kmeans", "cid", _kmeans_train(FIRST, "keep")))
-        ),
+        "bench_matrix": _matrix("cached", "uncached"),
+        "bench_matrix_text": _matrix("cached", "uncached", "table"),
         "iteration_durations": _durations(
             "events", "user_id", "ts", "event_id", "date_trunc('day', ts)::TIMESTAMP", "user_id, event_id"
         ),

@@ -13,7 +13,7 @@ from vecloop.operators.blocked import train_kmeans_blocked
 from vecloop.operators.runs import iteration_durations
 from vecloop.operators.sampling import sample_k
 from vecloop.plans import views
-from vecloop.plans.matrix import run_matrix
+from vecloop.plans.matrix import KEPT, KEPT_ALSO, run_matrix
 from vecloop.session import fresh_path
 from vecloop.sources import generate, metrics, models, text
 
@@ -485,6 +485,21 @@ def bench_matrix(spark, sf_dir):
     return _long(models_.join(timed, ["engine", "algo", "iter"]), "c", "engine", "algo", "iter", "cid", "timed")
 
 
+def bench_matrix_text(spark, sf_dir):
+    """The matrix from lines of text: parsed in every iteration, kept in memory, or kept as a table."""
+    paths = [fresh_path(spark, name) for name in ("labeled", "vectors")]
+    text.write_points(views.points_lr(spark, sf_dir), paths[0])
+    text.write_points(views.points_emb(spark, sf_dir).select("x"), paths[1])
+    labeled = text.points(text.parse_labeled(text.scan_lines(spark, paths[0]), 4), "fail")
+    vectors = text.points(text.load_vectors(spark, paths[1]), "fail")
+    centers = views.first_centers(spark, sf_dir)
+    models_, times = run_matrix(labeled, vectors, views.LR_START, centers, engines=KEPT | KEPT_ALSO)
+    path = fresh_path(spark, "metrics")
+    metrics.append_metrics(times, path)
+    timed = metrics.read_metrics_table(spark, path).select("engine", "algo", "iter", (F.col("duration_ns") > 0).alias("timed"))
+    return _long(models_.join(timed, ["engine", "algo", "iter"]), "c", "engine", "algo", "iter", "cid", "timed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         scan_text_lines, load_points_lenient, load_points_strict, load_points_label_last, load_vectors,
@@ -497,7 +512,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         metrics_union, bench_matrix, lr_train_uniform, lr_train_int, lr_train_text, kmeans_train_text,
         kmeans_train_sampled, kmeans_resume, load_vectors_inferred, load_label_last_inferred,
         read_metrics_any, kmeans_train_blocked, lr_train_table, kmeans_train_table, rejects_in_training,
-        kmeans_train_bounded,
+        kmeans_train_bounded, bench_matrix_text,
     ]
     registered = {q.__name__: q for q in plain}
     # These two share their name with the operator they call.
