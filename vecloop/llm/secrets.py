@@ -135,7 +135,10 @@ def update_ledger(docs: DataFrame, path: str, rules: tuple[Rule, ...] = BASE_RUL
 
 
 def spans_by_blob(ledger: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
-    """``(blob, spans)`` once a blob, for these rule versions: spans is a sorted array of (start, place, name, stop)."""
+    """``(blob, spans)`` once a blob, for these rule versions: spans is a sorted array of (start, place, name, stop).
+
+    A pair that is in the ledger twice, as after two runs at once, counts once.
+    """
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))])
     names = F.create_map(*[x for r in rules for x in (F.lit(r.key), F.lit(r.name))])
     entries = ledger.where(F.col("rule").isin([r.key for r in rules])).withColumns(
@@ -145,7 +148,7 @@ def spans_by_blob(ledger: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> Da
         "found",
         lambda s: F.struct(s["start"].alias("start"), F.col("place"), F.col("name"), s["stop"].alias("stop")),
     )
-    return entries.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(spans))).alias("spans"))
+    return entries.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(spans)))).alias("spans"))
 
 
 def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, **columns: str) -> DataFrame:

@@ -43,7 +43,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows that hold no benchmark item."""
+    """Rows that hold no benchmark item. Null texts hold none; repeated rows stay or go together; with an empty table of items all stay."""
     found = decontaminate.find(docs, items).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_text")).distinct()
     same = docs["doc_id"].cast("long").eqNullSafe(found["bad_id"]) & (F.xxhash64(docs["text"]) == found["bad_text"])
     return docs.join(found.hint("merge"), same, "left_anti")
@@ -52,32 +52,36 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 def redact_secrets(docs: DataFrame, ledger_path: str) -> DataFrame:
     """All rows, their secrets replaced; ``n_chars``, if there, counts the new text.
 
-    Overlapping spans are replaced as one. Texts come through the ledger's blobs, so a copy is scanned once.
+    Overlapping spans are replaced as one. Texts come through the ledger's blobs, so a copy is scanned once. Null texts stay null, other
+    columns of any name stay as they are, repeated rows are kept, and an empty table gives no rows.
     """
     ledger = secrets.update_ledger(docs, ledger_path)
     found = secrets.spans_by_blob(ledger).where(F.size("spans") > 0)
-    blobs = write_and_reread(found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "spans").hint("merge")
-    named = docs.withColumn("__key", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
-    joined = named.join(blobs, named["__key"] == blobs["__blob"], "left")  # merged at every size
-    spans = F.transform(F.coalesce("__spans", F.array().cast(blobs.schema["__spans"].dataType)), lambda s: F.struct(s["start"], s["stop"]))
+    blobs = write_and_reread(found.select("blob", "spans"), "spans").hint("merge")
+    # The caller's columns travel as one, so that they clash with none of these.
+    text = F.col("row")["text"]
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = rows.withColumn("blob", F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256))
+    joined = rows.join(blobs, "blob", "left")  # merged at every size
+    spans = F.transform(F.coalesce("spans", F.array().cast(blobs.schema["spans"].dataType)), lambda s: F.struct(s["start"], s["stop"]))
 
     def step(state, span):
         # Text so far, and the place up to which the old text is used up.
         new = F.concat(
             state["text"],
-            F.substring("text", state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0))),
+            F.substring(text, state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0))),
             F.when(span["start"] >= state["at"], F.lit(REDACTED)).otherwise(F.lit("")),
         )
         return F.struct(new.alias("text"), F.greatest(span["stop"], state["at"]).alias("at"))
 
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-    end = lambda s: F.concat(s["text"], F.substring("text", s["at"] + 1, F.length("text")))
-    text = F.when(F.size(spans) > 0, F.aggregate(spans, start, step, end)).otherwise(F.col("text"))
-    redacted = joined.withColumn("text", text)
+    end = lambda s: F.concat(s["text"], F.substring(text, s["at"] + 1, F.length(text)))
+    redacted = joined.withColumn("new", F.when(F.size(spans) > 0, F.aggregate(spans, start, step, end)).otherwise(text))
+    changed = {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("__blob").isNotNull(), F.length("text")).otherwise(F.col("n_chars"))
-        redacted = redacted.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
-    return redacted.select(*docs.columns)
+        n_chars = F.when(F.col("spans").isNotNull(), F.length("new")).otherwise(F.col("row")["n_chars"])
+        changed["n_chars"] = n_chars.cast(docs.schema["n_chars"].dataType)
+    return redacted.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 _ENCODED = pa.schema(

@@ -28,6 +28,10 @@ from vecloop.session import write_and_reread
 REVISIT_BYTES = 1000
 #: Entries in a compressed index block.
 BLOCK_ENTRIES = 512
+#: Compressed bytes of records that one task reads back, about.
+TASK_BYTES = 4 << 20
+#: The date of records whose capture time is not known.
+CAPTURED = "1970-01-01T00:00:00Z"
 
 _ENTRY = [("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
 ENTRY_SCHEMA = "key string, page_id bigint, file string, offset bigint, length bigint"
@@ -56,8 +60,8 @@ def _line(value: str) -> str:
     return quote(value, safe="".join(map(chr, range(33, 127))))
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    ident = "" if page_id is None else page_id
+def _record(ident: str, date: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None) -> bytes:
+    """The bytes of a record. Pages are named in fields of our own, since a page that occurs twice has two records."""
     if refers_to is None:
         kind, body = "response", payload
     else:
@@ -66,15 +70,19 @@ def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, r
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{ident}>",
+        f"WARC-Record-ID: <urn:uuid:{ident}>",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {_line(url or '')}",
+        f"X-Page-ID: {'' if page_id is None else page_id}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {len(payload)}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(http) + len(body)}",
     ]
     if refers_to is not None:
-        lines.insert(3, f"WARC-Refers-To: <urn:page:{refers_to}>")
+        lines.insert(3, f"X-Refers-To-Page-ID: {refers_to}")
+        lines.insert(3, f"WARC-Refers-To-Date: {date}")
+        lines.insert(3, f"WARC-Refers-To-Target-URI: {_line(refers_url or '')}")
         lines.insert(3, "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + http + body + b"\r\n\r\n"
 
@@ -85,10 +93,10 @@ def parse_record(raw: bytes) -> tuple:
     headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode().split("\r\n")[1:])
     block = rest[: int(headers["Content-Length"])]
     payload = block.partition(b"\r\n\r\n")[2]
-    ident = headers["WARC-Record-ID"].removeprefix("<urn:page:").rstrip(">")
+    ident = headers["X-Page-ID"]
     page_id, url = int(ident) if ident else None, headers["WARC-Target-URI"]
     if headers["WARC-Type"] == "revisit":
-        target = int(headers["WARC-Refers-To"].removeprefix("<urn:page:").rstrip(">"))
+        target = int(headers["X-Refers-To-Page-ID"])
         digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
         return page_id, url, int(headers["X-Payload-Length"]), digest, "revisit", target, None
     return page_id, url, len(payload), hashlib.sha1(payload).hexdigest(), "response", None, payload
@@ -102,8 +110,10 @@ def _new_file(folder: str, name: str):
     return file, fs.open_output_stream(f"{root}/{file}", compression=None)
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write a record per row; returns the entries ``key, page_id, file, offset, length``, in a written table.
+def write_archives(
+    pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = CAPTURED
+) -> DataFrame:
+    """Write a record per row; returns the entries ``key, page_id, file, offset, length``, in a written table. ``date``: when the pages were captured.
 
     Null html is an empty payload, a null url an empty one. Of records with equal payloads of at least
     ``REVISIT_BYTES``, the largest id is the response (all rows that repeat it are), the others are
@@ -114,9 +124,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = rows.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
     # Sizes go with the digest, so equal payloads meet even if most pages share one.
     large = rows.where(F.octet_length("payload") >= REVISIT_BYTES)
-    kept = large.groupBy("digest").agg(F.max("page_id").alias("keeper"))
+    kept = large.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.max_by("url", "page_id").alias("keeper_url"))
+    other = ~F.col("keeper").eqNullSafe(F.col("page_id"))
     planned = rows.join(kept, "digest", "left").select(
-        "page_id", "url", "payload", "digest", F.when(~F.col("keeper").eqNullSafe(F.col("page_id")), F.col("keeper")).alias("refers_to")
+        "page_id", "url", "payload", "digest", F.when(other, F.col("keeper")).alias("refers_to"), F.when(other, F.col("keeper_url")).alias("refers_url")
     )
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +137,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             offset = 0
             with out:
                 for part in parts:
-                    for page_id, url, body, digest, refers_to in zip(*[c.to_pylist() for c in part.columns]):
-                        member = gzip.compress(_record(page_id, url, body, digest, refers_to), 6, mtime=0)
+                    for page_id, url, *rest in zip(*[c.to_pylist() for c in part.columns]):
+                        # A file's name is used once, so its name and the place in it make an identifier.
+                        ident = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{file}:{offset}"))
+                        member = gzip.compress(_record(ident, date, page_id, url, *rest), 6, mtime=0)
                         out.write(member)
                         yield url_key(url), page_id, file, offset, len(member)
                         offset += len(member)
@@ -211,10 +224,11 @@ class _Reader:
             return gzip.decompress(f.read())
 
 
-def lookup(index: CaptureIndex, wanted: DataFrame) -> DataFrame:
+def lookup(index: CaptureIndex, wanted: DataFrame, tasks: int | None = None) -> DataFrame:
     """Entries of the distinct ``(url, page_id)`` of ``wanted``; unknown ones give no row.
 
-    ``wanted`` is sorted as the index is, so a task walks through few neighbouring blocks.
+    ``wanted`` is sorted as the index is, so a task walks through few neighbouring blocks. ``tasks``: how many share the work, and
+    the reading of the records found, whose size the small entries don't show; left to Spark if not given.
     """
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +275,7 @@ def lookup(index: CaptureIndex, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([names, part.column(1)], schema=pa.schema(_ENTRY[:2]))
 
     keyed = wanted.select("url", F.col("page_id").cast("long")).mapInArrow(keys, "key string, page_id bigint").distinct()
-    ranged = keyed.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    ranged = keyed.repartitionByRange(*([tasks] if tasks else []), "key", "page_id").sortWithinPartitions("key", "page_id")
     return ranged.mapInArrow(search, ENTRY_SCHEMA)
 
 
@@ -285,6 +299,8 @@ def read_records(entries: DataFrame, folder: str, payload: bool = True) -> DataF
 def archive_round_trip(spark: SparkSession, pages: DataFrame, **columns: str) -> DataFrame:
     """Write all pages, index them, look every page up, and read the records back. Empty tables give no rows."""
     folder = shared_uri(spark, "warc")
-    index = build_index(write_archives(pages, folder, **columns), folder)
+    entries = write_archives(pages, folder, **columns)
+    index = build_index(entries, folder)
+    tasks = 1 + (entries.agg(F.sum("length").alias("bytes")).head()["bytes"] or 0) // TASK_BYTES
     wanted = pick(pages, url=columns.get("url_col", "url"), page_id=columns.get("id_col", "page_id"))
-    return read_records(lookup(index, wanted), folder, payload=False)
+    return read_records(lookup(index, wanted, tasks), folder, payload=False)
