@@ -30,13 +30,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from vecloop.llm.common import pick
 from vecloop.llm.shingles import mix
-from vecloop.session import write_and_reread
+from vecloop.session import fresh_path, remove, write_and_reread
 
 LENGTH = 50
 #: Length of a q-gram; twice that is below, four times that at least 2 * LENGTH - Q.
 Q = 20
-#: Bytes of text in a home, and per bucket of a round's shuffle.
+#: Bytes of text in a home, homes in a bucket of their table, and bytes per bucket of a round's shuffle.
 HOME_BYTES = 8 << 20
+HOMES = 2
 BUCKET_BYTES = 16 << 20
 _SEGMENT = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
@@ -315,18 +316,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 size, n = size + length, n + 1
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(homes, pa.int64()), pa.array(places, pa.int32())], names=["doc_id", "text", "home", "place"])
 
-    table = f"vecloop_homes_{uuid.uuid4().hex}"
-    homes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A bucket of the table is read by one task, so their number goes with the bytes. The table lies in the shared folder.
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (HOMES * home_bytes))
+    table, path = f"vecloop_homes_{uuid.uuid4().hex}", fresh_path(spark, "homes")
     settled = rows.mapInArrow(settle, "doc_id bigint, text binary, home bigint, place int")
-    settled.write.bucketBy(homes, "home").saveAsTable(table, format="parquet")
+    settled.write.bucketBy(tasks, "home").option("path", path).saveAsTable(table, format="parquet")
     try:
-        return _refine(spark.table(table), bucket_bytes, texts)
+        return _refine(spark.table(table), total, bucket_bytes, texts)
     finally:
         spark.sql(f"DROP TABLE {table}")
+        remove(spark, path)
 
 
-def _refine(settled: DataFrame, bucket_bytes: int, texts: bool) -> DataFrame:
-    total = settled.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def _refine(settled: DataFrame, total: int, bucket_bytes: int, texts: bool) -> DataFrame:
     buckets = max(16, -(-total // bucket_bytes))
     by_home = settled.groupBy("home")
 
