@@ -43,8 +43,8 @@ class Settings:
     held_bytes: int = 1 << 20
     lane: int = 1024
     window: int = 64
-    block_links: int = 1_000_000
-    task_blocks: int = 8
+    block_links: int = 400_000
+    task_blocks: int = 16
 
 
 def byte_level_letters() -> dict[str, int]:
@@ -246,16 +246,6 @@ def lockstep(a: Side, b: Side, b_ids: int, settings: Settings) -> Alignment:
     return Alignment(a, b, cut_a, cut_b, cut_firsts, links, np.concatenate([[0], np.cumsum(counts)]))
 
 
-_ALIGNERS: dict[tuple[str, str], Aligner] = {}
-
-
-def aligner(a_path: str, b_path: str) -> Aligner:
-    """Loaded once per worker process."""
-    if (a_path, b_path) not in _ALIGNERS:
-        _ALIGNERS[a_path, b_path] = Aligner(a_path, b_path)
-    return _ALIGNERS[a_path, b_path]
-
-
 def align_documents(docs: DataFrame, a_path: str, b_path: str, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The alignments themselves: ``doc_id, a_ids, b_ids, a_cuts, b_cuts``; group k has the A tokens from ``a_cuts[k-1]``
     (0 at first) up to ``a_cuts[k]``, and B tokens likewise.
@@ -265,7 +255,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, settings: Setting
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizers = aligner(a_path, b_path)
+        tokenizers = Aligner(a_path, b_path)  # for this task: a worker that waits holds none
         for part in parts:
             for some in bounded(part, "text", settings.held_bytes):
                 found = tokenizers.align(some.column("text").to_pylist(), settings)
@@ -294,7 +284,7 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, settings: Settings) -> Dat
     from hashlib import sha256
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizers = aligner(a_path, b_path)
+        tokenizers = Aligner(a_path, b_path)  # for this task: a worker that waits holds none
         number = TaskContext.get().partitionId() << 40
         figures: list[pa.StructArray] = []
         links: list[np.ndarray] = []
