@@ -25,32 +25,31 @@ UNKNOWN = "und"
 class Settings:
     """Bounds of what is learned.
 
-    ``per_lang``: training texts of a language; ``landmarks``: in all; ``letters``: alphabet, with one sign
-    for what is no letter and one for rare letters; ``grams``: most frequent n-grams of the sample that
-    count; ``ridge``: weight of the regression's penalty.
+    ``per_lang``: training texts of a language. The rest is shared out evenly, with so many a language at least that features grow with languages and
+    scripts: ``landmarks`` in all or ``least_landmarks`` a language; of each length the ``grams`` most frequent n-grams in all, or ``least_grams`` a
+    language. ``letters``: most frequent letters of a language that are told apart. ``ridge``: weight of the regression's penalty.
     """
 
     per_lang: int = 400
     landmarks: int = 128
-    letters: int = 64
+    least_landmarks: int = 4
+    letters: int = 4000
     grams: int = 6000
+    least_grams: int = 300
     ridge: float = 1e-3
 
 
 class Spectrum:
-    """Presence of the counted n-grams in whole texts."""
+    """Presence of the counted n-grams in whole texts. A sign stands for a letter; 0 for what is no letter, 1 for a letter that is not counted."""
 
     def __init__(self, letters: dict[str, int], size: int, columns: dict[int, list[int]]):
         self.size = size
-        self.signs = np.zeros(0x110000, np.uint8)  # 0: no letter
+        self.signs = np.zeros(0x110000, np.int32)  # 0: no letter
         for letter, sign in letters.items():
             self.signs[ord(letter)] = sign
-        self.columns, at = {}, 0
-        self.spans = []
-        for n, codes in columns.items():
-            table = np.full(size**n, -1, np.int32)
-            table[np.asarray(codes, int)] = np.arange(at, at + len(codes))
-            self.columns[n] = table
+        self.columns = {n: np.sort(np.asarray(codes, np.int64)) for n, codes in columns.items()}
+        self.spans, at = [], 0
+        for codes in self.columns.values():
             self.spans.append((at, at + len(codes)))
             at += len(codes)
         self.width = at
@@ -58,27 +57,28 @@ class Spectrum:
     @staticmethod
     def codes(signs: np.ndarray, size: int, n: int) -> np.ndarray:
         """Codes of all n-grams; runs of signs that are no letters count as one, as does the text's edge."""
-        code = signs[: len(signs) - n + 1].astype(np.int32)
+        code = signs[: len(signs) - n + 1].astype(np.int64)
         for j in range(1, n):
             code = code * size + signs[j : len(signs) - n + 1 + j]
         return code
 
     def signs_of(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        signs = np.zeros(len(points) + 2, np.uint8)
+        signs = np.zeros(len(points) + 2, np.int32)
         signs[1:-1] = self.signs[points]
         repeated = (signs[1:] == 0) & (signs[:-1] == 0)
         return signs[1:][~repeated] if repeated.any() else signs[1:]
 
     def presence(self, texts: list[str]) -> np.ndarray:
         """A row per text; each n's block has length 1, or is empty."""
-        found = np.zeros((len(texts), self.width + 1), np.float32)  # the last column takes n-grams that don't count
+        found = np.zeros((len(texts), self.width), np.float32)
         for row, text in zip(found, texts):
             signs = self.signs_of(text)
-            for n, table in self.columns.items():
-                if len(signs) >= n:
-                    row[table[self.codes(signs, self.size, n)]] = 1
-        found = found[:, :-1]
+            for (first, _), (n, known) in zip(self.spans, self.columns.items()):
+                if len(signs) >= n and len(known):
+                    codes = self.codes(signs, self.size, n)
+                    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+                    row[first + at[known[at] == codes]] = 1
         for a, b in self.spans:
             block = found[:, a:b]
             block /= np.sqrt(np.maximum(block.sum(1, keepdims=True), 1))
@@ -145,24 +145,31 @@ def fit(sample: list[tuple[str, str]], settings: Settings = Settings()) -> Langu
     langs = sorted({lang for lang, _ in sample})
     if not langs:
         return LanguageModel(None, np.zeros((0, 0)), np.zeros((0, 0)), [])
-    letters = Counter(c for _, text in sample for c in text if c.isalpha())
-    size = settings.letters
-    common = sorted({c.lower() for c, _ in letters.most_common(4 * size) if len(c.lower()) == 1}, key=lambda c: -letters[c])[: size - 2]
-    signs = {c: i + 2 for i, c in enumerate(common)}
+    by_lang = {lang: [text for known, text in sample if known == lang] for lang in langs}
+    common: set[str] = set()
+    for texts in by_lang.values():
+        letters = Counter(c.lower() for text in texts for c in text if c.isalpha() and len(c.lower()) == 1)
+        common.update(sorted(letters, key=lambda c: (-letters[c], c))[: settings.letters])
+    signs = {c: i + 2 for i, c in enumerate(sorted(common))}
+    size = len(signs) + 2
     table = {c: signs.get(c.lower(), 1) for c in map(chr, range(0x110000)) if c.isalpha()}
     plain = Spectrum(table, size, {})
-    found: dict[int, Counter] = {1: Counter(), 2: Counter(), 3: Counter()}
-    for _, text in sample:
-        row = plain.signs_of(text)
-        for n, counts in found.items():
-            if len(row) >= n:
-                counts.update(np.unique(Spectrum.codes(row, size, n)).tolist())
-    columns = {n: sorted(c for c, _ in counts.most_common(settings.grams)) for n, counts in found.items()}
+    columns: dict[int, set[int]] = {1: set(), 2: set(), 3: set()}
+    each = max(settings.grams // len(langs), settings.least_grams)
+    for texts in by_lang.values():
+        rows = [plain.signs_of(text) for text in texts]
+        for n, chosen in columns.items():
+            counts = Counter()
+            for row in rows:
+                if len(row) >= n:
+                    counts.update(np.unique(Spectrum.codes(row, size, n)).tolist())
+            chosen.update(sorted(counts, key=lambda c: (-counts[c], c))[:each])
+    columns = {n: sorted(chosen) for n, chosen in columns.items()}
     spectrum = Spectrum(table, size, columns)
 
     features = np.concatenate([spectrum.presence([t for _, t in sample[i : i + 256]]) for i in range(0, len(sample), 256)])
     labels = np.array([langs.index(lang) for lang, _ in sample])
-    each = max(1, settings.landmarks // len(langs))
+    each = max(settings.landmarks // len(langs), settings.least_landmarks)
     chosen = np.concatenate([np.flatnonzero(labels == k)[:each] for k in range(len(langs))])
     marks = features[chosen]
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
@@ -212,8 +219,9 @@ def predictor(docs: DataFrame, model: LanguageModel):
 def identify(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learn from the rows that are not held out, and predict every row from its text alone.
 
-    Returns ``doc_id, held_out, lang_pred, score``. Rows are judged alone: repeats get equal results. Null
-    labels are not learned from. An empty table gives no rows.
+    Returns ``doc_id, held_out, lang_pred, score``. Rows are judged alone, texts of any length as a whole: repeats get equal results. Of
+    equal margins the language that comes first by name wins, with score 0. Null labels are not learned from; other columns are not read. An
+    empty table gives no rows.
     """
     rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col)
     model = train(rows.where(~held_out(F.col("doc_id"))), settings)
