@@ -24,6 +24,7 @@ from math import ceil, isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -122,6 +123,34 @@ def tokens(text: bytes | None) -> list[bytes]:
     return words
 
 
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """``tokens`` of texts (binary), laid end to end: how many each text has, for each token the place of its word, and the
+    words, each once (one may be empty and without tokens), the end last."""
+    lowered = pc.ascii_lower(pc.cast(pc.fill_null(texts, b""), options=pc.CastOptions(pa.string(), allow_invalid_utf8=True)))
+    split = pc.ascii_split_whitespace(lowered)
+    found = split.flatten()
+    real = pc.binary_length(found).to_numpy() > 0
+    before = np.concatenate([[0], np.cumsum(real)])[split.offsets.to_numpy()]
+    lengths = np.diff(before) + 1
+    encoded = found.dictionary_encode()
+    words = encoded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    at = np.full(lengths.sum(), len(words), np.int64)
+    inside = np.ones(len(at), bool)
+    inside[np.cumsum(lengths) - 1] = False
+    at[inside] = encoded.indices.to_numpy()[real]
+    return lengths, at, [*words, END]
+
+
+def pieces(parts: Iterator[pa.RecordBatch], column: int = 0, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The rows in smaller batches, of about ``size`` bytes of text or one row."""
+    for part in parts:
+        bytes_before = np.cumsum(pc.fill_null(pc.binary_length(part.column(column)), 0).to_numpy().astype(np.int64))
+        edges = np.flatnonzero(np.diff(bytes_before // size)) + 1
+        for first, last in zip([0, *edges.tolist()], [*edges.tolist(), part.num_rows]):
+            if last > first:
+                yield part.slice(first, last - first)
+
+
 def count_tokens(texts: DataFrame, settings: Settings = Settings(), most_held: int = 300_000) -> Counts:
     """Counts of all tokens of ``texts (text)`` (binary), summed in each task before the shuffle."""
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
@@ -136,11 +165,13 @@ def count_tokens(texts: DataFrame, settings: Settings = Settings(), most_held: i
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64())], schema=schema)
             held.clear()
 
-        for part in parts:
-            for text in part.column(0).to_pylist():
-                held.update(tokens(text))
-                if len(held) > most_held:
-                    yield from flush()
+        for part in pieces(parts):
+            _, at, words = coded(part.column(0))
+            for word, n in zip(words, np.bincount(at, minlength=len(words)).tolist()):
+                if n:
+                    held[word] += n
+            if len(held) > most_held:
+                yield from flush()
         yield from flush()
 
     partial = texts.select("text").mapInArrow(run, "word binary, n bigint")
@@ -213,8 +244,6 @@ class Trainer:
     def __init__(self, model: Model, settings: Settings, seed: int):
         self.s = settings
         self.rng = np.random.default_rng([settings.seed, seed])
-        # The model that came in is shared by the worker's tasks; this one changes its own copy.
-        self.model = replace(model, **{p: getattr(model, p).copy() for p in Model.PARTS})
         self.units = len(model.words) + model.groups
         edges = band_edges(self.units)
         self.band = self.units + np.repeat(np.arange(len(edges) - 1), np.diff(edges))
@@ -222,52 +251,108 @@ class Trainer:
         k = settings.noise, settings.band_noise
         self.drawn = [(k[0], 0, np.cumsum(p[: self.units])), (k[1], self.units, np.cumsum(p[self.units :]))]
         self.log_kq = model.log_p + np.log(np.repeat(k, [self.units, len(p) - self.units])).astype(np.float32)
-        self.squares = {p: np.full_like(getattr(self.model, p), 1e-3) for p in Model.PARTS}
+        # The model that came in is shared by the worker's tasks; this one changes its own copy. A row's numbers lie beside its
+        # sums of squares, so that a step finds them in one place.
+        whole = np.concatenate([model.target, model.bias[:, None]], axis=1)
+        self.tables = [np.concatenate([t, np.full_like(t, 1e-3)], axis=1) for t in (model.left, model.right, whole)]
+        width = settings.width
+        left, right, target = self.tables
+        self.model = replace(model, left=left[:, :width], right=right[:, :width], target=target[:, :width], bias=target[:, width])
+        # The same rows as one item each, which are written back faster.
+        self.items = [t.view(f"V{t.shape[1] * t.itemsize}").ravel() for t in self.tables]
+        self.room = [np.empty((settings.batch, n), np.float32) for n in k]
         self.hits = np.zeros((len(p), 3), np.int32)
 
-    def _step(self, rows: np.ndarray, **grads: np.ndarray) -> None:
+    def _found(self, k: int, rows: np.ndarray) -> tuple:
+        """Rows of a table, each once, and which of them every place needs; the places by row, and where a row's begin and end."""
         order = np.argsort(rows, kind="stable")
-        ordered = rows[order]
-        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        rows = ordered[starts]
-        for part, grad in grads.items():
-            summed = np.add.reduceat(grad[order], starts, axis=0)
-            squares = self.squares[part]
-            squares[rows] += summed * summed
-            getattr(self.model, part)[rows] += np.float32(self.s.rate) * summed / np.sqrt(squares[rows])
+        ordered = rows.take(order)
+        new = np.empty(len(rows) + 1, bool)
+        new[0] = new[-1] = True
+        np.not_equal(ordered[1:], ordered[:-1], out=new[1:-1])
+        edges = np.flatnonzero(new)
+        counts = edges[1:] - edges[:-1]
+        inverse = np.empty(len(rows), np.int64)
+        inverse[order] = np.repeat(np.arange(len(counts)), counts)
+        once = ordered.take(edges[:-1])
+        return once, self.tables[k].take(once, 0), inverse, order, edges[:-1], counts
+
+    def _step(self, k: int, found: tuple, grad: np.ndarray) -> None:
+        once, table, _, order, starts, counts = found
+        summed = grad.take(order.take(starts), 0)
+        # Few places are added as they are, since a call for each row and column takes longer; in the order in which reduceat adds.
+        for n in (2, 3, 4):
+            at = np.flatnonzero(counts == n)
+            if len(at):
+                first = starts.take(at)
+                rest = grad.take(order.take(first + 1), 0)
+                for j in range(2, n):
+                    rest += grad.take(order.take(first + j), 0)
+                summed[at] += rest
+        several = counts > 4
+        if several.any():
+            among = counts[several]
+            summed[several] = np.add.reduceat(grad.take(order[np.repeat(several, counts)], 0), np.cumsum(among) - among, axis=0)
+        width = grad.shape[1]
+        squares = table[:, width:]
+        squares += summed * summed
+        summed *= np.float32(self.s.rate)
+        summed /= np.sqrt(squares)
+        table[:, :width] += summed
+        self.items[k].put(once, table.view(self.items[k].dtype).ravel())
 
     def learn(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
-        m = self.model
-        context = m.left[a] + m.right[b]
+        n, width = len(w), self.s.width
+        drawn = []
+        for noises, first, cumulative in self.drawn:
+            some = np.searchsorted(cumulative, self.rng.random(noises) * cumulative[-1])
+            drawn.append(first + np.minimum(some, len(cumulative) - 1))
+        rows = np.concatenate([w, drawn[0], self.band.take(w), drawn[1]])
+        found = [self._found(k, x) for k, x in enumerate((a, b, rows))]
+        context = found[0][1][:, :width].take(found[0][2], 0)
+        context += found[1][1][:, :width].take(found[1][2], 0)
+        targets = found[2][1][:, : width + 1].take(found[2][2], 0)
+        log_kq = self.log_kq.take(rows)
         to_context = np.zeros_like(context)
-        rows, to_target, to_bias = [], [], []
-        for own, (noises, first, cumulative) in zip((w, self.band[w]), self.drawn):
-            drawn = np.searchsorted(cumulative, self.rng.random(noises) * cumulative[-1])
-            drawn = first + np.minimum(drawn, len(cumulative) - 1)
-            target, noise = m.target[own], m.target[drawn]
-            real = (context * target).sum(1) + m.bias[own] - self.log_kq[own]
-            false = context @ noise.T + m.bias[drawn] - self.log_kq[drawn]
+        to_target = np.empty((len(rows), width + 1), np.float32)
+        at = 0
+        for (noises, *_), room in zip(self.drawn, self.room):
+            own, noise = slice(at, at + n), slice(at + n, at + n + noises)
+            at += n + noises
+            target, others = np.ascontiguousarray(targets[own, :width]), np.ascontiguousarray(targets[noise, :width])
+            real = (context * target).sum(1) + targets[own, width] - log_kq[own]
+            false = room[:n]
+            np.matmul(context, others.T, out=false)
+            false += targets[noise, width]
+            false -= log_kq[noise]
             # d log-likelihood / d score: 1 - P(data) for real words, -P(data) for noise.
             up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
-            down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
-            to_context += up[:, None] * target + down @ noise
-            rows += [own, drawn]
-            to_target += [up[:, None] * context, down.T @ context]
-            to_bias += [up, down.sum(0)]
-        rows = np.concatenate(rows)
-        self._step(a, left=to_context)
-        self._step(b, right=to_context)
-        self._step(rows, target=np.concatenate(to_target), bias=np.concatenate(to_bias))
-        for k, at in enumerate((a, b, rows)):
-            np.add.at(self.hits[:, k], at, 1)
+            np.clip(false, -30, 30, out=false)
+            np.negative(false, out=false)
+            np.exp(false, out=false)
+            false += 1
+            down = np.divide(-1, false, out=false)
+            target *= up[:, None]
+            target += down @ others
+            to_context += target
+            np.multiply(up[:, None], context, out=to_target[own, :width])
+            to_target[noise, :width] = down.T @ context
+            to_target[own, width], to_target[noise, width] = up, down.sum(0)
+            np.add.at(self.hits[:, 2], rows[noise], 1)
+        self._step(0, found[0], to_context)
+        self._step(1, found[1], to_context)
+        self._step(2, found[2], to_target)
 
     def feed(self, ids: np.ndarray, firsts: np.ndarray, end: int) -> None:
         """Learn from texts laid end to end; ``firsts`` are the places of their first tokens."""
         a, b = contexts(ids, firsts, end)
         order = self.rng.permutation(len(ids))
+        for k, x in enumerate((a, b, ids)):
+            self.hits[:, k] += np.bincount(x, minlength=len(self.hits))
+        self.hits[:, 2] += np.bincount(self.band[ids], minlength=len(self.hits))
         for i in range(0, len(ids), self.s.batch):
             some = order[i : i + self.s.batch]
-            self.learn(a[some], b[some], ids[some])
+            self.learn(a.take(some), b.take(some), ids.take(some))
 
 
 def contexts(ids: np.ndarray, firsts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -297,21 +382,22 @@ def train_round(texts: DataFrame, model: Model, settings: Settings, number: int)
         of, end = _units(model)
         trainer = Trainer(model, settings, number * 1_000_003 + TaskContext.get().partitionId())
 
-        def feed(lists: list[list[bytes]]):
-            lengths = np.array([len(x) for x in lists])
-            ids = np.fromiter((i for x in lists for i in map(of.__getitem__, x)), np.int64, lengths.sum())
+        def feed(ids: np.ndarray, lengths: np.ndarray):
             trainer.feed(ids, np.cumsum(lengths) - lengths, end)
 
-        held, n = [], 0
-        for part in parts:
-            for text in part.column(0).to_pylist():
-                held.append(tokens(text))
-                n += len(held[-1])
-                if n >= 200_000:
-                    feed(held)
-                    held, n = [], 0
-        if held:
-            feed(held)
+        ids, lengths = np.empty(0, np.int64), np.empty(0, np.int64)
+        for part in pieces(parts):
+            some, at, words = coded(part.column(0))
+            units = np.fromiter(map(of.__getitem__, words), np.int64, len(words))
+            ids, lengths = np.concatenate([ids, units[at]]), np.concatenate([lengths, some])
+            # Whole texts are learned from together, until they have so many tokens.
+            while len(ids) >= 200_000:
+                until = 1 + int(np.searchsorted(np.cumsum(lengths), 200_000))
+                n = int(lengths[:until].sum())
+                feed(ids[:n], lengths[:until])
+                ids, lengths = ids[n:], lengths[until:]
+        if len(ids):
+            feed(ids, lengths)
         changed = np.flatnonzero(trainer.hits.any(1))
         parts = zip(*[np.split(x, np.flatnonzero(np.diff(changed // size)) + 1) for x in (changed, trainer.hits[changed])])
         for at, hits in parts if len(changed) else ():
@@ -389,36 +475,46 @@ class Probabilities:
         self.band = np.repeat(np.arange(len(self.edges) - 1), np.diff(self.edges))
 
     @staticmethod
-    def _shares(context: np.ndarray, rows: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the softmax over ``rows``, at ``own``."""
-        shares = np.empty(len(own), np.float32)
-        step = max(64, 500_000 // len(rows))
-        for i in range(0, len(own), step):
-            scores = context[i : i + step] @ rows.T
-            at = scores[np.arange(len(scores)), own[i : i + step]]
-            if np.abs(scores).max() > 60:
-                top = scores.max(1, keepdims=True)
-                scores -= top
-                at -= top[:, 0]
+    def _shares(context: np.ndarray, rows: np.ndarray, at: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the softmax over ``rows`` of the contexts ``at``, at ``own``."""
+        norms = np.empty(len(context), np.float32)
+        step = max(64, 100_000 // len(rows))
+        room = np.empty((min(step, len(context)), len(rows)), np.float32)
+        # No score is larger than the product of the lengths.
+        small = np.sqrt(np.einsum("ij,ij->i", context, context).max(initial=0) * np.einsum("ij,ij->i", rows, rows).max(initial=0)) < 60
+        for i in range(0, len(context), step):
+            scores = np.matmul(context[i : i + step], rows.T, out=room[: len(context) - i])
+            top = 0.0
+            if not small and np.abs(scores).max() > 60:
+                top = scores.max(1)
+                scores -= top[:, None]
             np.exp(scores, out=scores)
-            shares[i : i + step] = at - np.log(scores.sum(1))
+            norms[i : i + step] = np.log(scores.sum(1)) + top
+        shares = np.empty(len(at), np.float32)
+        for i in range(0, len(at), 8192):
+            some = at[i : i + 8192]
+            shares[i : i + 8192] = np.einsum("ij,ij->i", context.take(some, 0), rows.take(own[i : i + 8192], 0)) - norms.take(some)
         return shares
 
     def of(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
         band = self.band[w]
-        order = np.argsort(band, kind="stable")
-        band, own = band[order], w[order]
-        context = np.ones((len(w), self.left.shape[1] + 1), np.float32)
-        context[:, :-1] = self.left[a[order]] + self.right[b[order]]
-        logs = self._shares(context, self.bands, band)
+        # A context that stands in several places has one row; bands are scored once for it.
+        pair, at = np.unique(a * len(self.left) + b, return_inverse=True)
+        context = np.ones((len(pair), self.left.shape[1] + 1), np.float32)
+        for i in range(0, len(pair), 4096):
+            some = pair[i : i + 4096]
+            np.add(self.left.take(some // len(self.left), 0), self.right.take(some % len(self.left), 0), out=context[i : i + 4096, :-1])
+        logs = self._shares(context, self.bands, at, band)
+        # Within a band, equal contexts lie together.
+        order = np.argsort(band * len(pair) + at)
+        band, at, own = band[order], at[order], w[order]
         firsts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
         for i, j in zip(firsts.tolist(), [*firsts[1:].tolist(), len(band)]):
             first, last = self.edges[band[i]], self.edges[band[i] + 1]
             if last - first > 1:
-                logs[i:j] += self._shares(context[i:j], self.units[first:last], own[i:j] - first)
-        found = np.empty(len(w))
-        found[order] = logs / np.log(10)
-        return found
+                new = np.concatenate([[True], at[i + 1 : j] != at[i : j - 1]])
+                logs[order[i:j]] += self._shares(context.take(at[i:j][new], 0), self.units[first:last], np.cumsum(new) - 1, own[i:j] - first)
+        return logs / np.log(10)
 
 
 _PARTS = pa.schema(
@@ -453,45 +549,38 @@ def score(docs: DataFrame, counts: Counts, model: Model) -> DataFrame:
         based[unknown] = 0.0
         row = TaskContext.get().partitionId() << 33
 
-        def scored(some):
-            nonlocal row
-            lengths = np.array([len(found) for *_, found in some])
+        for part in pieces(parts, 2, 1 << 22):
+            n = part.num_rows
+            lengths, at, found = coded(part.column(2))
             firsts = np.cumsum(lengths) - lengths
-            at = np.fromiter((i for *_, found in some for i in map(place.get, found, repeat(unknown))), np.int64, lengths.sum())
-            ids = kind[at]
+            places = np.fromiter(map(place.get, found, repeat(unknown)), np.int64, len(found))
+            units = kind[places]
+            for i in np.flatnonzero(places == unknown).tolist():
+                units[i] = of[found[i]]
+            ids, at, word = units[at], places[at], at
+            # Words that are not in the lookup, by text.
             missing = np.flatnonzero(at == unknown)
             owner = np.searchsorted(firsts, missing, side="right") - 1
-            others = [Counter() for _ in some]
-            for k, i in zip(owner.tolist(), missing.tolist()):
-                word = some[k][2][i - firsts[k]]
-                ids[i] = of[word]
-                others[k][word] += 1
-            lm = odds.of(*contexts(ids, firsts, end), ids) + within[at] - norms[ids]
-            n = len(some)
-            columns = (
-                range(row, row + n),
-                [x[0] for x in some],
-                [x[1] for x in some],
-                lengths,
-                lengths - np.bincount(owner, minlength=n),
-                np.add.reduceat(based[at], firsts),
-                np.add.reduceat(lm, firsts),
-                [[{"word": w, "tf": k} for w, k in x.items()] for x in others],
-            )
+            pairs, tf = np.unique(owner * len(found) + word[missing], return_counts=True)
+            edges = np.searchsorted(pairs, np.arange(n + 1) * len(found))
+            others = pa.StructArray.from_arrays([pa.array(found, pa.binary()).take(pa.array(pairs % len(found))), pa.array(tf, pa.int32())], ["word", "tf"])
+            a, b = contexts(ids, firsts, end)
+            logs = within[at] - norms[ids]
+            for i in range(0, len(ids), 1_000_000):
+                some = slice(i, i + 1_000_000)
+                logs[some] += odds.of(a[some], b[some], ids[some])
+            columns = [
+                pa.array(np.arange(row, row + n)),
+                part.column(0),
+                part.column(1),
+                pa.array(lengths),
+                pa.array(lengths - np.bincount(owner, minlength=n)),
+                pa.array(np.add.reduceat(based[at], firsts)),
+                pa.array(np.add.reduceat(logs, firsts)),
+                pa.ListArray.from_arrays(pa.array(edges, pa.int32()), others),
+            ]
             row += n
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _PARTS)], schema=_PARTS)
-
-        held, size = [], 0
-        for part in parts:
-            for i in range(0, part.num_rows, 512):
-                for doc_id, held_out, text in zip(*[x.to_pylist() for x in part.slice(i, 512).columns]):
-                    held.append((doc_id, held_out, tokens(text)))
-                    size += len(held[-1][2])
-                    if size >= 100_000:
-                        yield scored(held)
-                        held, size = [], 0
-        if held:
-            yield scored(held)
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, _PARTS)], schema=_PARTS)
 
     kinds = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, others array<struct<word:binary,tf:int>>"
     rows = docs.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(run, kinds)
